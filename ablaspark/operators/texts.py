@@ -187,7 +187,7 @@ def dataset_from_path(df: DataFrame, path: str, root: str = "results",
     after = f"try_element_at({parts}, cast({at} + 1 as int))"
     deeper = f"try_element_at({parts}, cast({at} + 2 as int))"
     tests = " or ".join(f"p = '{d}' or startswith(p, '{d}_')" for d in known)
-    guess = f"filter({parts}, p -> {tests})[0]"
+    guess = f"get(filter({parts}, p -> {tests}), 0)"
     tag = (f"case when {at} = 0 then 'unknown' when startswith({after}, 'variants')"
            f" then coalesce({deeper}, {after}) else {after} end")
     return df.withColumn("__tag", F.expr(tag)).withColumn("dataset_variant", F.expr(

@@ -221,15 +221,14 @@ WITH {MEMBERS} SELECT *, (SELECT v FROM (SELECT unnest([p1, p2, p3]) AS v) u GRO
 
 _W = voting.member_weights([0.8, 0.15, 0.5])
 query("vote_soft_weighted", f"{_LCOLS} p_one:f vote:i", f"""
-WITH {MEMBERS}, p AS (SELECT *, (0.64e0 * s1 + 0.25e0 * least(l_tax * 10, 1)) / 0.89e0 AS p_one,
-  (0.64e0 * (1 - s1) + 0.25e0 * (1 - least(l_tax * 10, 1))) / 0.89e0 AS p_zero FROM members)
-SELECT *, CASE WHEN round(p_one, 9) > round(p_zero, 9) THEN 1 ELSE 0 END AS vote FROM p""")(
+WITH {MEMBERS}, p AS (SELECT *, (0.64e0 * s1 + 0.25e0 * least(l_tax * 9, 1)) / 0.89e0 AS p_one,
+  (0.64e0 * (1 - s1) + 0.25e0 * (1 - least(l_tax * 9, 1))) / 0.89e0 AS p_zero FROM members)
+SELECT *, CASE WHEN p_one > p_zero THEN 1 ELSE 0 END AS vote FROM p""")(
     lambda t: voting.vote_soft(
-        members(t).selectExpr("*", "round(1 - s1, 12) as z1", "1 - s2 as z2", "least(l_tax * 10, 1.0D) as s4",
-                              "1 - least(l_tax * 10, 1.0D) as z4"),
+        members(t).selectExpr("*", "1 - s1 as z1", "1 - s2 as z2", "least(l_tax * 9, 1.0D) as s4",
+                              "1 - least(l_tax * 9, 1.0D) as z4"),
         [["z1", "s1"], ["z2", "s2"], ["z4", "s4"]], [0, 1], _W).selectExpr(
-        "*", "vote_proba[1] as p_one").withColumn(
-        "vote", F.expr("if(round(vote_proba[1], 9) > round(vote_proba[0], 9), 1, 0)")))
+        "*", "vote_proba[1] as p_one"))
 
 query("vote_regressor", f"{_LCOLS} vote:f", f"""WITH {MEMBERS} SELECT *, (s1 + s2 + s3) / 3.0e0 AS vote FROM members""")(
     lambda t: voting.vote_regressor(members(t), ["s1", "s2", "s3"]))
