@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,20 +25,33 @@ def local_session(cpus: int | str = 8, app: str = "ablaspark", memory: str = "8g
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: the one named in ``spark.checkpoint.dir``.
+
+    Only a local session without the setting gets a fresh temporary folder.
+    """
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if named:
+        return named
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir().rsplit("/", 1)[0]
+    if not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return tempfile.mkdtemp(prefix="ablaspark-")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path below the shared folder, for tables a query writes and reads back."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the checkpoint folder and read it back from there.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only where
-    that is unset (tests, laptops) is a fresh one made. The files survive the loss
-    of executors, and every later branch sees the very same rows.
+    The files survive the loss of executors, and every later branch sees the very same rows.
     """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not named:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            named = tempfile.mkdtemp(prefix="ablaspark-ckpt-", dir=os.environ.get("TMPDIR"))
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
