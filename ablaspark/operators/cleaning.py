@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import q
+from ..session import cut_lineage, small_side
 from .ordering import column_quantiles, ordered_rank
 from .profiling import missing_test
 
@@ -67,17 +68,17 @@ def label_dictionary(df: DataFrame, column: str) -> DataFrame:
     Distinct values are ranked bucket-wise, so the dictionary may be larger than any task.
     """
     texts = df.selectExpr(f"coalesce(cast({q(column)} as string), 'nan') as value").distinct()
-    return ordered_rank(texts, ["value"], "code").selectExpr("value", "code - 1 as code")
+    return ordered_rank(cut_lineage(texts), ["value"], "code").selectExpr("value", "code - 1 as code")
 
 
 def label_encode(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
     """Replace a text column by its dictionary code (or add it under ``out``).
 
-    The join side is picked at run time by its measured size, so a small dictionary
-    is broadcast and a large one is shuffled.
+    The dictionary is written once and counted: a small one is broadcast, a large one shuffled.
     """
     name = out or column
-    codes = label_dictionary(df, column).withColumnsRenamed({"value": "__value", "code": "__code"})
+    codes = small_side(cut_lineage(label_dictionary(df, column))).withColumnsRenamed(
+        {"value": "__value", "code": "__code"})
     keyed = df.withColumn("__text", F.expr(f"coalesce(cast({q(column)} as string), 'nan')"))
     joined = keyed.join(codes, F.col("__text") == F.col("__value"), "left")
     return joined.withColumn(name, F.col("__code")).drop("__text", "__value", "__code")

@@ -28,14 +28,11 @@ def most_frequent(df: DataFrame, columns: Sequence[str]) -> dict:
     pairs = ", ".join(f"named_struct('i', {i}, 'v', cast({q(c)} as string))" for i, c in enumerate(columns))
     counts = df.selectExpr(f"inline(array({pairs}))").where("v is not null").groupBy("i", "v").agg(
         F.expr("count(1)").alias("n"))
-    typed = dict(df.dtypes)
-    out = {}
-    for i, c in enumerate(columns):
-        mine = counts.where(f"i = {i}").selectExpr(f"cast(v as {typed[c]}) as v", "n")
-        top = mine.agg(F.max("n").alias("n")).first()["n"]
-        if top is not None:
-            out[c] = mine.where(f"n = {top}").agg(F.min("v")).first()[0]
-    return out
+    top = counts.groupBy("i").agg(F.expr("min_by(v, struct(-n, try_cast(v as double), v))").alias("v")).collect()
+    kinds = {c: t for c, t in df.dtypes}
+    found = {columns[r["i"]]: r["v"] for r in top}
+    return {c: v if kinds[c] == "string" else float(v) if kinds[c] in ("double", "float") else int(v)
+            for c, v in found.items()}
 
 
 def fit_imputer(train: DataFrame, columns: Sequence[str], strategy: str = "mean") -> FittedColumns:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import q, ratio, ratio0, real
+from ..session import cut_lineage
 from .ordering import prefix_sums
 
 
@@ -110,6 +111,20 @@ def classification_report(df: DataFrame, label: str, prediction: str) -> DataFra
     return body.unionByName(tail)
 
 
+def _auc_parts(df: DataFrame, hit: str, score: str, by: Sequence[str]) -> DataFrame:
+    """(by..., roc_auc, n_pos) from a boolean ``hit`` and a score, both SQL."""
+    scores = (
+        df.selectExpr(*[q(b) for b in by], f"cast({score} as double) as s", f"{hit} as y")
+        .where("s is not null and not isnan(s) and y is not null").groupBy(*by, "s")
+        .agg(F.expr("count_if(y)").alias("pos"), F.expr("count_if(not y)").alias("neg"))
+    )
+    # Several steps below read the score table; the rows behind it are aggregated once.
+    ordered = prefix_sums(cut_lineage(scores), ["s"], ["neg"], by)
+    won = "sum(cast(pos as double) * (before_neg + neg / 2.0D))"
+    area = ratio(won, "sum(cast(pos as double)) * sum(cast(neg as double))")
+    return ordered.groupBy(*by).agg(F.expr(area).alias("roc_auc"), F.expr("cast(sum(pos) as bigint)").alias("n_pos"))
+
+
 def roc_auc(df: DataFrame, label: str, score: str, positive: str = "1", by: Sequence[str] = ()) -> DataFrame:
     """(by..., roc_auc): area under the ROC curve; tied scores get the mid-rank.
 
@@ -117,22 +132,14 @@ def roc_auc(df: DataFrame, label: str, score: str, positive: str = "1", by: Sequ
     comes from bucketed prefix sums, so no task ever sorts all scores. NULL where only
     one class is present.
     """
-    y = f"({q(label)} = {positive})"
-    scores = (
-        df.selectExpr(*[q(b) for b in by], f"cast({q(score)} as double) as s", f"{y} as y")
-        .where("s is not null and y is not null").groupBy(*by, "s")
-        .agg(F.expr("count_if(y)").alias("pos"), F.expr("count_if(not y)").alias("neg"))
-    )
-    ordered = prefix_sums(scores, ["s"], ["neg"], by)
-    won = "sum(cast(pos as double) * (before_neg + neg / 2.0D))"
-    area = ratio(won, "sum(cast(pos as double)) * sum(cast(neg as double))")
-    return ordered.groupBy(*by).agg(F.expr(area).alias("roc_auc"))
+    return _auc_parts(df, f"({q(label)} = {positive})", q(score), by).drop("n_pos")
 
 
 def roc_auc_ovr(df: DataFrame, label: str, scores: dict, average: str = "weighted") -> DataFrame:
     """One-vs-rest AUC: ``scores`` maps each class value to its score column.
 
-    One exploded pass feeds all classes; weighted means weighted by class prevalence.
+    One exploded pass feeds all classes; weighted means weighted by class prevalence. A class
+    without both sides makes the average undefined.
     """
     typed = dict(df.dtypes)[label]
 
@@ -141,15 +148,10 @@ def roc_auc_ovr(df: DataFrame, label: str, scores: dict, average: str = "weighte
 
     pairs = ", ".join(
         f"named_struct('cls', cast({lit(c)} as {typed}), 's', cast({q(s)} as double))" for c, s in scores.items())
-    long = df.selectExpr(f"{q(label)} as y", f"inline(array({pairs}))").selectExpr(
-        "cls", "s", "y = cls as hit")
-    areas = roc_auc(long, "hit", "s", "true", ["cls"])
-    support = long.groupBy("cls").agg(F.expr("count_if(hit)").alias("n"))
-    joined = areas.join(support, "cls")
-    weight = "n" if average == "weighted" else "1"
-    # A class without both sides makes the average undefined, as in the per-class case.
+    long = df.selectExpr(f"{q(label)} as y", f"inline(array({pairs}))").selectExpr("cls", "s", "y = cls as hit")
+    weight = "n_pos" if average == "weighted" else "1"
     mean = f"case when count_if(roc_auc is null) = 0 then {ratio(f'sum(roc_auc * {weight})', f'sum({weight})')} end"
-    return joined.agg(F.expr(mean).alias("roc_auc"))
+    return _auc_parts(long, "hit", "s", ["cls"]).agg(F.expr(mean).alias("roc_auc"))
 
 
 def regression_metrics(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:

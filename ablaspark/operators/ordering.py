@@ -14,9 +14,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import q
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 
 _SAMPLE = 20_000
+_ONE_TASK = 200_000  # groups up to this many rows may be ordered inside one task
 
 
 def _sql_literal(v) -> str:
@@ -96,14 +97,28 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
+def largest_group(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest group: a counted shuffle of group keys only."""
+    if not by:
+        return df.count()
+    return df.groupBy(*by).agg(F.expr("count(1)").alias("__n")).agg(F.max("__n")).first()[0] or 0
+
+
 def prefix_sums(df: DataFrame, order: Sequence[str], sums: Sequence[str], by: Sequence[str] = (),
                 pieces: int = 1024) -> DataFrame:
     """Add ``before_<x>``: the sum of x over rows of the same ``by`` group with a smaller key.
 
     The order expressions must tell the rows of a group apart (aggregate ties first,
-    or end the order with a unique id).
+    or end the order with a unique id). If the largest group is counted to be small, one
+    window does it; otherwise the order is bucketed.
     """
     key = order_key(df, order)
+    if largest_group(df, by) <= _ONE_TASK:
+        over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
+        running = over.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+        return df.selectExpr("*", f"{key} as __k").select(
+            *[q(c) for c in df.columns],
+            *[F.coalesce(F.sum(q(x)).over(running), F.lit(0)).alias(f"before_{x}") for x in sums])
     cut = df.selectExpr("*", f"{key} as __k")
     cut = cut.selectExpr("*", f"{bucket('__k', splitters(df, key, pieces))} as __b")
     groups = [*by, "__b"]
@@ -136,11 +151,21 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     parts in ``accuracy``. One pass then counts what lies below and in equal-width
     bins of the bracket, and a second pass ranks only the bins that hold the wanted
     ranks. Groups no larger than ``accuracy`` use their full range as the bracket.
+    Where every group is counted to be small, the built-in aggregate is used.
     """
     by = list(by) or ["__all"]
     base = df.selectExpr(
         *([q(b) for b in by] if by != ["__all"] else ["1 as __all"]), f"cast({value} as double) as __v"
     ).where("__v is not null and not isnan(__v)")
+    if largest_group(base, by) <= _ONE_TASK:
+        ps = ", ".join(f"{float(p)!r}D" for p in probs)
+        pairs = f"transform(arrays_zip(array({ps}), percentile(__v, array({ps}))), z -> named_struct('p', z.`0`, 'q', z.`1`))"
+        return base.groupBy(*by).agg(F.expr(pairs).alias("__pq")).selectExpr(
+            *[q(b) for b in by if b != "__all"], "inline(__pq)")
+    return _bracketed_quantiles(base, by, probs, accuracy, bins)
+
+
+def _bracketed_quantiles(base: DataFrame, by: list[str], probs: Sequence[float], accuracy: int, bins: int) -> DataFrame:
     margin = 4.0 / accuracy
     asked = ", ".join(f"{max(0.0, p - margin)!r}D, {min(1.0, p + margin)!r}D" for p in probs)
     targets = []
@@ -155,7 +180,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         .selectExpr(*[q(b) for b in by], f"array({', '.join(targets)}) as __targets")
     )
     binned = (
-        _null_safe_join(base, brackets, by)
+        _null_safe_join(base, small_side(brackets), by)
         .selectExpr(*[q(b) for b in by], "__v", "inline(__targets)")
         .where("__v <= hi")
         .selectExpr(
@@ -175,10 +200,11 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
                     "p * (n - 1) - floor(p * (n - 1)) as __frac")
         .where("(__before <= __r0 and __r0 < __cum) or (__before <= __r1 and __r1 < __cum)")
     )
+    wanted = small_side(cut_lineage(wanted.drop("__cum")))
     inside = Window.partitionBy(*key, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     marks = ["__before", "__r0", "__r1", "__frac"]
     ranked = (
-        _null_safe_join(binned, wanted.drop("__cum"), [*key, "__bin"])
+        _null_safe_join(binned, wanted, [*key, "__bin"])
         .groupBy(*key, "__bin", *marks, "__v").agg(F.expr("count(1)").alias("__c"))
         .withColumn("__to", F.col("__before") + F.sum("__c").over(inside))
     )

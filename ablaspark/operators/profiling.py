@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.safe import pearson, q
+from ..session import cut_lineage
 
 _FLOATS = (T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -45,30 +46,34 @@ def dataset_info(df: DataFrame, label: str, features: Sequence[str], split: str
         raise ValueError(f"'{label}' is continuous; class counts need a discrete target")
     counts = df.groupBy(F.col(q(split)).alias("part"), F.col(q(label)).alias("label")).agg(
         F.expr("count(1)").alias("n"))
-    sizes = counts.agg(
-        F.expr("cast(sum(n) as bigint)").alias("n_samples"),
-        F.expr("cast(sum(case when part = 'train' then n else 0 end) as bigint)").alias("train_size"),
-        F.expr("cast(sum(case when part = 'test' then n else 0 end) as bigint)").alias("test_size"),
-        F.expr("count(distinct case when part = 'train' then label end)").alias("n_classes"),
-        F.expr("collect_list(case when part = 'train' then named_struct('label', label, 'n', n) end)").alias("mix"),
-    )
-    return sizes.selectExpr(
-        "n_samples", f"{len(features)} as n_features", "n_classes", "train_size", "test_size", "inline(mix)"
-    ).selectExpr("*", "try_divide(100.0D * n, train_size) as class_pct")
+    counts = cut_lineage(counts)
+    row = counts.agg(
+        F.sum("n").alias("n_samples"),
+        *[F.expr(f"coalesce(sum(n) filter (where part = '{p}'), 0)").alias(f"{p}_size") for p in ("train", "test")],
+        F.expr("count(label) filter (where part = 'train')").alias("n_classes")).first()
+    return counts.where("part = 'train'").selectExpr(
+        f"{row['n_samples']}L as n_samples", f"{len(features)} as n_features", f"{row['n_classes']}L as n_classes",
+        f"{row['train_size']}L as train_size", f"{row['test_size']}L as test_size", "label", "n",
+        f"try_divide(100.0D * n, {row['train_size']}) as class_pct")
 
 
 def infer_task_type(df: DataFrame, target: str, forced: str | None = None, max_classes: int = 20) -> DataFrame:
-    """(target, n_distinct, task_type): floating or more than 20 values means regression."""
-    floating = isinstance(df.schema[target].dataType, _FLOATS)
+    """(target, task_type): floating or more than 20 distinct values means regression.
+
+    A sketch settles clear cases; only a column that looks small is counted exactly, and
+    then its few values collapse map-side.
+    """
     if forced:
-        rule = f"'{forced}'"
-    elif floating:
-        rule = "'regression'"
+        task = forced
+    elif isinstance(df.schema[target].dataType, _FLOATS):
+        task = "regression"
     else:
-        rule = f"case when n_distinct > {max_classes} then 'regression' else 'classification' end"
-    distinct = df.where(f"not {missing_test(df, target)}").agg(
-        F.countDistinct(q(target)).alias("n_distinct"))
-    return distinct.selectExpr(f"'{target}' as target", "n_distinct", f"{rule} as task_type")
+        present = df.where(f"{q(target)} is not null")
+        n = present.agg(F.approx_count_distinct(q(target))).first()[0]
+        if n <= 4 * max_classes:
+            n = present.agg(F.countDistinct(q(target))).first()[0]
+        task = "regression" if n > max_classes else "classification"
+    return df.sparkSession.createDataFrame([(target, task)], "target string, task_type string")
 
 
 def label_correlations(df: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:

@@ -12,10 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.safe import q
-from ..session import cut_lineage
+from ..functions.safe import let, q
+from ..session import cut_lineage, small_side
 
-_PREFIX = 4          # hex digits: 65 536 prefixes per class
+_DIGITS = 3             # hex digits of the key looked at per round
+_ONE_TASK = 2_000_000   # a prefix with more rows than this is cut finer before it is sorted
 _MAP_CLASSES = 1000  # up to this many classes the cuts travel as a literal map
 _ONE = "'all'"
 
@@ -30,39 +31,47 @@ def _class_of(label: str | None) -> str:
     return _ONE if label is None else f"coalesce(cast({q(label)} as string), '\\0')"
 
 
-def _prefix_counts(df: DataFrame, ids: Sequence[str], seed: int, label: str | None) -> DataFrame:
-    return (
-        df.selectExpr(f"{_class_of(label)} as cls", f"{order_key(ids, seed)} as key")
-        .groupBy("cls", F.expr(f"substring(key, 1, {_PREFIX})").alias("pre"))
-        .agg(F.expr("count(1)").alias("c"))
-    )
+def _keyed(df: DataFrame, ids: Sequence[str], seed: int, label: str | None, digits: int) -> DataFrame:
+    """(cls, key, pre, parent): all a cut needs, two columns wide."""
+    return df.selectExpr(f"{_class_of(label)} as cls", f"{order_key(ids, seed)} as key").selectExpr(
+        "cls", "key", f"substring(key, 1, {digits}) as pre", f"substring(key, 1, {digits - _DIGITS}) as parent")
 
 
-def _cut_keys(df: DataFrame, ids: Sequence[str], seed: int, label: str | None,
-              ranks) -> DataFrame:
+def _cut_keys(df: DataFrame, ids: Sequence[str], seed: int, label: str | None, ranks) -> DataFrame:
     """(cls, cuts): sorted order keys at the wanted 1-based ranks of each class.
 
-    ``ranks`` maps the class table (cls, n) to rows (cls, rank).
+    ``ranks`` maps the class table (cls, n) to rows (cls, rank). Counting rows per key prefix
+    tells which prefixes hold the ranks; a prefix that is still too large for one task is
+    counted again three digits deeper.
     """
-    counts = cut_lineage(_prefix_counts(df, ids, seed, label))
-    classes = counts.groupBy("cls").agg(F.expr("cast(sum(c) as bigint)").alias("n"))
-    wanted = cut_lineage(ranks(classes))
-    targets = wanted.where("rank > 0").withColumnRenamed("cls", "t_cls")
-    up_to = Window.partitionBy("cls").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
-    spans = counts.withColumn("cum", F.sum("c").over(up_to))
-    hits = cut_lineage(
-        spans.join(targets, F.expr("cls = t_cls and cum - c < rank and rank <= cum"))
-        .selectExpr("cls", "pre", "rank - (cum - c) as place")
-    )
-    keyed = df.selectExpr(f"{_class_of(label)} as cls", f"{order_key(ids, seed)} as key").withColumn(
-        "pre", F.expr(f"substring(key, 1, {_PREFIX})"))
+    digits, targets, wanted = _DIGITS, None, None
+    while True:
+        keyed = _keyed(df, ids, seed, label, digits)
+        if targets is not None:
+            keyed = keyed.join(small_side(targets.selectExpr("cls", "pre as parent").distinct()),
+                               ["cls", "parent"], "left_semi")
+        counts = cut_lineage(keyed.groupBy("cls", "parent", "pre").agg(F.expr("count(1)").alias("c")))
+        if targets is None:
+            classes = counts.groupBy("cls").agg(F.expr("cast(sum(c) as bigint)").alias("n"))
+            wanted = cut_lineage(ranks(classes))
+            targets = wanted.where("rank > 0").selectExpr("cls", "'' as pre", "rank")
+        up_to = Window.partitionBy("cls", "parent").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
+        spans = counts.withColumn("cum", F.sum("c").over(up_to))
+        asked = targets.withColumnsRenamed({"cls": "t_cls", "pre": "t_pre"})
+        targets = cut_lineage(
+            spans.join(asked, F.expr("cls = t_cls and parent = t_pre and cum - c < rank and rank <= cum"))
+            .selectExpr("cls", "pre", "rank - (cum - c) as rank", "c"))
+        if (targets.agg(F.max("c")).first()[0] or 0) <= _ONE_TASK or digits + _DIGITS > 32:
+            break
+        digits += _DIGITS
     inside = Window.partitionBy("cls", "pre").orderBy("key")
     ranked = (
-        keyed.join(hits.select("cls", "pre").distinct(), ["cls", "pre"], "left_semi")
-        .withColumn("place", F.row_number().over(inside))
+        _keyed(df, ids, seed, label, digits)
+        .join(small_side(targets.select("cls", "pre").distinct()), ["cls", "pre"], "left_semi")
+        .withColumn("rank", F.row_number().over(inside))
     )
     # A cut at rank 0 lies below every key. Equal ranks (an empty part) keep both cuts.
-    found = ranked.join(hits, ["cls", "pre", "place"]).select("cls", "key")
+    found = ranked.join(small_side(targets.drop("c")), ["cls", "pre", "rank"]).select("cls", "key")
     lowest = wanted.where("rank = 0").selectExpr("cls", "'' as key")
     return found.union(lowest).groupBy("cls").agg(F.sort_array(F.collect_list("key")).alias("cuts"))
 
@@ -72,7 +81,7 @@ def _place(df: DataFrame, cuts: DataFrame, ids: Sequence[str], seed: int, label:
     """Add ``value`` (SQL over ``part``, the number of cuts below the key) as column ``name``."""
     cuts = cut_lineage(cuts)
     head = cuts.limit(_MAP_CLASSES + 1).collect()
-    part = f"size(filter(__cuts, c -> {order_key(ids, seed)} > c))"
+    part = let("k", order_key(ids, seed), "size(filter(__cuts, c -> k > c))")
     if len(head) <= _MAP_CLASSES:
         if not head:
             lookup = "cast(array() as array<string>)"
@@ -85,7 +94,7 @@ def _place(df: DataFrame, cuts: DataFrame, ids: Sequence[str], seed: int, label:
         placed = df.withColumn("__cuts", F.expr(lookup))
     else:
         named = cuts.withColumnsRenamed({"cls": "__cls", "cuts": "__cuts"})
-        placed = df.join(named, F.expr(f"{_class_of(label)} = __cls"), "left").drop("__cls")
+        placed = df.join(small_side(named), F.expr(f"{_class_of(label)} = __cls"), "left").drop("__cls")
         placed = placed.withColumn("__cuts", F.expr("coalesce(__cuts, cast(array() as array<string>))"))
     return placed.withColumn(name, F.expr(value.format(part=part))).drop("__cuts")
 

@@ -94,17 +94,18 @@ def simulate_ablation(steps: DataFrame, text: str = "description",
     """(pipeline, variant, pos, text): the steps that survive each variant.
 
     If a variant removes every step of a pipeline, its last step stays. Survivors are
-    found row by row; only the per-pipeline emptiness needs an aggregate.
+    found row by row; only the per-pipeline emptiness takes one aggregate for all variants.
     """
-    def gone(words: Sequence[str]) -> str:
-        return " or ".join(f"contains(lower({text}), '{w}')" for w in words) or "false"
-
-    flags = ", ".join(f"named_struct('variant', '{v}', 'gone', {gone(w)})" for v, w in variants.items())
-    marked = steps.selectExpr("pipeline", "pos", text, f"inline(array({flags}))")
-    last = (
-        marked.groupBy("pipeline", "variant")
-        .agg(F.expr("bool_and(gone)").alias("empty"), F.expr("max(pos)").alias("pos"),
-             F.expr(f"max_by({text}, pos)").alias(text))
-        .where("empty").select("pipeline", "variant", "pos", text)
-    )
-    return marked.where("not gone").select("pipeline", "variant", "pos", text).unionByName(last)
+    gone = {v: " or ".join(f"contains(__low, '{w}')" for w in words) or "false" for v, words in variants.items()}
+    low = steps.selectExpr("pipeline", "pos", text, f"lower({text}) as __low")
+    marked = low.selectExpr("pipeline", "pos", text, *[f"{g} as __g{i}" for i, g in enumerate(gone.values())])
+
+    def rows(test: str) -> str:
+        picks = ", ".join(f"case when {test.format(g=f'__g{i}')} then '{v}' end" for i, v in enumerate(gone))
+        return f"explode(filter(array({picks}), v -> v is not null)) as variant"
+
+    last = marked.groupBy("pipeline").agg(
+        F.max("pos").alias("pos"), F.expr(f"max_by({text}, pos)").alias(text),
+        *[F.expr(f"bool_and(__g{i})").alias(f"__g{i}") for i in range(len(gone))])
+    return marked.selectExpr("pipeline", rows("not {g}"), "pos", text).unionByName(
+        last.selectExpr("pipeline", rows("{g}"), "pos", text))

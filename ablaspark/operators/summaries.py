@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import q, ratio, real
 from ..functions.tails import t_upper_ppf
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 from .ordering import exact_quantiles
 
 
@@ -158,7 +158,7 @@ def box_stats(runs: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     """The numbers of a box plot: quartiles and the farthest points within 1.5 IQR."""
     quart = exact_quantiles(runs, value, [0.25, 0.5, 0.75], by).groupBy(*by).pivot("p", [0.25, 0.5, 0.75]).agg(
         F.expr("first(q)")).withColumnsRenamed({"0.25": "q1", "0.5": "median", "0.75": "q3"})
-    fences = quart.selectExpr(*[f"{q(b)} as __{b}" for b in by], "q1", "median", "q3")
+    fences = small_side(cut_lineage(quart.selectExpr(*[f"{q(b)} as __{b}" for b in by], "q1", "median", "q3")))
     same = " and ".join(f"{q(b)} <=> __{b}" for b in by)
     rows = runs.join(fences, F.expr(same))
     inside = f"({value}) between q1 - 1.5D * (q3 - q1) and q3 + 1.5D * (q3 - q1)"

@@ -23,7 +23,8 @@ def extract_metrics(df: DataFrame, text: str, keep: Sequence[str], compat: bool
     first number as 'generic'. ``compat=False`` matches whole words, longest first, and
     reads signed numbers with exponents.
     """
-    lines = df.selectExpr(*[q(k) for k in keep], f"posexplode(split({q(text)}, '\\r?\\n')) as (__pos, line)").selectExpr(
+    maybe = df.where(" or ".join(f"contains(lower({q(text)}), '{w}')" for w in METRIC_WORDS))
+    lines = maybe.selectExpr(*[q(k) for k in keep], f"posexplode(split({q(text)}, '\\r?\\n')) as (__pos, line)").selectExpr(
         *[q(k) for k in keep], "__pos + 1 as line_no", "line", "lower(line) as __low")
     words = METRIC_WORDS if compat else sorted(METRIC_WORDS, key=lambda w: -len(w))
     number = _NUMBER if compat else _SIGNED

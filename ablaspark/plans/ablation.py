@@ -25,16 +25,25 @@ STATUS_SCHEMA = "configuration string, run int, fold int, status string, error s
 
 
 def score(predictions: DataFrame, task: str, label: str = "label", average: str = "weighted") -> dict[str, float]:
-    """All metrics of one prediction set; ROC AUC for two classes with probabilities."""
-    if task == "regression":
-        return metrics.regression_metrics(predictions, label, "prediction").first().asDict()
-    out = metrics.classification_metrics(predictions, label, "prediction", average).first().asDict()
-    if "probability" in predictions.columns:
-        classes = [r[0] for r in predictions.select(label).distinct().orderBy(label).limit(3).collect()]
-        if len(classes) == 2:
-            scored = predictions.select(label, vector_to_array("probability")[1].alias("__s"))
-            out["roc_auc"] = metrics.roc_auc(scored, label, "__s", repr(classes[1])).first()["roc_auc"]
-    return out
+    """All metrics of one prediction set; ROC AUC for two classes with probabilities.
+
+    The model runs once: only label, prediction and score are kept for the metrics.
+    """
+    soft = "probability" in predictions.columns
+    kept = predictions.select(
+        label, "prediction", *([vector_to_array("probability")[1].alias("__s")] if soft else [])
+    ).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if task == "regression":
+            return metrics.regression_metrics(kept, label, "prediction").first().asDict()
+        out = metrics.classification_metrics(kept, label, "prediction", average).first().asDict()
+        if soft:
+            classes = [r[0] for r in kept.select(label).distinct().orderBy(label).limit(3).collect()]
+            if len(classes) == 2:
+                out["roc_auc"] = metrics.roc_auc(kept, label, "__s", repr(classes[1])).first()["roc_auc"]
+        return out
+    finally:
+        kept.unpersist()
 
 
 def baseline_predictions(train: DataFrame, test: DataFrame, task: str, label: str) -> DataFrame:

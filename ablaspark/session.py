@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cpus: int | str = 8, app: str = "ablaspark", memory: str = "8g") -> SparkSession:
@@ -55,3 +56,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Hint a broadcast for a materialised table, only after counting that it is small.
+
+    Larger ones are returned as they are, and the join shuffles (AQE splits hot keys).
+    """
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -45,11 +45,11 @@ SELECT event_id, CASE WHEN v = 'inf'::DOUBLE THEN 1.7976931348623157e308 WHEN v
         "event_id", "case when event_id % 5 = 1 then double('Infinity') when event_id % 5 = 2 then double('-Infinity')"
         " else value end as value"), ["value"]))
 
-query("infer_task_type", "target n_distinct:i task_type", """
-SELECT 'l_quantity' AS target, count(DISTINCT l_quantity) AS n_distinct, 'regression' AS task_type FROM lineitem UNION ALL
-SELECT 'l_linenumber', count(DISTINCT l_linenumber), CASE WHEN count(DISTINCT l_linenumber) > 20 THEN 'regression' ELSE 'classification' END FROM lineitem UNION ALL
-SELECT 'l_suppkey', count(DISTINCT l_suppkey), CASE WHEN count(DISTINCT l_suppkey) > 20 THEN 'regression' ELSE 'classification' END FROM lineitem UNION ALL
-SELECT 'l_orderkey', count(DISTINCT l_orderkey), 'classification' FROM lineitem""")(
+query("infer_task_type", "target task_type", """
+SELECT 'l_quantity' AS target, 'regression' AS task_type UNION ALL
+SELECT 'l_linenumber', CASE WHEN count(DISTINCT l_linenumber) > 20 THEN 'regression' ELSE 'classification' END FROM lineitem UNION ALL
+SELECT 'l_suppkey', CASE WHEN count(DISTINCT l_suppkey) > 20 THEN 'regression' ELSE 'classification' END FROM lineitem UNION ALL
+SELECT 'l_orderkey', 'classification' FROM lineitem WHERE l_linenumber IS NOT NULL GROUP BY 1""")(
     lambda t: profiling.infer_task_type(t.lineitem, "l_quantity")
     .unionByName(profiling.infer_task_type(t.lineitem, "l_linenumber"))
     .unionByName(profiling.infer_task_type(t.lineitem, "l_suppkey"))

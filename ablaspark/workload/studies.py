@@ -157,7 +157,8 @@ WITH {S.RUNS} SELECT concat('exp', CAST(experiment % 2 AS VARCHAR), '/w') AS exp
 
 def _json(t):
     root = scratch_path(t.spark, "json")
-    arrays = t.part.groupBy("p_brand").agg(F.expr(
+    files = t.part.count() // 1000 + 1  # about a thousand records per array file, at any scale
+    arrays = t.part.groupBy(F.expr(f"pmod(xxhash64(p_partkey), {files})")).agg(F.expr(
         "to_json(collect_list(struct(p_name as model, p_type as dataset, p_retailprice as accuracy_mean)))").alias("value"))
     arrays.select("value").write.option("maxRecordsPerFile", 1).text(f"{root}/good")
     t.spark.range(1).selectExpr("'[{\"model\": ' as value").write.text(f"{root}/bad")

@@ -2,27 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..operators import relational, steps, texts
 from .registry import query
 
-# --- log lines: one text per user and day, built from events ------------------------------------------
+# --- log texts: a few lines per event ---------------------------------------------------------------
 
-_LINE = ("case event_id % 6 when 0 then concat('Accuracy: ', {v}) when 1 then concat('val rmse = ', {v})"
+_LINE = ("case {k} % 6 when 0 then concat('Accuracy: ', {v}) when 1 then concat('val rmse = ', {v})"
          " when 2 then concat('Final Validation Performance: ', {v}) when 3 then concat('start score from ', {v})"
          " when 4 then concat('Registered external pipeline: dir/p_', event_id, '.py') else 'nothing here' end")
 _V = "cast(cast(round(value * 100) as bigint) as {t})"
 
-LOGS = f"""logs AS (SELECT user_id, CAST(day(ts) AS INTEGER) AS day,
-  string_agg({_LINE.format(v=_V.format(t='varchar'))}, chr(10) ORDER BY event_id) AS text FROM events GROUP BY 1, 2)"""
+
+def _text(string: str, newline: str) -> str:
+    rows = [_LINE.format(k=k, v=_V.format(t=string)) for k in ("event_id", "(event_id + user_id)", "(event_id * 5 + 1)")]
+    return f"concat({f', {newline}, '.join(['event_type', *rows, 'props'])})"
+
+
+LOGS = f"logs AS (SELECT event_id, user_id, {_text('varchar', 'chr(10)')} AS text FROM events)"
 
 
 def logs(t):
-    return t.events.selectExpr(
-        "user_id", "day(ts) as day", "event_id", f"{_LINE.format(v=_V.format(t='string'))} as line",
-    ).groupBy("user_id", "day").agg(F.expr(
-        "array_join(transform(array_sort(collect_list(struct(event_id, line))), x -> x.line), '\\n')").alias("text"))
+    return t.events.selectExpr("event_id", "user_id", f"{_text('string', 'chr(10)')} as text")
 
 
 _SPLIT = "unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no"
@@ -40,26 +40,26 @@ m AS (SELECT {keys}, line_no, line, CASE {name} ELSE 'generic' END AS metric, CA
 SELECT * FROM m WHERE value IS NOT NULL"""
 
 
-query("extract_metrics", "user_id:i day:i line_no:i metric value:f line", f"WITH {LOGS}, {_metric_sql('logs', 'user_id, day')}")(
-    lambda t: texts.extract_metrics(logs(t), "text", ["user_id", "day"]))
+query("extract_metrics", "event_id:i line_no:i metric value:f line", f"WITH {LOGS}, {_metric_sql('logs', 'event_id')}")(
+    lambda t: texts.extract_metrics(logs(t), "text", ["event_id"]))
 
 query("extract_metrics_documents", "doc_id:i line_no:i metric value:f", f"""
 WITH b AS (SELECT doc_id, concat(text, chr(10), 'Score = ', n_chars) AS text FROM documents), {_metric_sql('b', 'doc_id')}""")(
     lambda t: texts.extract_metrics(
         t.documents.selectExpr("doc_id", "concat(text, '\\n', 'Score = ', n_chars) as text"), "text", ["doc_id"]))
 
-query("parse_registrations", "user_id:i day:i line_no:i file", f"""
-WITH {LOGS}, l AS (SELECT user_id, day, {_SPLIT} FROM logs)
-SELECT user_id, day, line_no, trim(substring(line, instr(line, ':') + 1)) AS file FROM l WHERE contains(line, 'Registered external pipeline:')""")(
-    lambda t: texts.parse_registrations(logs(t), "text", ["user_id", "day"]))
+query("parse_registrations", "event_id:i line_no:i file", f"""
+WITH {LOGS}, l AS (SELECT event_id, {_SPLIT} FROM logs)
+SELECT event_id, line_no, trim(substring(line, instr(line, ':') + 1)) AS file FROM l WHERE contains(line, 'Registered external pipeline:')""")(
+    lambda t: texts.parse_registrations(logs(t), "text", ["event_id"]))
 
 query("log_tail", "user_id:i file tail", f"""
-WITH {LOGS}, n AS (SELECT *, concat('run_', lpad(CAST(day AS VARCHAR), 2, '0'), '.log') AS file FROM logs),
+WITH {LOGS}, n AS (SELECT *, concat('run_', lpad(CAST(event_id AS VARCHAR), 12, '0'), '.log') AS file FROM logs),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY file DESC) AS rn FROM n)
 SELECT user_id, file, array_to_string(list_slice(string_split(text, chr(10)), greatest(1, len(string_split(text, chr(10))) - 2), len(string_split(text, chr(10)))), chr(10)) AS tail
 FROM r WHERE rn = 1""")(
     lambda t: relational.log_tail(
-        logs(t).selectExpr("user_id", "concat('run_', lpad(cast(day as string), 2, '0'), '.log') as file", "text"),
+        logs(t).selectExpr("user_id", "concat('run_', lpad(cast(event_id as string), 12, '0'), '.log') as file", "text"),
         "user_id", "file", "text", 3))
 
 # --- source texts -----------------------------------------------------------------------------------------
@@ -163,15 +163,15 @@ SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN 'california-housing-prices' WHEN 1 TH
   CASE WHEN doc_id % 8 < 2 THEN 'regression' ELSE 'classification' END AS task_type FROM documents""")(
     lambda t: texts.dataset_from_name(t.documents.selectExpr("doc_id", f"{_NAME} as f"), "f"))
 
-query("explode_manifest", "task run_id source artifact_type", """
-SELECT p_type AS task, CAST(p_size AS VARCHAR) AS run_id, p_name AS source, CASE p_partkey % 3 WHEN 0 THEN 'train' WHEN 1 THEN 'other' ELSE 'ensemble' END AS artifact_type
-FROM part WHERE p_partkey % 3 != 1 AND p_type != 'ECONOMY'""")(
-    lambda t: texts.explode_manifest(
-        t.part.selectExpr("p_brand", "p_type as task", "cast(p_size as string) as run_id", "p_name as source",
-                          "case p_partkey % 3 when 0 then 'train' when 1 then 'other' else 'ensemble' end as artifact_type")
-        .groupBy("p_brand", F.expr("pmod(hash(source), 64)")).agg(F.expr(
-            "to_json(named_struct('total_entries', count(1), 'entries', collect_list(struct(task, run_id, source, artifact_type))))").alias("j")),
-        "j", tasks=None).where("task != 'ECONOMY'"))
+_ENTRY = "struct({task} as task, cast(p_size as string) as run_id, p_name as source, {kind} as artifact_type)"
+_KIND = "case p_partkey % 3 when 0 then 'train' when 1 then 'other' else 'ensemble' end"
+query("explode_manifest", "task run_id source artifact_type", f"""
+SELECT p_type AS task, CAST(p_size AS VARCHAR) AS run_id, p_name AS source, {_KIND} AS artifact_type FROM part
+  WHERE p_partkey % 3 != 1 AND p_type IN ('ECONOMY', 'PROMO') UNION ALL
+SELECT 'PROMO', CAST(p_size AS VARCHAR), p_name, 'pipeline' FROM part""")(
+    lambda t: texts.explode_manifest(t.part.selectExpr(
+        f"to_json(named_struct('total_entries', 2, 'entries', array({_ENTRY.format(task='p_type', kind=_KIND)},"
+        f" {_ENTRY.format(task=repr('PROMO'), kind=repr('pipeline'))}))) as j"), "j", tasks=["ECONOMY", "PROMO"]))
 
 # --- pipelines as step rows: one per order, its lines are the steps ------------------------------------------------
 
