@@ -57,7 +57,7 @@ def _cut_keys(df: DataFrame, ids: Sequence[str], seed: int, label: str | None, r
             targets = wanted.where("rank > 0").selectExpr("cls", "'' as pre", "rank")
         up_to = Window.partitionBy("cls", "parent").orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
         spans = counts.withColumn("cum", F.sum("c").over(up_to))
-        asked = targets.withColumnsRenamed({"cls": "t_cls", "pre": "t_pre"})
+        asked = targets.selectExpr("cls as t_cls", "pre as t_pre", "rank")
         targets = cut_lineage(
             spans.join(asked, F.expr("cls = t_cls and parent = t_pre and cum - c < rank and rank <= cum"))
             .selectExpr("cls", "pre", "rank - (cum - c) as rank", "c"))

@@ -96,32 +96,36 @@ SECRET_PATTERNS = {
 
 def secret_scan(df: DataFrame, text: str, keep: Sequence[str], patterns: Mapping[str, str] = SECRET_PATTERNS,
                 redact: bool = True) -> DataFrame:
-    """(keep..., pattern, match, context) for every hit of every pattern.
+    """(keep..., pattern, match, context, position) for every hit of every pattern.
 
     The context is 80 characters on each side, line breaks as blanks, 200 characters at
-    most. With ``redact`` only the first four characters of a hit are shown, in the
-    context too. Texts without any hit are dropped before positions are worked out.
+    most. With ``redact`` only the first four characters of a hit are shown, also of other
+    hits that fall into the context. Texts without any hit are dropped before positions
+    are worked out.
     """
     def lit(p: str) -> str:
         return "r'" + p.replace("'", "\\x27") + "'"
 
     arrays = ", ".join(
-        f"named_struct('pattern', '{n}', 'hits', regexp_extract_all({q(text)}, {lit(p)}, 0))"
-        for n, p in patterns.items())
-    hits = df.selectExpr(*[q(k) for k in keep], f"{q(text)} as __t", f"inline(array({arrays}))").where("size(hits) > 0")
-    # Walk the hits in order: each one is searched for behind the end of the one before.
+        f"named_struct('pattern', '{n}', 'ms', regexp_extract_all({q(text)}, {lit(p)}, 0))" for n, p in patterns.items())
+    raw = df.selectExpr(*[q(k) for k in keep], f"{q(text)} as __t",
+                        f"filter(array({arrays}), h -> size(h.ms) > 0) as __found").where("size(__found) > 0")
+    # Walk the hits of a pattern in order: each is searched for behind the end of the one before.
+    hit = "named_struct('pattern', f.pattern, 'm', m, 'p', p)"
     walk = (
-        "aggregate(hits, named_struct('at', 1, 'out', cast(array() as array<struct<m:string,p:int>>)),"
-        " (s, m) -> transform(array(locate(m, __t, s.at)), p -> named_struct('at', p + length(m),"
-        " 'out', concat(s.out, array(named_struct('m', m, 'p', p)))))[0], s -> s.out)"
+        "aggregate(f.ms, named_struct('at', 1, 'out', cast(array() as array<struct<pattern:string,m:string,p:int>>)),"
+        f" (s, m) -> transform(array(locate(m, __t, s.at)), p -> named_struct('at', p + length(m),"
+        f" 'out', concat(s.out, array({hit}))))[0], s -> s.out)"
     )
-    shown = "concat(substring(m, 1, 4), '***')" if redact else "m"
-    context = (
-        "substring(regexp_replace(concat(substring(__t, greatest(p - 80, 1), p - greatest(p - 80, 1)),"
-        f" {shown}, substring(__t, p + length(m), 80)), '\\n', ' '), 1, 200)"
-    )
-    return hits.selectExpr(*[q(k) for k in keep], "pattern", "__t", f"inline({walk})").selectExpr(
-        *[q(k) for k in keep], "pattern", f"{shown} as match", f"{context} as context", "p as position")
+    placed = raw.withColumn("__hits", F.expr(f"flatten(transform(__found, f -> {walk}))"))
+    # Masking keeps the length, so positions stay valid and the order of hits does not matter.
+    mask = ("aggregate(__hits, __t, (a, h) -> case when length(h.m) > 4 then"
+            " overlay(a placing repeat('*', length(h.m) - 4) from h.p + 4 for length(h.m) - 4) else a end)")
+    shown = placed.selectExpr(*[q(k) for k in keep], f"{mask if redact else '__t'} as __shown", "inline(__hits)")
+    context = ("substring(replace(substring(__shown, greatest(p - 80, 1), p - greatest(p - 80, 1) + length(m) + 80),"
+               " '\\n', ' '), 1, 200)")
+    match = "concat(substring(m, 1, 4), repeat('*', length(m) - 4))" if redact else "m"
+    return shown.selectExpr(*[q(k) for k in keep], "pattern", f"{match} as match", f"{context} as context", "p as position")
 
 
 def extract_fenced(df: DataFrame, text: str, pick: str = "first") -> DataFrame:

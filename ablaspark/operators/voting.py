@@ -7,16 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.safe import q
+from ..functions.safe import let, q
 
 
 def vote_hard(df: DataFrame, predictions: Sequence[str], name: str = "vote") -> DataFrame:
     """Majority class of the member predictions; ties go to the smallest class."""
-    votes = f"array({', '.join(q(p) for p in predictions)})"
-    tally = (
-        f"array_min(transform(array_distinct({votes}),"
-        f" c -> named_struct('less', -size(filter({votes}, v -> v = c)), 'cls', c))).cls"
-    )
+    # The votes are bound first: inside a lambda a column could hide behind a variable name.
+    tally = let("__votes", f"array({', '.join(q(p) for p in predictions)})", (
+        "array_min(transform(array_distinct(__votes),"
+        " __c -> named_struct('less', -size(filter(__votes, __v -> __v = __c)), 'cls', __c))).cls"))
     return df.withColumn(name, F.expr(tally))
 
 

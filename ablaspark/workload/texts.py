@@ -105,10 +105,12 @@ query("secret_scan", "doc_id:i pattern match context position:i", f"""
 WITH h AS ({' UNION ALL '.join(_secret_sql(n, p) for n, p in texts.SECRET_PATTERNS.items())}),
 e AS (SELECT doc_id, pattern, text, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM h),
 s AS (SELECT doc_id, pattern, text, ms[i] AS m, 1 + CAST(list_sum(list_transform(list_slice(ps, 1, i), lambda x: length(x))) AS BIGINT)
-  + CAST(coalesce(list_sum(list_transform(list_slice(ms, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS position FROM e)
-SELECT doc_id, pattern, concat(left(m, 4), '***') AS match, position,
-  left(replace(concat(substring(text, greatest(position - 80, 1), position - greatest(position - 80, 1)), left(m, 4), '***',
-    substring(text, position + length(m), 80)), chr(10), ' '), 200) AS context FROM s""")(
+  + CAST(coalesce(list_sum(list_transform(list_slice(ms, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS position FROM e),
+c AS (SELECT doc_id, pattern, position, m, text, unnest(range(greatest(position - 80, 1), least(position + length(m) + 80, length(text) + 1))) AS px FROM s),
+k AS (SELECT c.doc_id, c.pattern, c.position, c.m, c.px, CASE WHEN bool_or(o.doc_id IS NOT NULL) THEN '*' ELSE substring(any_value(c.text), c.px, 1) END AS ch
+  FROM c LEFT JOIN s o ON o.doc_id = c.doc_id AND c.px >= o.position + 4 AND c.px < o.position + length(o.m) GROUP BY 1, 2, 3, 4, 5)
+SELECT doc_id, pattern, position, concat(left(m, 4), repeat('*', length(m) - 4)) AS match,
+  left(replace(string_agg(ch, '' ORDER BY px), chr(10), ' '), 200) AS context FROM k GROUP BY doc_id, pattern, position, m""")(
     lambda t: texts.secret_scan(t.documents, "text", ["doc_id"]))
 
 _FENCE = ("case turn % 4 when 0 then concat('intro', {nl}, '```python', {nl}, text, {nl}, '```', {nl}, '```', {nl}, 'x = 1', {nl}, '```') "
