@@ -44,7 +44,7 @@ class NamedSources:
 
 
 def scan_json_records(spark: SparkSession, path: str, schema: T.StructType | str) -> tuple[DataFrame, DataFrame]:
-    """Records of JSON array files, and the names of files that could not be read.
+    """Records of JSON array files, and (file, note) rows for files that could not be read.
 
     One multi-line file is one unit of work, so many files spread over the cluster.
     """
@@ -53,7 +53,9 @@ def scan_json_records(spark: SparkSession, path: str, schema: T.StructType | str
     raw = spark.read.option("multiLine", True).option("mode", "PERMISSIVE").schema(full).json(path).select(
         "*", F.col("_metadata.file_path").alias("file"))
     good = raw.where("_corrupt_record is null").drop("_corrupt_record")
-    bad = raw.where("_corrupt_record is not null").select("file").distinct()
+    # The reader wants a data field next to the corrupt record; it is NULL for a broken file.
+    field = F.expr(f"coalesce(max(cast(`{typed.fieldNames()[0]}` as string)), 'unreadable, skipped')")
+    bad = raw.where("_corrupt_record is not null").groupBy("file").agg(field.alias("note"))
     return good, bad
 
 
