@@ -130,7 +130,7 @@ def best_vs_full(summary: DataFrame, pairs: DataFrame, by: Sequence[str], alpha:
         "corrected_alpha")
 
 
-def over_engineering_table(summary: DataFrame, by: Sequence[str], n: int = 20) -> DataFrame:
+def over_engineering_table(summary: DataFrame, by: Sequence[str], n: int = 20, ordered: bool = True) -> DataFrame:
     """Best of minimal and no_feature_engineering against full, effect from the summary rows.
 
     ``n`` is the run count of both sides; experiments lacking a side drop out.
@@ -142,11 +142,12 @@ def over_engineering_table(summary: DataFrame, by: Sequence[str], n: int = 20) -
     full = summary.where("configuration = 'full'").selectExpr(
         *[q(b) for b in by], "mean as full_score", "std as full_std")
     d = pooled_d("best_score", "best_std", str(n), "full_score", "full_std", str(n))
-    return best.join(full, list(by)).withColumn("cohen_d", F.expr(d)).selectExpr(
+    table = best.join(full, list(by)).withColumn("cohen_d", F.expr(d)).selectExpr(
         *[q(b) for b in by], "best_config", "best_score", "best_std", "best_ci_lower", "best_ci_upper",
         "full_score", "full_std", "best_score - full_score as delta", "cohen_d",
         f"{effect_label('cohen_d', True)} as effect_size",
-    ).orderBy(F.desc_nulls_last("cohen_d"), *by)
+    )
+    return table.orderBy(F.desc_nulls_last("cohen_d"), *by) if ordered else table
 
 
 def forest_table(effects: DataFrame, by: Sequence[str]) -> DataFrame:

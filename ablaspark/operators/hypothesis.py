@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.safe import q, ratio, real
 from ..functions.tails import f_sf, norm_upper_ppf, t_two_sided, t_upper_ppf
+from ..session import cut_lineage
 
 
 def guarded_ratio(num: str, den: str) -> str:
@@ -144,8 +145,9 @@ def bonferroni(tests: DataFrame, p: str = "p_value", by: Sequence[str] = (), alp
     """Add n_tests, corrected_alpha, corrected_p (p*m, not clipped), bonferroni_significant.
 
     The family size comes from a grouped count joined back, so a large family is
-    never gathered in one task.
+    never gathered in one task; the tests are worked out once for both.
     """
+    tests = cut_lineage(tests)
     if not by:
         m = tests.count()
         if m == 0:

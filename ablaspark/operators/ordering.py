@@ -121,17 +121,16 @@ def prefix_sums(df: DataFrame, order: Sequence[str], sums: Sequence[str], by: Se
             *[F.coalesce(F.sum(q(x)).over(running), F.lit(0)).alias(f"before_{x}") for x in sums])
     cut = df.selectExpr("*", f"{key} as __k")
     cut = cut.selectExpr("*", f"{bucket('__k', splitters(df, key, pieces))} as __b")
-    groups = [*by, "__b"]
-    totals = cut.groupBy(*groups).agg(*[F.expr(f"sum({q(s)})").alias(f"__t_{s}") for s in sums])
-    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    earlier = over.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(
-        *groups, *[F.coalesce(F.sum(f"__t_{s}").over(earlier), F.lit(0)).alias(f"__p_{s}") for s in sums]
-    )
-    inside = Window.partitionBy(*groups).orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    # One struct key for window and join: NULL groups match, and both use a single shuffle.
+    cut = cut.withColumn("__g", F.struct(*[F.col(q(b)) for b in by], "__b"))
+    totals = cut.groupBy("__g").agg(*[F.expr(f"sum({q(s)})").alias(f"__t_{s}") for s in sums])
+    over = Window.partitionBy(*[f"__g.{q(b)}" for b in by]) if by else Window.partitionBy(F.lit(1))
+    earlier = over.orderBy("__g.__b").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(
+        "__g", *[F.coalesce(F.sum(f"__t_{s}").over(earlier), F.lit(0)).alias(f"__p_{s}") for s in sums])
+    inside = Window.partitionBy("__g").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
     within = cut.select("*", *[F.coalesce(F.sum(q(s)).over(inside), F.lit(0)).alias(f"__w_{s}") for s in sums])
-    joined = _null_safe_join(within, totals, groups)
-    return joined.select(
+    return within.join(starts, "__g").select(
         *[q(c) for c in df.columns],
         *[(F.col(f"__p_{s}") + F.col(f"__w_{s}")).alias(f"before_{s}") for s in sums],
     )

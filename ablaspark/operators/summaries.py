@@ -35,14 +35,19 @@ def finish_statistics(moments: DataFrame, by: Sequence[str], confidence: float =
         *[q(b) for b in by], "mean", "std", "min", "max", "ci_lower", "ci_upper", "n_runs")
 
 
-def summarize_statistics(runs: DataFrame, value: str, by: Sequence[str], confidence: float = 0.95) -> DataFrame:
-    """mean, std (sample), min, max, interval and n per configuration, best mean first."""
+def summarize_statistics(runs: DataFrame, value: str, by: Sequence[str], confidence: float = 0.95,
+                         ordered: bool = True) -> DataFrame:
+    """mean, std (sample), min, max, interval and n per configuration, best mean first.
+
+    ``ordered=False`` saves the sort where the table feeds another operator.
+    """
     x = real(q(value))
     moments = runs.groupBy(*by).agg(
         F.expr(f"avg({x})").alias("mean"), F.expr(f"stddev_samp({x})").alias("std"),
         F.expr(f"min({x})").alias("min"), F.expr(f"max({x})").alias("max"), F.expr(f"count({x})").alias("n_runs"),
     )
-    return finish_statistics(moments, by, confidence).orderBy(F.desc_nulls_last("mean"), *by)
+    table = finish_statistics(moments, by, confidence)
+    return table.orderBy(F.desc_nulls_last("mean"), *by) if ordered else table
 
 
 def summarize_results(results: DataFrame, by: Sequence[str] = ("config_name",),

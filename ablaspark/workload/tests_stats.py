@@ -82,7 +82,7 @@ FROM pairs WINDOW w AS (PARTITION BY experiment)""")(
 
 
 def _two_sided_moments(t):
-    s = summaries.summarize_statistics(runs(t), "value", ["experiment", "configuration"])
+    s = _summary(t)
     full = s.where("configuration = 'full'").selectExpr("experiment", "mean as mf", "std as sf", "n_runs as nf")
     return s.where("configuration != 'full'").join(full, "experiment")
 
@@ -132,7 +132,7 @@ SELECT line_no, n, sign(tv) * {S.norm_upper('least(greatest(p / 2, 1e-12), 0.5)'
 
 
 def _summary(t):
-    return summaries.summarize_statistics(runs(t), "value", ["experiment", "configuration"])
+    return summaries.summarize_statistics(runs(t), "value", ["experiment", "configuration"], ordered=False)
 
 
 query("best_vs_full",
@@ -171,12 +171,12 @@ WITH RECURSIVE {OVER_SQL} SELECT *, {S.label('cohen_d', S.TITLE)} AS effect_size
 query("forest_table", "experiment best_config delta:f half_width:f cohen_d:f effect_size", f"""
 WITH RECURSIVE {OVER_SQL} SELECT *, (best_ci_upper - best_ci_lower) / 2 AS half_width,
 {S.label('cohen_d', S.TITLE)} AS effect_size FROM eff""")(
-    lambda t: comparing.forest_table(comparing.over_engineering_table(_summary(t), E), E))
+    lambda t: comparing.forest_table(comparing.over_engineering_table(_summary(t), E, ordered=False), E))
 
 query("effect_distribution", "n:i mean_d:f median_d:f mean_delta:f", f"""
 WITH RECURSIVE {OVER_SQL} SELECT count(cohen_d) AS n, avg(cohen_d) AS mean_d, median(cohen_d) AS median_d,
 avg(delta) AS mean_delta FROM eff""")(
-    lambda t: summaries.effect_distribution(comparing.over_engineering_table(_summary(t), E), "cohen_d"))
+    lambda t: summaries.effect_distribution(comparing.over_engineering_table(_summary(t), E, ordered=False), "cohen_d"))
 
 query("global_report",
       "experiment dataset task_type best_config best_score:f best_std:f baseline_score:f full_score:f"
