@@ -110,7 +110,8 @@ def best_vs_full(summary: DataFrame, pairs: DataFrame, by: Sequence[str], alpha:
     """Best configuration other than full and baseline, tested against full, per experiment.
 
     ``summary`` has mean, std, n_runs per configuration; ``pairs`` is the pairwise table.
-    The sign of t and d is turned to best-minus-full.
+    The sign of t and d is turned to best-minus-full. A best configuration without its
+    pairwise row is an error.
     """
     best = best_per_group(
         summary.where("configuration not in ('full', 'baseline')"), by, "mean", ["configuration"]
@@ -120,8 +121,11 @@ def best_vs_full(summary: DataFrame, pairs: DataFrame, by: Sequence[str], alpha:
     turned = pairs.where("config_a = 'full' or config_b = 'full'").selectExpr(
         *[q(b) for b in by], "if(config_a = 'full', config_b, config_a) as best_config",
         "if(config_a = 'full', -t_statistic, t_statistic) as t_statistic", "p_value",
-        "if(config_a = 'full', -cohen_d, cohen_d) as cohens_d", "bonferroni_significant", "corrected_alpha")
-    row = best.join(full, list(by)).join(turned, [*by, "best_config"])
+        "if(config_a = 'full', -cohen_d, cohen_d) as cohens_d", "bonferroni_significant", "corrected_alpha",
+        "true as __paired")
+    missing = "cast(raise_error(concat('no pairwise row of full and ', best_config)) as double)"
+    row = best.join(full, list(by)).join(turned, [*by, "best_config"], "left").withColumn(
+        "t_statistic", F.expr(f"if(__paired is null, {missing}, t_statistic)"))
     return with_d_interval(row, "cohens_d", "n", "n", alpha).selectExpr(
         *[q(b) for b in by], "best_config", "best_score", "best_std", "full_score", "full_std",
         "best_score - full_score as delta", "t_statistic", "p_value", f"{p_stars('p_value')} as p_interpret",

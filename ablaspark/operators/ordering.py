@@ -55,8 +55,13 @@ def splitters(df: DataFrame, key: str, pieces: int = 1024) -> list[str]:
     data because the sampling modulus follows the estimated number of keys.
     """
     keys = df.selectExpr(f"{key} as k")
-    distinct = keys.agg(F.approx_count_distinct(F.xxhash64("k"))).first()[0] or 0
-    modulus = max(1, distinct // _SAMPLE)
+    distinct, width = keys.agg(F.approx_count_distinct(F.xxhash64("k")),
+                               F.avg(F.octet_length(F.to_json("k")))).first()
+    # Long keys (texts) are sampled more thinly, so the sample stays within some 64 MB.
+    width = max(1.0, width or 1.0)
+    pieces = int(min(pieces, max(16, (4 << 20) / width)))
+    sample = int(min(_SAMPLE, max(pieces, (64 << 20) / width)))
+    modulus = max(1, (distinct or 0) // sample)
     rows = keys.where(f"pmod(xxhash64(k), {modulus}) = 0").distinct().orderBy("k").collect()
     if len(rows) < 2:
         return []

@@ -15,21 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import metrics
-from ..operators.configs import AblationConfig, standard_configs
+from ..operators.configs import TOGGLES, AblationConfig, standard_configs
 from ..operators.features import dummy_class, predict_constant
 from ..operators.splitting import kfold, split_holdout, split_stratified, stratified_kfold
 from .pipelines import Builder, build
 
 RUN_SCHEMA = "configuration string, cfg_ord int, run int, random_state int, metric string, value double"
-STATUS_SCHEMA = "configuration string, run int, fold int, status string, error string, seconds double"
 
 
-def score(predictions: DataFrame, task: str, label: str = "label", average: str = "weighted") -> dict[str, float]:
+def score(predictions: DataFrame, task: str, label: str = "label", average: str = "weighted",
+          auc: bool = True) -> dict[str, float]:
     """All metrics of one prediction set; ROC AUC for two classes with probabilities.
 
     The model runs once: only label, prediction and score are kept for the metrics.
     """
-    soft = "probability" in predictions.columns
+    soft = auc and "probability" in predictions.columns
     kept = predictions.select(
         label, "prediction", *([vector_to_array("probability")[1].alias("__s")] if soft else [])
     ).persist(StorageLevel.MEMORY_AND_DISK)
@@ -92,13 +92,43 @@ def primary_metric(runs: DataFrame) -> str:
     raise ValueError(f"no primary metric among {sorted(names)}")
 
 
+# Scoring names: metric, average and sign. neg_ scores are reported with their sign turned back.
+SCORERS = {
+    "accuracy": ("accuracy", "macro", 1), "roc_auc": ("roc_auc", "macro", 1), "r2": ("r2_score", None, 1),
+    **{f"{m}_{a}": (k, a, 1) for m, k in (("precision", "precision"), ("recall", "recall"), ("f1", "f1_score"))
+       for a in ("macro", "weighted")},
+    "neg_mean_squared_error": ("mse", None, -1), "neg_mean_absolute_error": ("mae", None, -1),
+    "neg_root_mean_squared_error": ("rmse", None, -1),
+}
+DEFAULT_SCORING = {
+    "classification": ["accuracy", "precision_macro", "recall_macro", "f1_macro"],
+    "regression": ["neg_mean_squared_error", "r2", "neg_mean_absolute_error", "neg_root_mean_squared_error"],
+}
+
+
+def scored(predictions: DataFrame, task: str, label: str, scoring: Sequence[str]) -> dict[str, float]:
+    """The wanted scores of one prediction set, by scoring name."""
+    averages = {SCORERS[n][1] for n in scoring} - {None} or {"macro"}
+    by_average = {a: score(predictions, task, label, a, "roc_auc" in scoring) for a in averages}
+    out = {}
+    for name in scoring:
+        metric, average, sign = SCORERS[name]
+        value = by_average.get(average, next(iter(by_average.values()))).get(metric)
+        out[name] = None if value is None else sign * float(value)
+    return out
+
+
 def run_cv(df: DataFrame, ids: Sequence[str], label: str, builder: str | Builder,
            configs: Sequence[AblationConfig] | None = None, folds: int = 5, repeats: int = 1, seed: int = 42,
-           task: str = "classification", baseline: bool = True) -> DataFrame:
-    """One row per configuration and repeat: status, fold statistics, time; failures are rows too.
+           task: str = "classification", baseline: bool = True, scoring: Sequence[str] | None = None) -> DataFrame:
+    """One row per configuration and repeat: switches, status, fold statistics, time; failures are rows too.
 
-    Fold statistics use the population deviation, class metrics are macro averages.
+    Each scoring name gives mean_, std_ (population), min_ and max_ columns over the folds.
     """
+    scoring = list(scoring or DEFAULT_SCORING[task])
+    unknown = [n for n in scoring if n not in SCORERS]
+    if unknown:
+        raise ValueError(f"unknown scoring {unknown}; available: {sorted(SCORERS)}")
     spark = df.sparkSession
     plan: list[AblationConfig | None] = ([None] if baseline else []) + list(configs or standard_configs())
     scores, states = [], []
@@ -112,22 +142,22 @@ def run_cv(df: DataFrame, ids: Sequence[str], label: str, builder: str | Builder
                 start = time.perf_counter()
                 train, test = folded.where(f"fold != {f}").drop("fold"), folded.where(f"fold = {f}").drop("fold")
                 try:
-                    values = score(_fit_predict(builder, config, train, test, task, label), task, label, "macro")
+                    values = scored(_fit_predict(builder, config, train, test, task, label), task, label, scoring)
                 except Exception as error:
                     status, message = "failed", f"{type(error).__name__}: {str(error)[:200]}"
                     break
-                done.append((name, r, f, time.perf_counter() - start, {k: None if v is None else float(v)
-                                                                     for k, v in values.items()}))
-            states.append((name, r, seed + r, status, message, folds))
+                done.append((name, r, f, time.perf_counter() - start, values))
+            switches = [getattr(config, t) if config else False for t in TOGGLES]
+            note = config.description if config else "Dummy Baseline (most_frequent/mean)"
+            states.append((name, r, seed + r, status, message, folds, *switches, note))
             scores += done if status == "success" else []
         folded.unpersist()
     long = spark.createDataFrame(scores, "config_name string, repeat int, fold int, time_sec double, m map<string,double>")
-    names = (["mse", "rmse", "mae", "r2_score"] if task == "regression"
-             else ["accuracy", "precision", "recall", "f1_score"])
-    wide = long.selectExpr("config_name", "repeat", "fold", "time_sec", *[f"m['{n}'] as {n}" for n in names])
-    stats = metrics.cv_aggregate(wide, names, ["config_name", "repeat"]).drop("n_folds")
+    wide = long.selectExpr("config_name", "repeat", "fold", "time_sec", *[f"m['{n}'] as {n}" for n in scoring])
+    stats = metrics.cv_aggregate(wide, scoring, ["config_name", "repeat"]).drop("n_folds")
     table = spark.createDataFrame(
-        states, "config_name string, repeat int, random_seed int, status string, error string, n_folds int")
+        states, "config_name string, repeat int, random_seed int, status string, error string, n_folds int, "
+        + ", ".join(f"{t} boolean" for t in TOGGLES) + ", description string")
     return table.join(stats, ["config_name", "repeat"], "left")
 
 

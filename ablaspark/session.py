@@ -58,9 +58,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast for a materialised table, only after counting that it is small.
+def small_side(df: DataFrame, rows: int = 100_000, size: int = 64 << 20) -> DataFrame:
+    """Hint a broadcast for a materialised table, only after measuring that it is small.
 
-    Larger ones are returned as they are, and the join shuffles (AQE splits hot keys).
+    Both the rows and their bytes (as text) are bounded. Larger tables are returned as they
+    are, and the join shuffles (AQE splits hot keys).
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    n, width = df.limit(rows + 1).agg(
+        F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= rows and (width or 0) <= size else df

@@ -44,7 +44,7 @@ query("run_ablation_holdout", "configuration cfg_ord:i run:i random_state:i metr
     .where("metric != 'train_time'"))
 
 query("run_ablation_cv",
-      "config_name repeat:i random_seed:i status n_folds:i mean_accuracy:f std_accuracy:f mean_f1_score:f std_f1_score:f")(
+      "config_name repeat:i random_seed:i status n_folds:i mean_accuracy:f std_accuracy:f mean_f1_macro:f std_f1_macro:f use_scaling")(
     lambda t: ablation.run_cv(labelled_docs(t).drop("lang", "source"), ["doc_id"], "label", doc_builder, _three(("minimal",)), folds=3))
 
 _SINGLE = ["l_quantity", "l_discount", "l_tax"]

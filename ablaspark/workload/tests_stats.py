@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import comparing, hypothesis, ordering, summaries
+from ..plans.reporting import statistical_report
 from . import sqltext as S
 from .inputs import runs
 from .registry import query
@@ -65,6 +68,21 @@ p AS (SELECT *, {S.f_p('f_statistic', 'n_groups - 1', 'n - n_groups')} AS p_valu
 SELECT *, p_value < 0.05 AS significant FROM p""")(
     lambda t: hypothesis.anova_test(runs(t), "value", "configuration", E))
 
+def _report(t):
+    report = statistical_report(runs(t), E, "cfg_ord")
+    pairs = report["pairwise"].groupBy("experiment").agg(
+        F.expr("count(1)").alias("n_pairs"), F.expr("count_if(significant)").alias("n_significant"))
+    return report["summary"].join(report["anova"].select("experiment", "f_statistic", "p_value"), "experiment").join(
+        pairs, "experiment")
+
+
+query("statistical_report",
+      "experiment configuration mean:f ci_lower:f ci_upper:f f_statistic:f p_value:f n_pairs:i n_significant:i", f"""
+WITH RECURSIVE {S.RUNS}, {S.SUMMARY}, {ANOVA_SQL}, {S.PAIRS},
+p AS (SELECT experiment, f_statistic, {S.f_p('f_statistic', 'n_groups - 1', 'n - n_groups')} AS p_value FROM f),
+c AS (SELECT experiment, count(*) AS n_pairs, count(*) FILTER (WHERE significant) AS n_significant FROM pairs GROUP BY 1)
+SELECT * FROM summary JOIN p USING (experiment) JOIN c USING (experiment)""")(_report)
+
 query("anova_rows", "event_day:i f_statistic:f p_value:f significant n_groups:i", f"""
 WITH runs AS (SELECT day(ts) AS experiment, event_type AS configuration, value FROM events), {ANOVA_SQL},
 p AS (SELECT *, {S.f_p('f_statistic', 'n_groups - 1', 'n - n_groups')} AS p_value FROM f)

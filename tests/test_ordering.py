@@ -100,3 +100,9 @@ def test_auc_brute_force(request, spark, forced):
     assert got["a"] == pytest.approx(brute_auc([(s, y) for g, s, y in rows if g == "a"])) and got["b"] is None
     flipped = metrics.roc_auc(df.where("g = 'a'").withColumn("s", F.expr("-s")), "y", "s").first()[0]
     assert flipped == pytest.approx(1 - got["a"])
+
+
+def test_null_groups_are_groups(small_tasks, spark):
+    df = spark.createDataFrame([(None, i) for i in range(300)] + [("a", i) for i in range(50)], "g string, id int")
+    got = ordering.ordered_rank(df, ["id"], "n", ["g"]).where("n != id + 1").count()
+    assert got == 0 and ordering.ordered_rank(df, ["id"], "n", ["g"]).count() == 350

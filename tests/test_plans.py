@@ -80,6 +80,11 @@ def test_failed_fit_leaves_no_row_and_cv_says_so(spark, table):
     rows = {r["config_name"]: r for r in cv.collect()}
     assert rows["full"]["status"] == "failed" and "ZeroDivision" in rows["full"]["error"] and rows["full"]["mean_accuracy"] is None
     assert rows["baseline"]["status"] == "success" and rows["baseline"]["mean_accuracy"] > 0.4
+    assert rows["baseline"]["use_scaling"] is False and rows["full"]["use_scaling"] is True
+    with pytest.raises(ValueError, match="available"):
+        ablation.run_cv(table, ["id"], "label", broken, [CONFIGS["full"]], scoring=["nope"])
+    only = ablation.run_cv(table, ["id"], "label", broken, [CONFIGS["full"]], folds=2, scoring=["f1_weighted"])
+    assert "mean_f1_weighted" in only.columns and "mean_accuracy" not in only.columns
 
 
 def test_regression_runs(spark, table):
@@ -87,7 +92,7 @@ def test_regression_runs(spark, table):
         return [Step("vector", stages.assemble(["a"])), Step("model", learners.linear(label="b"))]
 
     cv = ablation.run_cv(table, ["id"], "b", linear, [CONFIGS["full"]], folds=3, task="regression").collect()
-    assert {r["config_name"] for r in cv} == {"baseline", "full"} and all(r["std_mse"] >= 0 for r in cv)
+    assert {r["config_name"] for r in cv} == {"baseline", "full"} and all(r["std_mean_squared_error"] >= 0 and r["mean_root_mean_squared_error"] > 0 for r in cv)
     runs = ablation.run_holdout(table, ["id"], "b", linear, [CONFIGS["full"]], n_runs=1, task="regression")
     assert ablation.primary_metric(runs) == "r2_score"
     with pytest.raises(ValueError):

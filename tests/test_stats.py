@@ -138,3 +138,15 @@ def test_nested_metrics(spark):
     assert nested["train"]["mean"] == 2.0 and nested["ensemble"]["count"] == 1
     with pytest.raises(ValueError, match="metric_value"):
         summaries.metric_by_task_type(df.drop("metric_value"))
+
+
+def test_best_vs_full_needs_the_pair(spark):
+    rng = random.Random(2)
+    df = table(spark, {c: [rng.random() for _ in range(5)] for c in ("full", "minimal", "baseline")})
+    summary = summaries.summarize_statistics(df, "value", ["experiment", "configuration"])
+    pairs = hypothesis.pairwise_comparison(df, ["experiment"], order="cfg_ord")
+    row = comparing.best_vs_full(summary, pairs, ["experiment"]).first()
+    pair = pairs.where("config_a = 'full' and config_b = 'minimal'").first()
+    assert row["best_config"] == "minimal" and row["cohens_d"] == pytest.approx(-pair["cohen_d"])
+    with pytest.raises(Exception, match="no pairwise row"):
+        comparing.best_vs_full(summary, pairs.where("config_b != 'minimal'"), ["experiment"]).collect()
