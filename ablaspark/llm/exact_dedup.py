@@ -61,7 +61,8 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.lit(True).alias("kept"), "text_sha256")
     maybe = probed.filter("maybe").select("doc_id", "chars", "text_sha256", "row_no")
     first = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), "doc_id", "row_no"))
-    groups = maybe.groupBy("text_sha256").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
+    groups = stored(maybe.groupBy("text_sha256").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")),
+                    "exact-dedup-groups")
     grouped = maybe.join(groups, "text_sha256").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
         (F.col("row_no") == F.col("first.row_no")).alias("kept"), "text_sha256")

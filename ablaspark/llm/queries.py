@@ -4,21 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, imatch, mixing, packing, secrets, tokenizers, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_fingerprints(_documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_columns(secrets.scan_versions(_documents(spark, sf_dir), secrets.Ledger(spark)))
+
+
+def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), tokenizers.path())
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(_documents(spark, sf_dir))
 
 
+SQL_WARC = r"""
+with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes,
+                  sha256(coalesce(html, '')) as payload_digest from pages),
+f as (select *, min(page_id) over (partition by payload_digest) as first_id from p)
+select page_id, payload_bytes, payload_digest,
+       case when payload_bytes >= 100 and page_id > first_id then 'revisit' else 'response' end as record_type,
+       case when payload_bytes >= 100 and page_id > first_id then first_id end as refers_to from f
+"""
+
 SQL_EXACT_DEDUP = r"""
 with d as (select doc_id, length(coalesce(text, '')) as chars,
                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) as text_sha256 from documents),
@@ -55,7 +81,11 @@ from places group by doc_id, size, source_size, target
 """
 
 QUERIES = {
+    "op2_warc": (op2_warc, SQL_WARC),
+    "op4_imatch": (op4_imatch, None),
     "op5_exact_dedup": (op5_exact_dedup, SQL_EXACT_DEDUP),
+    "op6_secrets": (op6_secrets, None),
+    "op8_pack": (op8_pack, None),
     "op10_mix_sources": (op10_mix_sources, SQL_MIX_SOURCES),
 }
 
