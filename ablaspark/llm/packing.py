@@ -10,11 +10,13 @@ that a third of the documents share is never in one task.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,35 +28,74 @@ QUANTUM = 16
 END = 2
 #: Pieces per bucket that the number of rank buckets aims at.
 BUCKET_ROWS = 4096
-#: A task forgets the token ids of words beyond this many distinct words.
-MEMO_WORDS = 200_000
+#: Distinct words and pieces whose ids a worker remembers.
+MEMO_WORDS = 150_000
 
 
-class WordIds(dict):
-    """Token ids (little-endian bytes) of a run without ASCII white space.
+class Memo(dict):
+    """Remembers what ``make`` gave for a key, for between ``limit`` and twice as many of the latest keys."""
+
+    def __init__(self, make, limit: int = MEMO_WORDS):
+        self.make, self.limit, self.older = make, limit, {}
+
+    def __missing__(self, key):
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        if len(self) >= self.limit:
+            self.older = dict(self)
+            self.clear()
+        self[key] = out
+        return out
+
+
+class WordIds:
+    """Token ids (little-endian bytes) of runs without ASCII white space.
 
     The tokenizer splits at white space and looks at nothing across it, so a text's ids are those of its runs in a row.
+    Of a run of plain Latin-1 characters, lower-casing and the split into letter runs, digits and signs are done here,
+    and only pieces not seen lately go to the model; every other run goes through the whole tokenizer.
     """
 
+    #: The tokenizer's split pattern, and the bytes that its byte alphabet keeps as they are.
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    KEPT_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
+    PLAIN = re.compile("[!-~\xa1-\xff]+")
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        self[word] = out = np.asarray(ids, dtype="<u4").tobytes()
-        return out
+        self.model = self.tokenizer.model
+        self.split = regex.compile(self.SPLIT).findall
+        others = [b for b in range(256) if b not in self.KEPT_BYTES]
+        self.alphabet = {b: 256 + i for i, b in enumerate(others)}
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.pieces = Memo(self._piece)
+        self.words = Memo(self._word)
+
+    def _piece(self, piece: bytes) -> bytes:
+        shown = piece.decode() if piece.isalpha() else piece.decode("latin-1").translate(self.alphabet)
+        four = self.four
+        return b"".join([four[t.id] for t in self.model.tokenize(shown)])
+
+    def _word(self, word: bytes) -> bytes:
+        if word.isalpha():  # of bytes: ASCII letters only
+            return self.pieces[word.lower()]
+        if word[-1] in b".,;:!?" and word[:-1].isalpha():
+            return self.pieces[word[:-1].lower()] + self.pieces[word[-1:]]
+        text = word.decode()
+        if self.PLAIN.fullmatch(text) and "<|" not in text:  # the special tokens start so
+            return b"".join([self.pieces[p.encode()] for p in self.split(text.lower())])
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def document(self, text: str) -> bytes:
+        """Ids of a text and the end token."""
+        words = self.words
+        return b"".join([words[w] for w in text.encode().split()]) + END.to_bytes(4, "little")
 
 
 _loaded: dict[str, WordIds] = {}
-_BLANKS = str.maketrans("\t\n\x0b\x0c\r", "     ")
-
-
-def token_bytes(words: WordIds, text: str) -> bytes:
-    return b"".join([words[w] for w in text.translate(_BLANKS).split(" ") if w]) + END.to_bytes(4, "little")
 
 
 def cuts(tokens: int, capacity: int = CAPACITY, quantum: int = QUANTUM) -> list[tuple[int, int]]:
@@ -65,18 +106,21 @@ def cuts(tokens: int, capacity: int = CAPACITY, quantum: int = QUANTUM) -> list[
     return [(a, b - a) for a, b in zip(edges, edges[1:]) if b > a]
 
 
+_PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
+
+
 def _pieces(path: str, capacity: int, quantum: int):
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _loaded.get(path) or _loaded.setdefault(path, WordIds(path))
         for batch in batches:
             rows = []
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                raw = token_bytes(words, text)
+            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                raw = words.document(text.as_py())
                 total = len(raw) // 4
                 rows += [(doc_id, a, n, zlib.crc32(raw[4 * a:4 * (a + n)]), total)
                          for a, n in cuts(total, capacity, quantum)]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"]).astype(
-                {"doc_id": "Int64"})
+            names = [c.split(" ")[0] for c in _PIECE.split(", ")]
+            yield pa.record_batch({c: pa.array([r[i] for r in rows], pa.int64()) for i, c in enumerate(names)})
 
     return cut
 
@@ -90,10 +134,8 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
     ignored; an empty table gives no rows. ``tokenizer`` is a path that every executor can open.
     """
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_or_empty(text).alias("text"))
-    pieces = stored(rows.mapInPandas(
-        _pieces(tokenizer, capacity, quantum),
-        "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint").withColumn(
-            "row_no", F.monotonically_increasing_id()), "pieces")
+    pieces = stored(rows.mapInArrow(_pieces(tokenizer, capacity, quantum), _PIECE).withColumn(
+        "row_no", F.monotonically_increasing_id()), "pieces")
     total = pieces.count()
     buckets = power_of_two(total / BUCKET_ROWS, 64, 1 << 16)
     ranked = pieces.withColumn("bucket", F.pmod(F.xxhash64("row_no"), F.lit(buckets)))

@@ -4,18 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, imatch, mixing, packing, secrets, tokenizers, warc
+from . import debruijn, exact_dedup, imatch, langid, mixing, packing, secrets, simhash, suffix_dedup, tokenizers, warc
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_documents(spark, sf_dir))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_documents(spark, sf_dir))
+
+
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_fingerprints(_documents(spark, sf_dir))
 
@@ -28,10 +36,18 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_columns(secrets.scan_versions(_documents(spark, sf_dir), secrets.Ledger(spark)))
 
 
+def op7_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeated_bytes(_documents(spark, sf_dir))
+
+
 def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), tokenizers.path())
 
 
+def op9_repeated_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return debruijn.repeated_words(_documents(spark, sf_dir))[0]
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_documents(_documents(spark, sf_dir))
 
@@ -81,11 +97,15 @@ from places group by doc_id, size, source_size, target
 """
 
 QUERIES = {
+    "op1_simhash": (op1_simhash, None),
     "op2_warc": (op2_warc, SQL_WARC),
+    "op3_langid": (op3_langid, None),
     "op4_imatch": (op4_imatch, None),
     "op5_exact_dedup": (op5_exact_dedup, SQL_EXACT_DEDUP),
     "op6_secrets": (op6_secrets, None),
+    "op7_repeated_bytes": (op7_repeated_bytes, None),
     "op8_pack": (op8_pack, None),
+    "op9_repeated_words": (op9_repeated_words, None),
     "op10_mix_sources": (op10_mix_sources, SQL_MIX_SOURCES),
 }
 
