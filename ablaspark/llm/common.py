@@ -18,7 +18,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     It cuts lineage: later branches read the same rows, and a lost executor costs only tasks.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

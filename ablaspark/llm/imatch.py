@@ -135,7 +135,8 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """
     rows = docs.select(F.col(doc_id).alias("doc_id"), text_or_empty(text).alias("text"))
     bits = band_bits(rows, "text", band)
-    keyed = rows.withColumn("key", F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_FIRST))).repartition("key")
+    # Both joins below read this one exchange; they need the very same columns for that.
+    keyed = rows.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_FIRST)).alias("key"), "text").repartition("key")
     sizes = stored(docs.select(F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_FIRST)).alias("key"),
                                F.floor(F.length(text_or_empty(text)) / 4).cast("int").alias("quarter")), "quarters")
     steps = next_ids(sizes.select("key"))
@@ -147,14 +148,14 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - quarter),
                       F.substring(F.col("loan"), F.lit(1), quarter))
     both = keyed.join(loans.select(F.col("to").alias("key"), F.col("key").alias("next_key"), "loan"), "key").select(
-        "key", "next_key", "doc_id", F.length("text").cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
+        "key", "next_key", F.length("text").cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
     marked = stored(both.select(
-        "key", "next_key", "doc_id", "n_chars", F.sha2("text", 256).alias("lends"), F.sha2("edited", 256).alias("edited_sha256"),
+        "key", "next_key", "n_chars", F.sha2("text", 256).alias("lends"), F.sha2("edited", 256).alias("edited_sha256"),
         fingerprint(F.col("text"), bits).alias("a"), fingerprint(F.col("edited"), bits).alias("b")), "imatch")
     # the row of an id that lends its text is the one it is compared with
     lender = marked.groupBy("key").agg(F.min(F.struct("lends", "a")).alias("x"))
     joined = marked.join(lender.select(F.col("key").alias("next_key"), F.col("x.a").alias("c")), "next_key")
     return joined.select(
-        "doc_id", "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"),
+        F.when(F.col("key") != _FIRST, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"),
         as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"),
         likeness(F.col("a"), F.col("c")).alias("near_next"))

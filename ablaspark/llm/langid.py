@@ -341,3 +341,20 @@ def identify(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", langua
         return rows.select("doc_id", "held_out", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"),
                            F.lit(True).alias("rejected"), F.lit(None).cast("double").alias("cross_entropy"))
     return rows.mapInArrow(_predictor(docs.sparkSession.sparkContext.broadcast(model)), PREDICTION)
+
+
+def accepted(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", language: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text a language model accepts (see identify). None if nothing can be learned."""
+    model = train(docs.filter(~held_out(doc_id)), language, text, doc_id)
+    if model is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() or "" for t in batch.column(text)]
+            entropies, size = shared.value.entropies(texts)
+            _, strange = shared.value.judge(entropies, size)
+            yield batch.filter(pa.array(~strange & (size > 0)))
+
+    return docs.mapInArrow(keep, docs.schema)

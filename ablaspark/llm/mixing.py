@@ -111,3 +111,22 @@ def mixed_documents(docs: DataFrame, **names) -> DataFrame:
     """One row per row of ``docs``: doc_id, size, source_size, target, taken (words, repeats counted)."""
     return mix(docs, **names).groupBy("sid", "bucket", "rank", "doc_id", "size", "source_size", "target").agg(
         F.sum("taken").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", **how) -> DataFrame:
+    """The mix itself with the columns of ``docs``: a row for each time a document is taken.
+
+    Where the mix takes only a part of a document its text is cut after that word (and n_chars, if there, is
+    that of the cut text). Rows that agree in id and text are taken in common.
+    """
+    entries = mix(docs, doc_id, source, text, **how).filter("taken > 0 or size = 0").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"),
+        F.col("taken").alias("__taken"), F.col("epoch").alias("__epoch")).filter("__size > 0 or __epoch = 0").distinct()
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    words = F.slice(F.regexp_extract_all(text_or_empty(text), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__taken").cast("int"))
+    partly = F.col("__taken") < F.col("__size")
+    joined = docs.join(entries, same).withColumn(text, F.when(partly, F.array_join(words, " ")).otherwise(F.col(text)))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(partly, F.length(text)).otherwise(F.col("n_chars")).cast(
+            docs.schema["n_chars"].dataType))
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -152,3 +152,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     classes = stored(labelled.join(least, "root").select("print", "component_id"), "simhash-classes")
     return marked.join(classes, "print").select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, with one document of every group: that of the smallest id.
+
+    Rows that share an id share their fate; a null id only stays in a group without any other.
+    """
+    marked = near_duplicates(docs, doc_id, text).select(
+        F.col("doc_id").alias("__id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("__stays"))
+    gone = stored(marked.groupBy("__id").agg(F.max("__stays").alias("__stays")).filter("not __stays").select("__id"), "near-copies")
+    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
