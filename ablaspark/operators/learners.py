@@ -184,13 +184,15 @@ class Voting:
     label: str = "label"
 
     def stage(self) -> LearnStage:
-        from pyspark.ml.functions import vector_to_array
+        from pyspark.ml.functions import array_to_vector, vector_to_array
 
         from . import voting
 
         def learn(df: DataFrame):
             models = [(n, e.fit(df)) for n, e in self.members]
-            classes = list(self.classes) if self.classes else [0.0, 1.0]
+            fitted = [getattr(m, "bestModel", m) for _, m in models]
+            classes = list(self.classes) if self.classes else [
+                float(c) for c in range(max(getattr(m, "numClasses", 2) for m in fitted))]
 
             def apply(d: DataFrame) -> DataFrame:
                 # One projection chain with distinct column names: predictions never need a join.
@@ -208,7 +210,8 @@ class Voting:
                 if self.kind == "hard":
                     d = voting.vote_hard(d, preds, "prediction")
                 elif self.kind == "soft":
-                    d = voting.vote_soft(d, probs, classes, self.weights, "prediction").drop("prediction_proba")
+                    d = voting.vote_soft(d, probs, classes, self.weights, "prediction")
+                    d = d.withColumn("probability", array_to_vector("prediction_proba")).drop("prediction_proba")
                 else:
                     d = voting.vote_regressor(d, preds, "prediction")
                 return d.drop(*preds, *[c for p in probs for c in p])

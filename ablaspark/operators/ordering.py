@@ -1,9 +1,10 @@
 """Exact ranks, prefix sums and quantiles without a single hot task.
 
 A window over one global (or one skewed) group would put that whole group in one
-task. Here the order is first cut at a bounded number of splitters, the per-bucket
-totals are prefix-summed (a small table), and only rows of one bucket ever share a
-task. Splitters are plain literals, so every branch of a plan sees the same cuts.
+task. Here the rows are range-partitioned by group and order, which is written once;
+per-range totals are prefix-summed (a small table), and only rows of one range ever
+share a task. The number of ranges is that of the shuffle partitions, so it follows the
+data like any other shuffle. Keys keep their own types.
 """
 
 from __future__ import annotations
@@ -16,81 +17,6 @@ from pyspark.sql import functions as F
 from ..functions.safe import q
 from ..session import cut_lineage, small_side
 
-_SAMPLE = 20_000
-_ONE_TASK = 200_000  # groups up to this many rows may be ordered inside one task
-
-
-def _sql_literal(v) -> str:
-    if v is None:
-        return "null"
-    if isinstance(v, bool):
-        return str(v).lower()
-    if isinstance(v, int):
-        return f"{v}L"
-    if isinstance(v, float):
-        return f"double('{v!r}')"
-    return "'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
-def _common_type(sql: str, dtype: str) -> str:
-    """Integers are compared as bigint and fractions as double, to match the literals."""
-    if dtype in ("tinyint", "smallint", "int", "bigint"):
-        return f"cast({sql} as bigint)"
-    if dtype in ("float", "double") or dtype.startswith("decimal"):
-        return f"cast({sql} as double)"
-    return f"cast({sql} as string)"
-
-
-def order_key(df: DataFrame, order: Sequence[str]) -> str:
-    """SQL for a comparable struct of the order expressions."""
-    types = [t for _, t in df.selectExpr(*[f"{o} as k{i}" for i, o in enumerate(order)]).dtypes]
-    parts = ", ".join(f"'k{i}', {_common_type(o, t)}" for i, (o, t) in enumerate(zip(order, types)))
-    return f"named_struct({parts})"
-
-
-def splitters(df: DataFrame, key: str, pieces: int = 1024) -> list[str]:
-    """At most ``pieces - 1`` cut points of an order key, as SQL literals in order.
-
-    A hash sample over the key values is collected; its size does not grow with the
-    data because the sampling modulus follows the estimated number of keys.
-    """
-    keys = df.selectExpr(f"{key} as k")
-    distinct, width = keys.agg(F.approx_count_distinct(F.xxhash64("k")),
-                               F.avg(F.octet_length(F.to_json("k")))).first()
-    # Long keys (texts) are sampled more thinly, so the sample stays within some 64 MB.
-    width = max(1.0, width or 1.0)
-    pieces = int(min(pieces, max(16, (4 << 20) / width)))
-    sample = int(min(_SAMPLE, max(pieces, (64 << 20) / width)))
-    modulus = max(1, (distinct or 0) // sample)
-    rows = keys.where(f"pmod(xxhash64(k), {modulus}) = 0").distinct().orderBy("k").collect()
-    if len(rows) < 2:
-        return []
-    step = max(1.0, len(rows) / pieces)
-    picks, at = [], step
-    while round(at) < len(rows):
-        picks.append(rows[round(at)]["k"])
-        at += step
-    return [
-        "named_struct(" + ", ".join(f"'{n}', {_sql_literal(v)}" for n, v in zip(r.__fields__, r)) + ")"
-        for r in picks
-    ]
-
-
-def bucket(key: str, cuts: list[str]) -> str:
-    """Number of cuts at or below the key, by binary search over a constant array."""
-    if not cuts:
-        return "0"
-    steps, h = [], 1 << (len(cuts).bit_length() - 1)
-    while h:
-        steps.append(str(h))
-        h //= 2
-    array = f"array({', '.join(cuts)})"
-    return (
-        f"transform(array(named_struct('k', {key}, 'c', {array})), b -> "
-        f"aggregate(array({', '.join(steps)}), 0, (at, h) -> case when at + h <= {len(cuts)}"
-        f" and b.c[least(at + h, {len(cuts)}) - 1] <= b.k then at + h else at end))[0]"
-    )
-
 
 def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where NULL equals NULL; the right copies of the keys go away."""
@@ -102,30 +28,17 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
 
 
-def largest_group(df: DataFrame, by: Sequence[str]) -> int:
-    """Rows of the largest group: a counted shuffle of group keys only."""
-    if not by:
-        return df.count()
-    return df.groupBy(*by).agg(F.expr("count(1)").alias("__n")).agg(F.max("__n")).first()[0] or 0
-
-
-def prefix_sums(df: DataFrame, order: Sequence[str], sums: Sequence[str], by: Sequence[str] = (),
-                pieces: int = 1024) -> DataFrame:
+def prefix_sums(df: DataFrame, order: Sequence[str], sums: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Add ``before_<x>``: the sum of x over rows of the same ``by`` group with a smaller key.
 
     The order expressions must tell the rows of a group apart (aggregate ties first,
-    or end the order with a unique id). If the largest group is counted to be small, one
-    window does it; otherwise the order is bucketed.
+    or end the order with a unique id); nulls come first.
     """
-    key = order_key(df, order)
-    if largest_group(df, by) <= _ONE_TASK:
-        over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-        running = over.orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
-        return df.selectExpr("*", f"{key} as __k").select(
-            *[q(c) for c in df.columns],
-            *[F.coalesce(F.sum(q(x)).over(running), F.lit(0)).alias(f"before_{x}") for x in sums])
-    cut = df.selectExpr("*", f"{key} as __k")
-    cut = cut.selectExpr("*", f"{bucket('__k', splitters(df, key, pieces))} as __b")
+    keys = [f"__k{i}" for i in range(len(order))]
+    cut = df.selectExpr("*", *[f"{o} as {k}" for o, k in zip(order, keys)]).repartitionByRange(
+        *[F.col(q(b)) for b in by], *keys).withColumn("__b", F.spark_partition_id())
+    # Written once: the ranges must be the same for the totals and for the rows.
+    cut = cut_lineage(cut)
     # One struct key for window and join: NULL groups match, and both use a single shuffle.
     cut = cut.withColumn("__g", F.struct(*[F.col(q(b)) for b in by], "__b"))
     totals = cut.groupBy("__g").agg(*[F.expr(f"sum({q(s)})").alias(f"__t_{s}") for s in sums])
@@ -133,7 +46,7 @@ def prefix_sums(df: DataFrame, order: Sequence[str], sums: Sequence[str], by: Se
     earlier = over.orderBy("__g.__b").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         "__g", *[F.coalesce(F.sum(f"__t_{s}").over(earlier), F.lit(0)).alias(f"__p_{s}") for s in sums])
-    inside = Window.partitionBy("__g").orderBy("__k").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("__g").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     within = cut.select("*", *[F.coalesce(F.sum(q(s)).over(inside), F.lit(0)).alias(f"__w_{s}") for s in sums])
     return within.join(starts, "__g").select(
         *[q(c) for c in df.columns],
@@ -155,21 +68,13 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     parts in ``accuracy``. One pass then counts what lies below and in equal-width
     bins of the bracket, and a second pass ranks only the bins that hold the wanted
     ranks. Groups no larger than ``accuracy`` use their full range as the bracket.
-    Where every group is counted to be small, the built-in aggregate is used.
     """
     by = list(by) or ["__all"]
     base = df.selectExpr(
         *([q(b) for b in by] if by != ["__all"] else ["1 as __all"]), f"cast({value} as double) as __v"
     ).where("__v is not null and not isnan(__v)")
-    if largest_group(base, by) <= _ONE_TASK:
-        ps = ", ".join(f"{float(p)!r}D" for p in probs)
-        pairs = f"transform(arrays_zip(array({ps}), percentile(__v, array({ps}))), z -> named_struct('p', z.`0`, 'q', z.`1`))"
-        return base.groupBy(*by).agg(F.expr(pairs).alias("__pq")).selectExpr(
-            *[q(b) for b in by if b != "__all"], "inline(__pq)")
-    return _bracketed_quantiles(base, by, probs, accuracy, bins)
-
-
-def _bracketed_quantiles(base: DataFrame, by: list[str], probs: Sequence[float], accuracy: int, bins: int) -> DataFrame:
+    # Read by every pass below.
+    base = cut_lineage(base)
     margin = 4.0 / accuracy
     asked = ", ".join(f"{max(0.0, p - margin)!r}D, {min(1.0, p + margin)!r}D" for p in probs)
     targets = []

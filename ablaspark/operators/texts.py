@@ -145,8 +145,7 @@ def extract_fenced(df: DataFrame, text: str, pick: str = "first") -> DataFrame:
 
 def token_count(df: DataFrame, text: str, name: str = "estimated_tokens") -> DataFrame:
     """Words between white space; an empty text has none."""
-    words = f"regexp_replace({q(text)}, r'^\\s+|\\s+$', '')"
-    return df.withColumn(name, F.expr(f"case when {words} = '' then 0 else size(split({words}, r'\\s+')) end"))
+    return df.withColumn(name, F.expr(f"regexp_count({q(text)}, r'\\S+')"))
 
 
 # File-name prefix -> artifact type, first match wins.

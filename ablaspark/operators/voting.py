@@ -41,7 +41,7 @@ def vote_soft(df: DataFrame, probabilities: Sequence[Sequence[str]], classes: Se
         for i in range(len(classes))
     ]
     proba = f"array({', '.join(means)})"
-    values = ", ".join(f"'{c}'" if isinstance(c, str) else repr(c) for c in classes)
+    values = ", ".join(f"'{c}'" if isinstance(c, str) else f"{c!r}D" if isinstance(c, float) else repr(c) for c in classes)
     out = df.withColumn(f"{name}_proba", F.expr(proba))
     best = f"array_position({name}_proba, array_max({name}_proba))"
     return out.withColumn(name, F.expr(f"element_at(array({values}), cast({best} as int))"))

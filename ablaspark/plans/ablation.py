@@ -10,7 +10,8 @@ import time
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
-from pyspark.ml.functions import vector_to_array
+from pyspark.errors import AnalysisException, IllegalArgumentException
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,37 +26,62 @@ RUN_SCHEMA = "configuration string, cfg_ord int, run int, random_state int, metr
 
 def score(predictions: DataFrame, task: str, label: str = "label", average: str = "weighted",
           auc: bool = True) -> dict[str, float]:
-    """All metrics of one prediction set; ROC AUC for two classes with probabilities.
+    """All metrics of one prediction set. ROC AUC is None without probabilities or with a single class.
 
-    The model runs once: only label, prediction and score are kept for the metrics.
+    More than two classes give the one-vs-rest AUC, weighted by class; labels number the probabilities.
+    The model runs once: only label, prediction and probabilities are kept for the metrics.
     """
     soft = auc and "probability" in predictions.columns
     kept = predictions.select(
-        label, "prediction", *([vector_to_array("probability")[1].alias("__s")] if soft else [])
+        label, "prediction", *([vector_to_array("probability").alias("__p")] if soft else [])
     ).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         if task == "regression":
             return metrics.regression_metrics(kept, label, "prediction").first().asDict()
         out = metrics.classification_metrics(kept, label, "prediction", average).first().asDict()
-        if soft:
-            classes = [r[0] for r in kept.select(label).distinct().orderBy(label).limit(3).collect()]
-            if len(classes) == 2:
-                out["roc_auc"] = metrics.roc_auc(kept, label, "__s", repr(classes[1])).first()["roc_auc"]
+        if auc:
+            out["roc_auc"] = _auc(kept, label) if soft else None
         return out
     finally:
         kept.unpersist()
 
 
+def _auc(kept: DataFrame, label: str) -> float | None:
+    size = kept.agg(F.max(F.size("__p"))).first()[0] or 0
+    if size < 2:
+        return None
+    spread = kept.select(label, *[F.get("__p", F.lit(k)).alias(f"__s{k}") for k in range(size)])
+    present = [r[0] for r in kept.select(label).distinct().limit(size + 1).collect()]
+    if len(present) < 2:
+        return None
+    if size == 2:
+        return metrics.roc_auc(spread, label, "__s1", repr(max(present))).first()["roc_auc"]
+    kinds = [type(present[0])(k) for k in range(size)]
+    return metrics.roc_auc_ovr(spread, label, {c: f"__s{k}" for k, c in enumerate(kinds) if c in present}).first()["roc_auc"]
+
+
 def baseline_predictions(train: DataFrame, test: DataFrame, task: str, label: str) -> DataFrame:
     if task == "regression":
         return predict_constant(test, train.agg(F.avg(label).alias("prediction")))
-    return predict_constant(test, dummy_class(train, label))
+    classes = train.agg(F.max(F.col(label).cast("int"))).first()[0]
+    even = array_to_vector(F.array(*[F.lit(1.0)] * (max(1, classes or 0) + 1)))  # ranks nothing: AUC 0.5
+    return predict_constant(test, dummy_class(train, label)).withColumn("probability", even)
+
 
+#: What a broken configuration raises; anything else (lost executors, missing folders) ends the study.
+CONFIG_ERRORS = (ValueError, TypeError, LookupError, AttributeError, ArithmeticError, NotImplementedError, RuntimeError,
+                 IllegalArgumentException, AnalysisException)
 
-def _fit_predict(builder, config, train, test, task, label):
+
+def _fit_predict(builder, config, train, test, task, label) -> tuple[DataFrame, float]:
+    """Predictions, and the seconds of the fit alone."""
+    start = time.perf_counter()
     if config is None:
-        return baseline_predictions(train, test, task, label)
-    return build(builder, config).fit(train).transform(test)
+        predictions = baseline_predictions(train, test, task, label)
+        return predictions, time.perf_counter() - start
+    model = build(builder, config).fit(train)
+    seconds = time.perf_counter() - start
+    return model.transform(test), seconds
 
 
 def run_holdout(df: DataFrame, ids: Sequence[str], label: str, builder: str | Builder,
@@ -71,13 +97,13 @@ def run_holdout(df: DataFrame, ids: Sequence[str], label: str, builder: str | Bu
         train, test = (split.where(f"split = '{s}'").drop("split") for s in ("train", "test"))
         for order, config in enumerate(plan):
             name = config.name if config else "baseline"
-            start = time.perf_counter()
             try:
-                values = score(_fit_predict(builder, config, train, test, task, label), task, label)
-            except Exception as error:  # a broken configuration must not end the study
+                predictions, seconds = _fit_predict(builder, config, train, test, task, label)
+                values = score(predictions, task, label)
+            except CONFIG_ERRORS as error:  # a broken configuration must not end the study
                 print(f"skipped {name}, run {i + 1}: {type(error).__name__}")
                 continue
-            values["train_time"] = time.perf_counter() - start
+            values["train_time"] = seconds
             rows += [(name, order, i + 1, seed + i, m, None if v is None else float(v)) for m, v in values.items()]
         split.unpersist()
     return spark.createDataFrame(rows, RUN_SCHEMA)
@@ -142,9 +168,9 @@ def run_cv(df: DataFrame, ids: Sequence[str], label: str, builder: str | Builder
                 start = time.perf_counter()
                 train, test = folded.where(f"fold != {f}").drop("fold"), folded.where(f"fold = {f}").drop("fold")
                 try:
-                    values = scored(_fit_predict(builder, config, train, test, task, label), task, label, scoring)
-                except Exception as error:
-                    status, message = "failed", f"{type(error).__name__}: {str(error)[:200]}"
+                    values = scored(_fit_predict(builder, config, train, test, task, label)[0], task, label, scoring)
+                except CONFIG_ERRORS as error:
+                    status, message = "failed", f"{type(error).__name__}: {error}"
                     break
                 done.append((name, r, f, time.perf_counter() - start, values))
             switches = [getattr(config, t) if config else False for t in TOGGLES]
@@ -173,13 +199,13 @@ def sanity_matrix(spark: SparkSession, builders: dict[str, Builder], train: Data
             try:
                 pipeline = build(fn, config)
             except Exception as error:
-                rows.append((name, config.name, "FAIL", str(error)[:200]))
+                rows.append((name, config.name, "FAIL", str(error)))
                 continue
             try:
                 n = pipeline.fit(train).transform(test).count()
                 rows.append((name, config.name, "OK", f"{n} rows"))
             except Exception as error:
-                rows.append((name, config.name, "EXC", f"{type(error).__name__}: {str(error)[:200]}"))
+                rows.append((name, config.name, "EXC", f"{type(error).__name__}: {error}"))
     return spark.createDataFrame(rows, "builder string, configuration string, status string, message string")
 
 

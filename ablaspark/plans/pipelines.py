@@ -6,12 +6,19 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Estimator, Pipeline, Transformer
+from pyspark.ml.feature import PCA
 from pyspark.ml.tuning import CrossValidator
 
 from ..operators.configs import AblationConfig
 from ..operators.learners import Voting
 
-CANONICAL = ("preprocessor", "feature_engineering", "model")
+#: Canonical step names, the names that stand for them, and parts of names that hint at them.
+SYNONYMS = {
+    "preprocessor": ("preprocessor", "scaler", "imputer", "preproc", "pre_processing"),
+    "feature_engineering": ("feature_engineering", "fe", "pca", "feature_eng", "feature_engineer"),
+    "model": ("model", "estimator", "clf", "regressor", "modeling"),
+}
+HINTS = (("feature_engineering", ("pca", "feature")), ("preprocessor", ("scale", "imputer")), ("model", ("model", "clf", "reg")))
 
 
 @dataclass(frozen=True)
@@ -62,6 +69,38 @@ def as_steps(built) -> list[Step]:
     return steps
 
 
+def canonical_name(step: Step) -> str:
+    """The canonical name that a step's name, its PCA or a hint in its name stands for; else its own name."""
+    low = step.name.lower()
+    for canonical, names in SYNONYMS.items():
+        if low in names and not (canonical == "preprocessor" and _reduces(step)):
+            return canonical
+    if _reduces(step):
+        return "feature_engineering"
+    for canonical, parts in HINTS:
+        if any(p in low for p in parts) or (canonical == "preprocessor" and low.startswith("pre")):
+            return canonical
+    return step.name
+
+
+def _reduces(step: Step) -> bool:
+    return any(isinstance(x, PCA) for x in [step.stage, *[x for _, x in step.inner]])
+
+
+def canonical_steps(steps: Sequence[Step]) -> list[Step]:
+    """Steps under canonical names; a name that comes again gets a number."""
+    out, seen = [], set()
+    for s in steps:
+        name = base = canonical_name(s)
+        number = 0
+        while name in seen:
+            number += 1
+            name = f"{base}_{number}"
+        seen.add(name)
+        out.append(replace(s, name=name))
+    return out
+
+
 def untuned(stage):
     """A search gives way to the estimator it would tune."""
     return stage.getEstimator() if isinstance(stage, CrossValidator) else stage
@@ -109,4 +148,4 @@ def to_pipeline(steps: Sequence[Step]) -> Pipeline:
 
 def build(builder: str | Builder, config: AblationConfig) -> Pipeline:
     fn = registered(builder) if isinstance(builder, str) else builder
-    return to_pipeline(ablate_stages(as_steps(fn(config)), config))
+    return to_pipeline(ablate_stages(canonical_steps(as_steps(fn(config))), config))

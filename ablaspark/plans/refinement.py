@@ -79,7 +79,7 @@ def candidate_models(train: DataFrame, test: DataFrame, label: str = "label", fo
     return fitted, table
 
 
-def default_searches(train: DataFrame, label: str, fold: str | None, folds: int, samples: int = 10) -> dict:
+def default_searches(train: DataFrame, label: str, fold: str | None, folds: int, samples: int = 50) -> dict:
     n = train.count() * (folds - 1) / folds
     regs = {"regParam": [1.0 / (c * n) for c in learners.LOGISTIC_C]}
     base = learners.LogisticRegression(labelCol=label, maxIter=1000, elasticNetParam=0.0, standardization=False)
@@ -92,11 +92,15 @@ def default_searches(train: DataFrame, label: str, fold: str | None, folds: int,
     }
 
 
-def ensemble_scores(fitted, scores: DataFrame, test: DataFrame, classes: Sequence = (0.0, 1.0),
+def ensemble_scores(fitted, scores: DataFrame, test: DataFrame, classes: Sequence | None = None,
                     label: str = "label") -> DataFrame:
-    """Hard vote against the F1-squared weighted soft vote: voting_score, weighted_score, best_ensemble."""
+    """Hard vote against the F1-squared weighted soft vote: voting_score, weighted_score, best_ensemble.
+
+    The classes are those of the fitted models unless they are given.
+    """
     from pyspark.ml.functions import vector_to_array
 
+    classes = classes or [float(c) for c in range(max(getattr(m, "numClasses", 2) for _, m in fitted))]
     by_name = {r["name"]: r["score"] for r in scores.collect()}
     data, preds, probs = test, [], []
     have = set(test.columns)

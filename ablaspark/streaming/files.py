@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
+
+from ..session import cut_lineage
 
 
 def file_stream(spark: SparkSession, root: str, pattern: str = "*.py", files_per_trigger: int | None = None) -> DataFrame:
@@ -27,12 +31,58 @@ def with_dataset(files: DataFrame, datasets: Sequence[str]) -> DataFrame:
     return files.withColumn("dataset", F.expr(f"case {tests} end")).where("dataset is not null")
 
 
-def stream_new_files(events: DataFrame, seen_at: str = "seen_at", cooldown: str = "60 seconds") -> DataFrame:
-    """Drop repeats of one (path, mtime, hash) seen again within the cooldown.
+def _process(group: pd.DataFrame, last: tuple | None, seen_at: str, cooldown: float) -> tuple[pd.DataFrame, tuple | None]:
+    """Sightings of one path that are to be processed, and the last one that was."""
+    kept = []
+    for i, (mtime, digest, at) in enumerate(zip(group["mtime"], group["hash"], group[seen_at])):
+        version = (str(mtime), str(digest))
+        if last is None or last[:2] != version or (at - last[2]).total_seconds() >= cooldown:
+            kept.append(i)
+            last = (*version, at)
+    return group.iloc[kept], last
+
+
+def stream_new_files(events: DataFrame, seen_at: str = "seen_at", cooldown: float = 60.0) -> DataFrame:
+    """Sightings (path, mtime, hash, seen_at) that are to be processed: a new path, a changed version, or the same
+    version again ``cooldown`` seconds after it was last processed.
+
+    The state holds one version per path for good, so no sighting is ever too late; the sightings of a path
+    within a micro-batch are taken in order of time.
+    """
+    seen = events.select("path", "mtime", "hash", seen_at)
+
+    def step(key, batches, state):
+        group = pd.concat(list(batches)).sort_values([seen_at, "mtime", "hash"], kind="stable")
+        last = (*state.get[:2], pd.Timestamp(state.get[2], unit="us")) if state.exists else None
+        kept, last = _process(group, last, seen_at, cooldown)
+        state.update((*last[:2], last[2].value // 1000))
+        yield kept
+
+    return seen.groupBy("path").applyInPandasWithState(
+        step, seen.schema, "mtime string, hash string, at bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def poll_files(spark: SparkSession, root: str, log: str, at: str, pattern: str = "*.py", cooldown: float = 60.0) -> DataFrame:
+    """One look at a folder: files that are new, changed or due again, appended to the log table and returned.
 
-    State is kept only as long as the watermark needs it.
+    A file stream reports a path once; this also finds rewritten files. ``at`` is the time of the look.
     """
-    return events.withWatermark(seen_at, cooldown).dropDuplicatesWithinWatermark(["path", "mtime", "hash"])
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(root)
+    now = files.selectExpr("path", "modificationTime as mtime", "length as size",
+                           "substring(sha2(content, 256), 1, 12) as hash", f"timestamp '{at}' as processed")
+    logged = spark.read.schema(now.schema).parquet(log) if _exists(spark, log) else now.limit(0)
+    last = logged.groupBy("path").agg(F.expr("max_by(struct(mtime, hash, processed), processed)").alias("last"))
+    due = now.join(last, "path", "left").where(
+        "last is null or last.mtime != mtime or last.hash != hash or "
+        f"cast(processed as double) - cast(last.processed as double) >= {float(cooldown)}").drop("last")
+    due = cut_lineage(due)
+    due.write.mode("append").parquet(log)
+    return due
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
 
 
 def stream_largest_file(files: DataFrame) -> DataFrame:

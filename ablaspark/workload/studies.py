@@ -257,7 +257,17 @@ def _new_files(t):
     out, check = scratch_path(t.spark, "fresh"), scratch_path(t.spark, "fresh-checkpoint")
     fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(
         availableNow=True).start().awaitTermination()
-    return t.spark.read.parquet(out).select("path", "hash")
-
-
-query("stream_new_files", "path hash", "SELECT DISTINCT CAST(user_id AS VARCHAR) AS path, event_type AS hash FROM events")(_new_files)
+    return t.spark.read.parquet(out).selectExpr("path", "hash", "cast(unix_micros(seen_at) as bigint) as seen_us")
+
+
+query("stream_new_files", "path hash seen_us", """
+WITH RECURSIVE seen AS (
+    SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS n FROM events),
+steps AS (
+    SELECT user_id, event_type, ts, n, true AS processed, event_type AS last_type, ts AS last_ts FROM seen WHERE n = 1
+    UNION ALL
+    SELECT user_id, event_type, ts, n, due, CASE WHEN due THEN event_type ELSE last_type END, CASE WHEN due THEN ts ELSE last_ts END
+    FROM (SELECT s.*, p.last_type, p.last_ts, s.event_type != p.last_type OR s.ts >= p.last_ts + INTERVAL 60 SECOND AS due
+          FROM steps p JOIN seen s ON s.user_id = p.user_id AND s.n = p.n + 1) AS x)
+SELECT CAST(user_id AS VARCHAR) AS path, event_type AS hash, epoch_us(CAST(ts AS TIMESTAMP)) AS seen_us FROM steps WHERE processed
+""")(_new_files)

@@ -136,6 +136,36 @@ def test_repeats_inside_the_cooldown_are_dropped(spark, tmp_path):
     assert run() == [("a", "h"), ("a", "k"), ("b", "h")]
 
 
+def test_one_file_at_a_time_gives_the_same_answer(spark, tmp_path):
+    schema = "path string, mtime bigint, hash string, seen_at timestamp"
+    for n in range(6):
+        spark.sql(f"select 'a' as path, 1L as mtime, 'h' as hash, timestamp_seconds({n * 25}) as seen_at").coalesce(1).write.parquet(
+            str(tmp_path / "in" / str(n)))
+    got = []
+    for n, limit in enumerate((1, 100)):
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", limit).parquet(
+            str(tmp_path / "in"))
+        files.stream_new_files(stream).writeStream.format("parquet").option("path", str(tmp_path / f"o{n}")).option(
+            "checkpointLocation", str(tmp_path / f"c{n}")).trigger(availableNow=True).start().awaitTermination()
+        got.append(sorted(r[0] for r in spark.read.parquet(str(tmp_path / f"o{n}")).selectExpr("unix_seconds(seen_at)").collect()))
+    assert got == [[0, 75], [0, 75]]
+
+
+def test_polling_finds_rewritten_files(spark, tmp_path):
+    root, log = tmp_path / "w", str(tmp_path / "log")
+    root.mkdir()
+    (root / "a.py").write_text("one")
+
+    def look(at):
+        return files.poll_files(spark, str(root), log, f"2025-01-01 00:00:{at:02d}").count()
+
+    assert [look(0), look(5)] == [1, 0]
+    (root / "a.py").write_text("two, longer")
+    (root / "b.py").write_text("new")
+    assert [look(10), look(20)] == [2, 0]
+    assert files.poll_files(spark, str(root), log, "2025-01-01 00:02:00").count() == 2
+
+
 def test_state_log_last_write_wins(spark, tmp_path):
     rows = [("d", "started", 1), ("d", "copy_done", 3), ("d", "detected", 2), ("e", "error", 1)]
     df = spark.createDataFrame(rows, "dataset string, state string, s int").selectExpr(

@@ -9,13 +9,6 @@ from pyspark.sql import functions as F
 from ablaspark.operators import metrics, ordering
 
 
-@pytest.fixture()
-def small_tasks(monkeypatch):
-    """Force the distributed forms that large groups use."""
-    monkeypatch.setattr(ordering, "_ONE_TASK", 0)
-    monkeypatch.setattr(ordering, "_SAMPLE", 200)
-
-
 @pytest.fixture(scope="module")
 def skewed(spark):
     rng = random.Random(3)
@@ -27,7 +20,7 @@ def skewed(spark):
 
 
 @pytest.mark.parametrize("accuracy,bins", [(10_000, 1024), (50, 8)])
-def test_exact_quantiles_by_group(small_tasks, skewed, accuracy, bins):
+def test_exact_quantiles_by_group(skewed, accuracy, bins):
     rows, df = skewed
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
     got = {(r["g"], r["p"]): r["q"] for r in ordering.exact_quantiles(df, "v", probs, ["g"], accuracy, bins).collect()}
@@ -53,7 +46,15 @@ def test_quantiles_plain_form_agrees(skewed):
     assert one["q"] == pytest.approx(float(np.median([v for g, v, _ in rows if g and (g[0] == "g" or g == "hot")])))
 
 
-def test_rank_with_ties_and_hot_group(small_tasks, skewed):
+def test_rank_keeps_decimals_apart(spark):
+    from decimal import Decimal
+    rows = [(Decimal(100000000000000000 + k),) for k in (3, 1, 5, 2, 4)]
+    df = spark.createDataFrame(rows, "v decimal(38,0)").repartition(3)
+    got = {int(r["v"]) % 10: r["rank"] for r in ordering.ordered_rank(df, ["v"], "rank").collect()}
+    assert got == {k: k for k in range(1, 6)}
+
+
+def test_rank_with_ties_and_hot_group(skewed):
     rows, df = skewed
     clean = [(g, v, i) for g, v, i in rows if g and g not in ("nan", "inf")]
     ranked = ordering.ordered_rank(df.where("g not in ('nan', 'inf')"), ["-v", "id"], "rank", ["g"]).collect()
@@ -65,14 +66,14 @@ def test_rank_with_ties_and_hot_group(small_tasks, skewed):
     assert {r["id"]: r["rank"] for r in ranked} == want
 
 
-def test_rank_of_texts(small_tasks, spark):
+def test_rank_of_texts(spark):
     words = sorted({f"{chr(97 + i % 26)}'{i}\\é" for i in range(700)})
     df = spark.createDataFrame([(w,) for w in words], "w string")
     got = {r["w"]: r["n"] for r in ordering.ordered_rank(df, ["w"], "n").collect()}
     assert got == {w: n for n, w in enumerate(words, 1)}
 
 
-def test_rank_does_not_depend_on_partitions(small_tasks, skewed):
+def test_rank_does_not_depend_on_partitions(skewed):
     _, df = skewed
     base = df.where("g = 'hot'")
     one = {(r["id"], r["n"]) for r in ordering.ordered_rank(base.coalesce(1), ["v", "id"], "n").collect()}
@@ -88,10 +89,7 @@ def brute_auc(rows):
     return sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
 
 
-@pytest.mark.parametrize("forced", [True, False])
-def test_auc_brute_force(request, spark, forced):
-    if forced:
-        request.getfixturevalue("small_tasks")
+def test_auc_brute_force(spark):
     rng = random.Random(5)
     rows = [("a", 0.5 if rng.random() < 0.4 else rng.random(), rng.randrange(2)) for _ in range(600)]
     rows += [("b", rng.random(), 1) for _ in range(20)]
@@ -102,7 +100,7 @@ def test_auc_brute_force(request, spark, forced):
     assert flipped == pytest.approx(1 - got["a"])
 
 
-def test_null_groups_are_groups(small_tasks, spark):
+def test_null_groups_are_groups(spark):
     df = spark.createDataFrame([(None, i) for i in range(300)] + [("a", i) for i in range(50)], "g string, id int")
     got = ordering.ordered_rank(df, ["id"], "n", ["g"]).where("n != id + 1").count()
     assert got == 0 and ordering.ordered_rank(df, ["id"], "n", ["g"]).count() == 350

@@ -131,3 +131,35 @@ def test_refinement_and_candidates(spark, table):
     assert best["best_score"] == max(best["voting_score"], best["weighted_score"])
     rows = refinement.feature_ablation(train, test, COLS, trees=5, top=2).collect()
     assert [r["removed"] for r in rows][:2] == ["(none)", "a"] and rows[1]["drop"] > 0
+
+
+def test_step_names_are_made_canonical():
+    from pyspark.ml.feature import PCA, Imputer, StandardScaler
+    from pyspark.ml.classification import RandomForestClassifier
+
+    def built(config):
+        return [pipelines.Step("scaler", inner=(("imputer", Imputer()), ("scaler", StandardScaler()))),
+                pipelines.Step("feature_pipeline", inner=(("pca", PCA()),)), pipelines.Step("estimator", RandomForestClassifier()),
+                pipelines.Step("clf", RandomForestClassifier())]
+
+    steps = pipelines.canonical_steps(pipelines.as_steps(built(None)))
+    assert [s.name for s in steps] == ["preprocessor", "feature_engineering", "model", "model_1"]
+    count = lambda name: len(pipelines.build(built, CONFIGS[name]).getStages())
+    assert count("full") == 5 and count("no_scaling") == 4 and count("no_feature_engineering") == 4
+
+
+def test_three_classes_vote_and_auc(spark):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    from ablaspark.operators.learners import Voting
+
+    rows = [(i, float(i % 3), float(i % 3) + (i % 7) / 20) for i in range(90)]
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame(rows, "id bigint, label double, x double"))
+    members = [("a", LogisticRegression(regParam=0.01)), ("b", LogisticRegression(regParam=0.1))]
+    for kind in ("soft", "hard"):
+        predictions = Voting(members, kind).stage().fit(df).transform(df)
+        values = ablation.score(predictions, "classification")
+        assert values["accuracy"] > 0.95
+        assert (values["roc_auc"] > 0.99) if kind == "soft" else (values["roc_auc"] is None)
+    assert ablation.score(ablation.baseline_predictions(df, df, "classification", "label"), "classification")["roc_auc"] == 0.5
