@@ -13,7 +13,8 @@ import math
 
 from .safe import let
 
-_MAX_STEPS = 600
+_FIRST_STEPS = 64
+_MAX_STEPS = 4000
 _EPS = "1e-15D"
 
 # Lanczos coefficients for g = 7, nine terms (published fixed values).
@@ -80,9 +81,12 @@ def _beta_fraction(a: str, b: str, x: str) -> str:
     step = let("mid", half("s", even, "e1"), half("mid", odd, "o1"))
     d0 = f"1.0D / (1.0D - ({a} + {b}) * {x} / ({a} + 1.0D) + 1e-300D)"
     start = "named_struct('c', 1.0D, 'd', d0, 'h', d0, 'done', false)"
-    loop = (f"aggregate(sequence(1, {_MAX_STEPS}), {start},"
-            f" (s, m) -> case when s.done then s else {step} end, s -> s.h)")
-    return let("d0", d0, loop)
+    # Most rows end in the short first loop; only the others enter the long one.
+    first = f"aggregate(sequence(1, {_FIRST_STEPS}), {start}, (s, m) -> case when s.done then s else {step} end)"
+    rest = (f"aggregate(sequence({_FIRST_STEPS + 1}, {_MAX_STEPS}), fs, (s, m) -> case when s.done then s else {step} end,"
+            " s -> case when s.done then s.h else cast(raise_error('incomplete beta did not converge') as double) end)")
+    ended = f"case when fs.done or fs.h is null or isnan(fs.h) then fs.h else {rest} end"
+    return let("d0", d0, let("fs", first, ended))
 
 
 def beta_inc(a: str, b: str, x: str, x1: str, const: str | None = None) -> str:

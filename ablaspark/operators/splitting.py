@@ -17,7 +17,6 @@ from ..session import cut_lineage, small_side
 
 _DIGITS = 3             # hex digits of the key looked at per round
 _ONE_TASK = 2_000_000   # a prefix with more rows than this is cut finer before it is sorted
-_MAP_CLASSES = 1000  # up to this many classes the cuts travel as a literal map
 _ONE = "'all'"
 
 
@@ -79,23 +78,10 @@ def _cut_keys(df: DataFrame, ids: Sequence[str], seed: int, label: str | None, r
 def _place(df: DataFrame, cuts: DataFrame, ids: Sequence[str], seed: int, label: str | None,
            value: str, name: str) -> DataFrame:
     """Add ``value`` (SQL over ``part``, the number of cuts below the key) as column ``name``."""
-    cuts = cut_lineage(cuts)
-    head = cuts.limit(_MAP_CLASSES + 1).collect()
+    named = cut_lineage(cuts).withColumnsRenamed({"cls": "__cls", "cuts": "__cuts"})
     part = let("k", order_key(ids, seed), "size(filter(__cuts, c -> k > c))")
-    if len(head) <= _MAP_CLASSES:
-        if not head:
-            lookup = "cast(array() as array<string>)"
-        else:
-            entries = ", ".join(
-                "'" + r["cls"].replace("\\", "\\\\").replace("'", "\\'") + "', array("
-                + ", ".join(f"'{k}'" for k in r["cuts"]) + ")" for r in head
-            )
-            lookup = f"coalesce(map({entries})[{_class_of(label)}], cast(array() as array<string>))"
-        placed = df.withColumn("__cuts", F.expr(lookup))
-    else:
-        named = cuts.withColumnsRenamed({"cls": "__cls", "cuts": "__cuts"})
-        placed = df.join(small_side(named), F.expr(f"{_class_of(label)} = __cls"), "left").drop("__cls")
-        placed = placed.withColumn("__cuts", F.expr("coalesce(__cuts, cast(array() as array<string>))"))
+    placed = df.join(small_side(named), F.expr(f"{_class_of(label)} = __cls"), "left").drop("__cls")
+    placed = placed.withColumn("__cuts", F.expr("coalesce(__cuts, cast(array() as array<string>))"))
     return placed.withColumn(name, F.expr(value.format(part=part))).drop("__cuts")
 
 

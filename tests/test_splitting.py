@@ -44,7 +44,6 @@ def test_deep_cuts_give_the_same_split(df, monkeypatch):
     plain = collect(splitting.split_stratified(df, ["id"], "y"), "split")
     monkeypatch.setattr(splitting, "_ONE_TASK", 0)
     monkeypatch.setattr(splitting, "_DIGITS", 1)
-    monkeypatch.setattr(splitting, "_MAP_CLASSES", 0)
     real, rounds = splitting._keyed, []
 
     def counted(frame, ids, seed, label, digits):
