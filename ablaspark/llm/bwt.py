@@ -51,23 +51,34 @@ def transform(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple
     return rows, symbols[before[rows]]
 
 
-def merge(transforms: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Interleave (shard of each merged row) and common prefix of each row with the one before (DEEP from depth on)."""
-    shard = np.repeat(np.arange(len(transforms), dtype=np.uint16), [len(t) for t in transforms])
+def pairs(symbols: np.ndarray) -> np.ndarray:
+    """The two symbols before each row of a transform, as one number, so that a round can take two steps."""
+    previous = np.empty(len(symbols), np.int64)
+    previous[np.argsort(symbols, kind="stable")] = np.arange(len(symbols))
+    return (symbols[previous].astype(np.uint16) << np.uint16(8)) | symbols
+
+
+def merge(transforms: list[np.ndarray], depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Interleave (shard of each merged row) and common prefix of each row with the one before (DEEP from depth on).
+
+    With ``step`` 2 the transforms are those of ``pairs``, and common prefixes are rounded down to even numbers.
+    """
+    kind = np.uint8 if len(transforms) <= 256 else np.uint16
+    shard = np.repeat(np.arange(len(transforms), dtype=kind), [len(t) for t in transforms])
     joined = np.concatenate(transforms)
     n = len(joined)
     common = np.full(n, DEEP, np.uint8)
     common[:1] = 0
     block = np.zeros(n, np.int32)
-    symbol = np.empty(n, np.uint8)
-    for h in range(1, depth + 1):
+    symbol = np.empty(n, joined.dtype)
+    apart = np.ones(n, bool)
+    for h in range(0, depth, step):
         symbol[np.argsort(shard, kind="stable")] = joined  # each shard's rows keep their order
         order = np.argsort(symbol, kind="stable")
-        shard = shard[order]
-        symbol, block = symbol[order], block[order]
-        apart = np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1])))
-        common[apart & (common == DEEP)] = h - 1
-        block = np.cumsum(apart, dtype=np.int32)
+        shard, sorted_, block = shard[order], symbol[order], block[order]
+        apart[1:] = (sorted_[1:] != sorted_[:-1]) | (block[1:] != block[:-1])
+        common[apart & (common == DEEP)] = h
+        np.cumsum(apart, out=block)
     return shard, common
 
 

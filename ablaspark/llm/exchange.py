@@ -76,13 +76,14 @@ def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 def minimizers(grams: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Of every window of ``width`` grams the least gram, and all grams that are the least of a valid window.
 
-    ``valid`` says for each window whether it lies inside one document. Equal windows have equal minimizers.
+    ``valid`` says for each window whether it lies inside one document. Equal windows have equal minimizers. Least
+    hashes are small, so both are mixed again to be even over the hash ranges.
     """
     if len(grams) < width:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     least = sliding(grams, width, np.minimum)
     held = np.concatenate((np.zeros(width - 1, np.uint64), np.where(valid, least, 0), np.zeros(width - 1, np.uint64)))
-    return least, grams[(sliding(held, width, np.maximum) == grams) & (grams > 0)]
+    return mixed(least), mixed(grams[(sliding(held, width, np.maximum) == grams) & (grams > 0)])
 
 
 @dataclass

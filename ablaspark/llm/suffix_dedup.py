@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bwt import merge, repeated_intervals, transform
+from .bwt import merge, pairs, repeated_intervals, transform
 from .common import stored
 from .exchange import (PACKED, Chunk, Powers, answered, bits_of, chunked, known_repeats, minimizers, mixed, pack, repeated,
                        unique_flagged)
@@ -26,9 +26,9 @@ from .exchange import (PACKED, Chunk, Powers, answered, bits_of, chunked, known_
 LENGTH = 50
 GRAM = 24
 #: Documents of a chunk are scanned in blocks of about this many bytes.
-BLOCK = 1 << 20
-#: Region bytes per shard, and shards merged at once; a merge has a bounded size.
-SHARD_BYTES, SHARDS = 1 << 19, 8
+BLOCK = 1 << 17
+#: Region bytes per shard.
+SHARD_BYTES = 1 << 19
 _BYTES = Powers(0x5851F42D4C957F2D)
 
 
@@ -182,9 +182,9 @@ def _least_documents(strings: _Shards, length: int) -> np.ndarray:
         high = int(strings.begin[b - 1] + strings.sizes[b - 1] + 1)
         r, t = transform(strings.symbols[low:high], strings.begin[a:b] - low, strings.sizes[a:b] + 1)
         rows.append(r + low)
-        transforms.append(t)
+        transforms.append(pairs(t) if length % 2 == 0 else t)
         a = b
-    shard, common = merge(transforms, length)
+    shard, common = merge(transforms, length, 2 if length % 2 == 0 else 1)
     interval = repeated_intervals(common, length)
     merged = np.empty(n, np.int64)
     merged[np.argsort(shard, kind="stable")] = np.concatenate(rows)
