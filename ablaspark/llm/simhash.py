@@ -29,8 +29,8 @@ SEED = 42
 #: (budget in the first half, rotation) of the two joins; any pair within BUDGET is in one of them.
 JOINS = ((2, 0), (1, 32))
 #: Fingerprints per cell; cells above are divided, and at most 2 x rows / CELL prefixes are sent to the tasks.
-CELL = 1 << 17
-LEAST_DEPTH, MOST_DEPTH, STEP = 5, 32, 4
+CELL = 1 << 18
+LEAST_DEPTH, MOST_DEPTH, STEP = 5, 20, 4
 _PART = 1 << 16
 
 

@@ -141,6 +141,8 @@ def test_trie_join_against_all_pairs():
 
 def test_crowded_cells_are_divided(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL", 20)
+    monkeypatch.setattr(simhash, "STEP", 2)
+    monkeypatch.setattr(simhash, "MOST_DEPTH", 7)
     rng = np.random.default_rng(2)
     center = [0, 0x123456789ABCDEF0]
     prints = sorted({(int(rng.choice(center)) ^ sum(1 << int(k) for k in rng.choice(64, 3))) - (1 << 63) for _ in range(400)})
