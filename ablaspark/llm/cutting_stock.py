@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import numpy as np
 
-#: A pattern is improving if its price exceeds 1 by more than this.
-TOLERANCE = 1e-7
+#: Stop when no pattern is priced above 1 by more than this: the solution is then within that share of the optimum.
+TOLERANCE = 1e-3
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray:
@@ -36,6 +36,11 @@ def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> np.ndarray
     return counts
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Matrix product in this thread: a threaded library would fight with Spark's tasks for the cores."""
+    return np.einsum("ij,jk->ik", a, b)
+
+
 def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
     """Basic solution (patterns as columns, how often each) of the relaxed cutting-stock program.
 
@@ -59,8 +64,9 @@ def solve(sizes: np.ndarray, demand: np.ndarray, capacity: int, rounds: int = 20
         inverse[out] = pivot
         level = np.maximum(level - ratios[out] * change, 0.0)
         level[out] = ratios[out]
-        if step % 200 == 199:  # rounding errors don't add up
-            inverse = np.linalg.inv(basis)
+        if step % 200 == 199:  # a Newton step, so that rounding errors don't add up
+            error = np.eye(len(basis)) - _product(basis, inverse)
+            inverse = inverse + _product(inverse, error)
             level = np.maximum(inverse @ demand, 0.0)
     raise RuntimeError("column generation did not end")
 
