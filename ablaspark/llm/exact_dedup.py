@@ -47,15 +47,28 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     of rows that tie in both exactly one. Other columns are ignored, whatever their names. An
     empty table gives an empty result.
     """
+    return _decide(*_filtered(docs, doc_id, text))
+
+
+def _filtered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int, DataFrame]:
+    """Pass one: the rows without their texts, the size of the filter, and its words with repeated bits."""
     light = stored(docs.select(
         F.col(doc_id).alias("doc_id"), F.length(text_or_empty(text)).cast("bigint").alias("chars"),
         F.sha2(normalised(text), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row_no"),
     ), "exact-dedup")
     words = power_of_two(light.count() * BITS_PER_ROW / 64, 64, MAX_WORDS)
-    rows = light.select("*", *_positions(words))
+    return light, words, stored(repeated_positions(light.select(*_positions(words))), "exact-dedup-filter")
+
+
+def _probed(rows: DataFrame, words: int, repeats: DataFrame) -> DataFrame:
+    """Pass two: rows with a digest get ``maybe``; false means that no other row has the digest."""
     both = F.expr("shiftleft(1L, bit_a) | shiftleft(1L, bit_b)")
-    probed = rows.join(F.broadcast(repeated_positions(rows)), "word", "left").withColumn(
+    return rows.select("*", *_positions(words)).join(F.broadcast(repeats), "word", "left").withColumn(
         "maybe", F.coalesce(F.col("bits").bitwiseAND(both) == both, F.lit(False)))
+
+
+def _decide(light: DataFrame, words: int, repeats: DataFrame) -> DataFrame:
+    probed = _probed(light, words, repeats)
     passed = probed.filter("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
         F.lit(True).alias("kept"), "text_sha256")
@@ -70,13 +83,18 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that exact_dedup keeps, all columns. Texts move only where ids repeat."""
-    keys = exact_dedup(docs, doc_id, text).groupBy("doc_id", "text_sha256").agg(
-        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows")).filter("not kept or rows > 1")
-    keys = stored(keys.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"),
-                              F.col("kept").alias("__kept"), F.col("rows").alias("__rows")), "exact-dedup-keys")
-    match = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.sha2(normalised(text), 256) == F.col("__sha"))
-    judged = docs.join(keys, match, "left").filter(F.coalesce("__kept", F.lit(True)))
-    single = judged.filter(F.coalesce("__rows", F.lit(1)) == 1)
-    several = judged.filter(F.col("__rows") > 1).dropDuplicates(["__id", "__sha"])
-    return single.unionByName(several).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that exact_dedup keeps, all columns.
+
+    Rows that the filter clears pass straight through with their texts; only the others shuffle.
+    """
+    light, words, repeats = _filtered(docs, doc_id, text)
+    keys = _decide(light, words, repeats).filter("group_size > 1").groupBy("doc_id", "text_sha256").agg(
+        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
+    keys = stored(keys.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "kept", "rows"), "exact-dedup-keys")
+    rows = _probed(docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("row_id"),
+                               F.sha2(normalised(text), 256).alias("text_sha256")), words, repeats)
+    match = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("sha"))
+    judged = rows.filter("maybe").join(keys, match, "left").filter(F.coalesce("kept", F.lit(True)))
+    single = judged.filter(F.coalesce("rows", F.lit(1)) == 1)
+    several = judged.filter(F.col("rows") > 1).dropDuplicates(["id", "sha"])
+    return rows.filter("not maybe").select("row.*").unionByName(single.select("row.*")).unionByName(several.select("row.*"))
