@@ -26,6 +26,23 @@ def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
+def numbered(docs: DataFrame, *columns: Column) -> DataFrame:
+    """row (a struct of all columns), row_no and ``columns``. Written, since row numbers change when rows are read anew."""
+    return stored(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("row_no"), *columns), "numbered")
+
+
+def one_of_each(held: DataFrame, groups: DataFrame, doc_id: str) -> DataFrame:
+    """Of the numbered rows those without a group, and of each group (row_no, root) the row with the smallest id.
+
+    Null ids come last; of rows that tie, the smallest row number stays.
+    """
+    ids = stored(held.select("row_no", F.col("row")[doc_id].cast("bigint").alias("id")).join(groups, "row_no"), "groups")
+    rank = F.struct(F.col("id").isNull().alias("last"), "id", "row_no")
+    first = ids.groupBy("root").agg(F.min(rank)["row_no"].alias("stays"))
+    gone = stored(ids.join(first, "root").filter("row_no <> stays").select("row_no"), "copies")
+    return held.join(gone, "row_no", "left_anti").select("row.*")
+
+
 def power_of_two(n: float, least: int, most: int) -> int:
     """The smallest power of two that is at least ``n``, held within [least, most]."""
     return min(most, max(least, 1 << max(0, int(n) - 1).bit_length()))
