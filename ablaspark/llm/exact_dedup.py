@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, power_of_two, stored, text_or_empty
+from .common import BLANK_RUN, numbered, power_of_two, stored, text_or_empty
 
 BITS_PER_ROW = 16
 MAX_WORDS = 1 << 21
@@ -47,17 +47,20 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     of rows that tie in both exactly one. Other columns are ignored, whatever their names. An
     empty table gives an empty result.
     """
-    return _decide(*_filtered(docs, doc_id, text))
+    light = stored(docs.select(*_light(doc_id, text), F.monotonically_increasing_id().alias("row_no")), "exact-dedup")
+    return _decide(light, *_filter(light)).drop("row_no")
 
 
-def _filtered(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int, DataFrame]:
-    """Pass one: the rows without their texts, the size of the filter, and its words with repeated bits."""
-    light = stored(docs.select(
-        F.col(doc_id).alias("doc_id"), F.length(text_or_empty(text)).cast("bigint").alias("chars"),
-        F.sha2(normalised(text), 256).alias("text_sha256"), F.monotonically_increasing_id().alias("row_no"),
-    ), "exact-dedup")
+def _light(doc_id: str, text: str) -> list[Column]:
+    """What decides about a row, without its text."""
+    return [F.col(doc_id).alias("doc_id"), F.length(text_or_empty(text)).cast("bigint").alias("chars"),
+            F.sha2(normalised(text), 256).alias("text_sha256")]
+
+
+def _filter(light: DataFrame) -> tuple[int, DataFrame]:
+    """Pass one: the size of the filter, and its words with repeated bits."""
     words = power_of_two(light.count() * BITS_PER_ROW / 64, 64, MAX_WORDS)
-    return light, words, stored(repeated_positions(light.select(*_positions(words))), "exact-dedup-filter")
+    return words, stored(repeated_positions(light.select(*_positions(words))), "exact-dedup-filter")
 
 
 def _probed(rows: DataFrame, words: int, repeats: DataFrame) -> DataFrame:
@@ -71,14 +74,14 @@ def _decide(light: DataFrame, words: int, repeats: DataFrame) -> DataFrame:
     probed = _probed(light, words, repeats)
     passed = probed.filter("not maybe").select(
         "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("bigint").alias("group_size"),
-        F.lit(True).alias("kept"), "text_sha256")
+        F.lit(True).alias("kept"), "text_sha256", "row_no")
     maybe = probed.filter("maybe").select("doc_id", "chars", "text_sha256", "row_no")
     first = F.min(F.struct((-F.col("chars")).alias("c"), F.col("doc_id").isNull().alias("n"), "doc_id", "row_no"))
     groups = stored(maybe.groupBy("text_sha256").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")),
                     "exact-dedup-groups")
     grouped = maybe.join(groups, "text_sha256").select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size",
-        (F.col("row_no") == F.col("first.row_no")).alias("kept"), "text_sha256")
+        (F.col("row_no") == F.col("first.row_no")).alias("kept"), "text_sha256", "row_no")
     return passed.unionByName(grouped)
 
 
@@ -87,14 +90,10 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
     Rows that the filter clears pass straight through with their texts; only the others shuffle.
     """
-    light, words, repeats = _filtered(docs, doc_id, text)
-    keys = _decide(light, words, repeats).filter("group_size > 1").groupBy("doc_id", "text_sha256").agg(
-        F.max("kept").alias("kept"), F.count(F.lit(1)).alias("rows"))
-    keys = stored(keys.select(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"), "kept", "rows"), "exact-dedup-keys")
-    rows = _probed(docs.select(F.struct("*").alias("row"), F.col(doc_id).alias("row_id"),
-                               F.sha2(normalised(text), 256).alias("text_sha256")), words, repeats)
-    match = F.col("row_id").eqNullSafe(F.col("id")) & (F.col("text_sha256") == F.col("sha"))
-    judged = rows.filter("maybe").join(keys, match, "left").filter(F.coalesce("kept", F.lit(True)))
-    single = judged.filter(F.coalesce("rows", F.lit(1)) == 1)
-    several = judged.filter(F.col("rows") > 1).dropDuplicates(["id", "sha"])
-    return rows.filter("not maybe").select("row.*").unionByName(single.select("row.*")).unionByName(several.select("row.*"))
+    held = numbered(docs, *_light(doc_id, text))
+    light = held.drop("row")
+    words, repeats = _filter(light)
+    gone = stored(_decide(light, words, repeats).filter("not kept").select("row_no"), "exact-copies")
+    rows = _probed(held, words, repeats)
+    return rows.filter("not maybe").select("row.*").unionByName(
+        rows.filter("maybe").join(gone, "row_no", "left_anti").select("row.*"))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import numbered, one_of_each, stored, text_or_empty
 from .components import components
 from .trie_join import link, masks
 
@@ -157,9 +157,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with one document of every group: that of the smallest id.
 
-    Rows that share an id share their fate; a null id only stays in a group without any other.
+    Null ids come last; of rows that tie exactly one stays.
     """
-    marked = near_duplicates(docs, doc_id, text).select(
-        F.col("doc_id").alias("__id"), F.col("doc_id").eqNullSafe(F.col("component_id")).alias("__stays"))
-    gone = stored(marked.groupBy("__id").agg(F.max("__stays").alias("__stays")).filter("not __stays").select("__id"), "near-copies")
-    return docs.join(gone, F.col(doc_id).eqNullSafe(F.col("__id")), "left_anti")
+    held = numbered(docs)
+    marked = near_duplicates(held.select("row_no", F.col("row")[text].alias("text")), "row_no", "text")
+    return one_of_each(held, marked.select(F.col("doc_id").alias("row_no"), F.col("component_id").alias("root")), doc_id)
