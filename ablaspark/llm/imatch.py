@@ -5,7 +5,9 @@ random (by a hash of the term) into disjoint subsets, and a text's fingerprint h
 each of ``SUBSETS`` of them: over the sorted distinct terms of the text that fall into the subset.
 The number of subsets M follows the number of terms (a power of two), so that a subset holds
 about one term of a text of any length and an edit leaves many hashes alone. The fingerprint
-has the hashes for M, 2M and 4M, so that texts on either side of a power can be compared.
+has the hashes for M, 2M and 4M, so that texts on either side of a power can be compared. Those
+are a sample of a long text; behind them the fingerprint has a hash of every lexicon term of the
+text (a subset of its own), and likeness is taken over these, so no term is left out.
 
 Document frequencies are counted over all documents per hash bucket of the term
 (``BUCKETS``, a fixed bound), so the band is a bit map of fixed size, whatever the vocabulary.
@@ -22,6 +24,7 @@ BUCKETS = 1 << 20
 SUBSETS = 32
 LEVELS = 3
 IDF_BAND = (1.5, 13.0)
+_HALF = 1 << 31  # 32-bit hashes are kept as signed integers
 _FIRST = -(1 << 63)  # a null id sorts before every other
 
 
@@ -77,35 +80,28 @@ def _hashes(mine: Column, m: Column) -> Column:
 
 
 def fingerprint(text: Column, bits: str) -> Column:
-    """struct(m, hashes: for m, 2m and 4m subsets). A subset of 2m is part of one of m with the same number."""
+    """struct(m, hashes: for m, 2m and 4m subsets, terms: of every term the sorted 32-bit hash). A subset of 2m is part of one of m with the same number."""
     def shape(found: Column) -> Column:
         power = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.size(found), F.lit(1)))))
         return _bind(F.greatest(F.lit(SUBSETS), power).cast("bigint"), lambda m: _bind(
             F.filter(found, lambda h: _place(h, m) < SUBSETS), lambda mine: F.struct(
-                m.alias("m"), F.array(*[_hashes(mine, m * (1 << i)) for i in range(LEVELS)]).alias("hashes"))))
+                m.alias("m"), F.array(*[_hashes(mine, m * (1 << i)) for i in range(LEVELS)]).alias("hashes"),
+                F.array_sort(F.array_distinct(F.transform(found, lambda h: (h.bitwiseAND(F.lit(0xFFFFFFFF)) - _HALF).cast("int")))).alias("terms"))))
 
     return _bind(_in_band(bits, terms(text)), shape)
 
 
 def as_text(fp: Column) -> Column:
     hexed = lambda a: F.array_join(F.transform(a, lambda h: F.lower(F.hex(h))), ",")
-    return F.concat_ws(":", fp["m"].cast("string"), *[hexed(fp["hashes"][i]) for i in range(LEVELS)])
+    return F.concat_ws(":", fp["m"].cast("string"), *[hexed(fp["hashes"][i]) for i in range(LEVELS)],
+                       F.array_join(F.transform(fp["terms"], lambda h: F.lower(F.hex(h.cast("bigint") + _HALF))), ","))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the lexicon subsets that hold a term of either text.
-
-    It is taken at the number of subsets of the text with more terms. 0 if their term counts differ by more
-    than the levels bridge; without any term in the subsets, 1 if the fingerprints are equal, else 0.
-    """
-    ratio = F.greatest(a["m"], b["m"]) / F.least(a["m"], b["m"])
-    level = lambda own, other: F.when(own["m"] >= other["m"], F.lit(0)).otherwise(F.log2(ratio)).cast("int")
-    at = lambda own, other: F.get(own["hashes"], level(own, other))
-    pairs = F.arrays_zip(at(a, b).alias("x"), at(b, a).alias("y"))
-    used = F.size(F.filter(pairs, lambda p: (p["x"] != 0) | (p["y"] != 0)))
-    same = F.size(F.filter(pairs, lambda p: (p["x"] != 0) & (p["x"] == p["y"])))
-    return F.when(ratio >= 1 << LEVELS, F.lit(0.0)).when(used > 0, same / used).otherwise(
-        (a["hashes"] == b["hashes"]).cast("double"))
+    """Share of equal hashes among the hashes of all lexicon terms of either text; 1 if neither has a term."""
+    same = F.size(F.array_intersect(a["terms"], b["terms"]))
+    either = F.size(a["terms"]) + F.size(b["terms"]) - same
+    return F.when(either > 0, same / either).otherwise(F.lit(1.0))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
