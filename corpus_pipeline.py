@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ablaspark.llm import exact_dedup, langid, mixing, near_copies, packing, tokenizers
+from ablaspark.llm import exact_dedup, langid, mixing, packing, simhash, tokenizers
 from ablaspark.llm.common import stored
 
 
@@ -19,8 +19,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every group that similarities of 0.8 and more (shingles of five words) connect."""
-    return near_copies.deduplicated(docs)
+    """One document of every group that fingerprints of at most four differing bits (shingles of four words) connect."""
+    return simhash.deduplicated(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
