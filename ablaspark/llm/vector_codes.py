@@ -23,7 +23,7 @@ from .vectors import floored, matrix, shape_of, slices, usable
 
 PARTS, ENTRIES, ROUNDS = 8, 16, 6
 #: A grid cell is as wide as a component's spread among the entries divided by this (rounded to a power of two).
-CELLS = 2
+CELLS = 4
 #: Cells that a task remembers per part; beyond, it starts anew (results don't depend on it).
 MEMORY = 1 << 16
 _BLOCK = 4096
@@ -38,7 +38,13 @@ class Grid:
         self.entries = entries
         spread = int((entries.max(axis=0) - entries.min(axis=0)).max())
         self.shift = max(0, (spread // CELLS).bit_length() - 1) if spread else 0
-        self.known: dict[bytes, int] = {}
+        self.weights = np.random.default_rng(entries.shape[1]).integers(1, 1 << 62, entries.shape[1]) | 1
+        self._forget()
+
+    def _forget(self) -> None:
+        """Hashes of the known cells (sorted), the cells, and their candidates."""
+        width = self.entries.shape[1]
+        self.keys, self.cells, self.bits = np.empty(0, np.int64), np.empty((0, width), np.int64), np.empty(0, np.int64)
 
     def _candidates(self, cells: np.ndarray) -> np.ndarray:
         """A bit per entry that is not dominated across the cell."""
@@ -50,15 +56,21 @@ class Grid:
         return (least <= most.min(axis=1)[:, None]) @ (1 << np.arange(len(self.entries)))
 
     def masks(self, parts: np.ndarray) -> np.ndarray:
-        cells, at = np.unique(parts >> self.shift, axis=0, return_inverse=True)
-        keys = [c.tobytes() for c in cells]
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        if len(self.known) + len(new) > MEMORY:
-            self.known, new = {}, list(range(len(keys)))
-        for some in slices(len(new), _BLOCK):
-            which = new[some]
-            self.known.update(zip([keys[i] for i in which], self._candidates(cells[which]).tolist()))
-        return np.array([self.known[k] for k in keys], np.int64)[at.reshape(-1)]
+        """The candidates of each part's cell; all entries where another cell has the same hash."""
+        cells = parts >> self.shift
+        keys = cells @ self.weights
+        seen, first = np.unique(keys, return_index=True)
+        new = first[~np.isin(seen, self.keys)]
+        if len(self.keys) + len(new) > MEMORY:
+            self._forget()
+            new = first
+        if len(new):
+            bits = [self._candidates(cells[new[some]]) for some in slices(len(new), _BLOCK)]
+            order = np.argsort(held := np.concatenate((self.keys, keys[new])))
+            self.keys, self.cells = held[order], np.concatenate((self.cells, cells[new]))[order]
+            self.bits = np.concatenate((self.bits, *bits))[order]
+        at = np.searchsorted(self.keys, keys)
+        return np.where((self.cells[at] == cells).all(axis=1), self.bits[at], (1 << len(self.entries)) - 1)
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(index, squared distance) of the nearest entry, ties to the lower index."""

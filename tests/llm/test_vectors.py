@@ -186,8 +186,19 @@ def test_dominated_entries_are_never_nearest():
     away = ((parts[:, None] - entries) ** 2).sum(axis=2)
     index, error = grid.nearest(parts)
     assert (index == away.argmin(axis=1)).all() and (error == away.min(axis=1)).all()
-    kept = [int(m).bit_count() for m in grid.known.values()]
+    kept = [int(m).bit_count() for m in grid.bits]
     assert len(kept) < 1000 and np.mean(kept) < 12
+    grid.weights[:] = 0  # every cell has the same hash
+    grid._forget()
+    assert (grid.nearest(parts)[0] == index).all()
+
+
+def test_memory_starts_anew(table, rows, monkeypatch):
+    monkeypatch.setattr(vector_codes, "MEMORY", 3)
+    grid = vector_codes.Grid(np.arange(12).reshape(4, 3) * 40)
+    parts = np.random.default_rng(2).integers(0, 500, (300, 3))
+    for some in (parts[:100], parts[100:], parts[:50]):
+        assert (grid.nearest(some)[0] == ((some[:, None] - grid.entries) ** 2).sum(axis=2).argmin(axis=1)).all()
 
 
 def test_best_keeps_ties_by_id():
