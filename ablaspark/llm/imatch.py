@@ -1,16 +1,13 @@
 """I-Match document fingerprints over randomised lexicon subsets.
 
-Terms whose inverse document frequency lies in a band form the lexicon. The lexicon is split at
-random (by a hash of the term) into disjoint subsets, and a text's fingerprint has one hash for
-each of ``SUBSETS`` of them: over the sorted distinct terms of the text that fall into the subset.
-The number of subsets M follows the number of terms (a power of two), so that a subset holds
-about one term of a text of any length and an edit leaves many hashes alone. The fingerprint
-has the hashes for M, 2M and 4M, so that texts on either side of a power can be compared. Those
-are a sample of a long text; behind them the fingerprint has a hash of every lexicon term of the
-text (a subset of its own), and likeness is taken over these, so no term is left out.
-
-Document frequencies are counted over all documents per hash bucket of the term
-(``BUCKETS``, a fixed bound), so the band is a bit map of fixed size, whatever the vocabulary.
+Terms whose inverse document frequency lies in a band form the lexicon. Its upper edge is fixed, so the lexicon has at
+most e^edge times as many terms as a mean document, however many documents there are; frequencies are counted per term over
+all documents. For a text with n lexicon terms the lexicon is split at random (by a hash of the term) into M disjoint subsets,
+M the smallest power of two above n, so a subset holds about one term of the text and an edit leaves many alone. The fingerprint
+has a hash of the sorted distinct terms in each of the M subsets, and in each of M / 2, so that texts on either side of a power
+can be compared; every lexicon term is in one subset of each. These hashes have 8 bits, which keeps the fingerprint well below
+the text (one changed subset in 255 goes unseen); a 64-bit hash of all lexicon terms tells different texts apart.
+Likeness is the share of equal subset hashes.
 """
 
 from __future__ import annotations
@@ -18,13 +15,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANK_RUN, stored, text_or_empty
+from .common import BLANK_RUN, power_of_two, stored, text_or_empty
 
-BUCKETS = 1 << 20
-SUBSETS = 32
-LEVELS = 3
-IDF_BAND = (1.5, 13.0)
-_HALF = 1 << 31  # 32-bit hashes are kept as signed integers
+IDF_BAND = (1.5, 8.0)
+LEAST_SUBSETS = 8
+#: Bits per term of the lexicon's bit map (another term shares a lexicon term's bit once in so many times), and the most bits.
+SPREAD, MOST_BITS = 16, 1 << 25
+_EMPTY = -(1 << 7)  # 8-bit hashes are kept as signed integers; no hash of a subset with terms is this one
 _FIRST = -(1 << 63)  # a null id sorts before every other
 
 
@@ -34,17 +31,22 @@ def terms(text: Column) -> Column:
     return F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
 
 
+def lexicon(documents: DataFrame, text: str, band: tuple[float, float] = IDF_BAND) -> DataFrame:
+    """The terms (h) whose inverse document frequency lies in the band."""
+    counted = documents.select(F.explode(terms(F.col(text))).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.log(F.lit(float(max(documents.count(), 1))) / F.col("df"))
+    return counted.filter(idf.between(*band)).select("h")
+
+
 def band_bits(documents: DataFrame, text: str, band: tuple[float, float] = IDF_BAND) -> str:
-    """The buckets whose inverse document frequency lies in the band, as 64-bit words joined by commas."""
-    counted = documents.select(F.explode(F.array_distinct(F.transform(
-        terms(F.col(text)), lambda h: h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")))).alias("bucket"))
-    df = counted.groupBy("bucket").agg(F.count(F.lit(1)).alias("df"))
-    n = documents.count()
-    idf = F.log(F.lit(float(max(n, 1))) / F.col("df"))
-    words = df.filter(idf.between(*band)).groupBy(F.shiftright("bucket", 6).alias("word")).agg(
-        F.bit_or(F.expr("shiftleft(1L, bucket & 63)")).alias("bits"))
-    bits = [0] * (BUCKETS // 64)
-    for r in words.collect():  # at most BUCKETS / 64 rows
+    """A bit map of the lexicon as 64-bit words joined by commas: bit (hash mod bits) of every term."""
+    held = stored(lexicon(documents, text, band), "lexicon")
+    size = power_of_two(SPREAD * held.count(), 64, MOST_BITS)
+    place = F.col("h").bitwiseAND(F.lit(size - 1))
+    words = held.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(
+        F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits"))
+    bits = [0] * (size // 64)
+    for r in words.collect():  # at most MOST_BITS / 64 rows
         bits[r["word"]] = r["bits"]
     return ",".join(map(str, bits))
 
@@ -55,53 +57,64 @@ def _bind(value: Column, use) -> Column:
 
 
 def _in_band(bits: str, hashes: Column) -> Column:
-    """Band terms of a text; all its terms if none is in the band."""
+    """Lexicon terms of a text; all its terms if it has none (texts without lexicon terms would all be alike)."""
+    size = 64 * (bits.count(",") + 1)
     table = F.split(F.lit(bits), ",").cast("array<bigint>")  # folded into one literal
 
     def inside(h: Column) -> Column:
-        word = F.shiftright(h.bitwiseAND(F.lit(BUCKETS - 1)), 6).cast("int")
+        word = F.shiftright(h.bitwiseAND(F.lit(size - 1)), 6).cast("int")
         return F.getbit(F.get(table, word), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
     return _bind(hashes, lambda every: _bind(F.filter(every, inside), lambda kept: F.when(
         F.size(kept) > 0, kept).otherwise(every)))
 
 
-def _place(h: Column, m: Column) -> Column:
-    """The lexicon subset, of ``m``, that a term belongs to."""
-    return F.xxhash64(h, F.lit(7)).bitwiseAND(m - 1)
+def _subset_hashes(found: Column, m: Column) -> Column:
+    """For each of ``m`` lexicon subsets an 8-bit hash of its sorted terms: terms and a mark per subset are sorted, and the runs hashed."""
+    entry = lambda k, real, h: F.struct(k.cast("bigint").alias("k"), F.lit(real).alias("real"), h.cast("bigint").alias("h"))
+    marks = F.transform(F.sequence(F.lit(0).cast("bigint"), m - 1), lambda k: entry(k, 0, F.lit(0)))
+    own = F.transform(found, lambda h: entry(F.xxhash64(h, F.lit(7)).bitwiseAND(m - 1), 1, h))
+
+    def hashed(part: Column) -> Column:
+        short = F.greatest(F.xxhash64(part).bitwiseAND(F.lit(0xFF)), F.lit(1)) + _EMPTY
+        return F.when(F.size(part) > 0, short).otherwise(F.lit(_EMPTY)).cast("tinyint")
 
+    def runs(every: Column) -> Column:
+        starts = F.filter(F.transform(every, lambda x, i: F.when(x["real"] == 0, i).otherwise(-1)), lambda i: i >= 0)
+        return _bind(starts, lambda s: F.transform(s, lambda start, j: _bind(F.transform(F.slice(
+            every, start + 2, F.coalesce(F.get(s, j + 1), F.size(every)) - start - 1), lambda x: x["h"]), hashed)))
 
-def _hashes(mine: Column, m: Column) -> Column:
-    """For each of the first SUBSETS of ``m`` lexicon subsets the hash of its sorted terms, 0 if there is none."""
-    every = F.sequence(F.lit(0).cast("bigint"), F.lit(SUBSETS - 1).cast("bigint"))
-    one = lambda part: F.when(F.size(part) > 0, F.xxhash64(part).bitwiseAND(F.lit(0xFFFFFFFF))).otherwise(F.lit(0))
-    return _bind(F.array_sort(F.filter(mine, lambda h: _place(h, m) < SUBSETS)), lambda part: F.transform(
-        every, lambda k: _bind(F.filter(part, lambda h: _place(h, m) == k), one)))
+    return _bind(F.array_sort(F.concat(marks, own)), runs)
 
 
 def fingerprint(text: Column, bits: str) -> Column:
-    """struct(m, hashes: for m, 2m and 4m subsets, terms: of every term the sorted 32-bit hash). A subset of 2m is part of one of m with the same number."""
+    """struct(m, whole: hash of all sorted lexicon terms, fine and coarse: hashes of m and of m / 2 subsets)."""
     def shape(found: Column) -> Column:
-        power = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.size(found), F.lit(1)))))
-        return _bind(F.greatest(F.lit(SUBSETS), power).cast("bigint"), lambda m: _bind(
-            F.filter(found, lambda h: _place(h, m) < SUBSETS), lambda mine: F.struct(
-                m.alias("m"), F.array(*[_hashes(mine, m * (1 << i)) for i in range(LEVELS)]).alias("hashes"),
-                F.array_sort(F.array_distinct(F.transform(found, lambda h: (h.bitwiseAND(F.lit(0xFFFFFFFF)) - _HALF).cast("int")))).alias("terms"))))
+        power = F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.size(found), F.lit(1)))) + 1)
+        return _bind(F.greatest(F.lit(LEAST_SUBSETS), power).cast("bigint"), lambda m: F.struct(
+            m.alias("m"), F.xxhash64(F.array_sort(found)).alias("whole"), _subset_hashes(found, m).alias("fine"),
+            _subset_hashes(found, F.shiftright(m, 1)).alias("coarse")))
 
     return _bind(_in_band(bits, terms(text)), shape)
 
 
 def as_text(fp: Column) -> Column:
-    hexed = lambda a: F.array_join(F.transform(a, lambda h: F.lower(F.hex(h))), ",")
-    return F.concat_ws(":", fp["m"].cast("string"), *[hexed(fp["hashes"][i]) for i in range(LEVELS)],
-                       F.array_join(F.transform(fp["terms"], lambda h: F.lower(F.hex(h.cast("bigint") + _HALF))), ","))
+    hexed = lambda a: F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h.cast("bigint") - _EMPTY), 2, "0"))), "")
+    return F.concat_ws(":", fp["m"].cast("string"), F.lower(F.lpad(F.hex(fp["whole"]), 16, "0")), hexed(fp["fine"]), hexed(fp["coarse"]))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal hashes among the hashes of all lexicon terms of either text; 1 if neither has a term."""
-    same = F.size(F.array_intersect(a["terms"], b["terms"]))
-    either = F.size(a["terms"]) + F.size(b["terms"]) - same
-    return F.when(either > 0, same / either).otherwise(F.lit(1.0))
+    """Share of equal hashes among the subsets in which either text has a term, at the finest number of subsets that both have.
+
+    1 if all lexicon terms are the same; 0 if they share no number of subsets: one has more than twice the terms of the other.
+    """
+    def share(x: Column, y: Column) -> Column:
+        count = lambda test: F.size(F.filter(F.zip_with(x, y, test), lambda t: t))
+        return count(lambda p, q: (p == q) & (p != _EMPTY)) / F.greatest(count(lambda p, q: (p != _EMPTY) | (q != _EMPTY)), F.lit(1))
+
+    return (F.when(a["whole"] == b["whole"], F.lit(1.0)).when(a["m"] == b["m"], share(a["fine"], b["fine"]))
+            .when(a["m"] == 2 * b["m"], share(a["coarse"], b["fine"])).when(2 * a["m"] == b["m"], share(a["fine"], b["coarse"]))
+            .otherwise(F.lit(0.0)))
 
 
 def next_ids(ids: DataFrame) -> DataFrame:
@@ -145,13 +158,13 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
                       F.substring(F.col("loan"), F.lit(1), quarter))
     both = keyed.join(loans.select(F.col("to").alias("key"), F.col("key").alias("next_key"), "loan"), "key").select(
         "key", "next_key", F.length("text").cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
-    marked = stored(both.select(
-        "key", "next_key", "n_chars", F.sha2("text", 256).alias("lends"), F.sha2("edited", 256).alias("edited_sha256"),
-        fingerprint(F.col("text"), bits).alias("a"), fingerprint(F.col("edited"), bits).alias("b")), "imatch")
+    pair = both.select("key", "next_key", "n_chars", F.sha2("text", 256).alias("lends"), F.sha2("edited", 256).alias("edited_sha256"),
+                       fingerprint(F.col("text"), bits).alias("a"), fingerprint(F.col("edited"), bits).alias("b"))
+    marked = stored(pair.select("key", "next_key", "n_chars", "lends", "edited_sha256", "a", as_text(F.col("b")).alias("edited_fingerprint"),
+                                likeness(F.col("a"), F.col("b")).alias("near_edited")), "imatch")
     # the row of an id that lends its text is the one it is compared with
     lender = marked.groupBy("key").agg(F.min(F.struct("lends", "a")).alias("x"))
     joined = marked.join(lender.select(F.col("key").alias("next_key"), F.col("x.a").alias("c")), "next_key")
     return joined.select(
         F.when(F.col("key") != _FIRST, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"),
-        as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"),
-        likeness(F.col("a"), F.col("c")).alias("near_next"))
+        "edited_fingerprint", "near_edited", likeness(F.col("a"), F.col("c")).alias("near_next"))

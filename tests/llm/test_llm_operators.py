@@ -176,30 +176,6 @@ def test_imatch(tables, name):
         assert np.mean([r["near_edited"] for r in got.values()]) > 0.4 > 0.1 > np.mean([r["near_next"] for r in got.values()])
 
 
-def test_imatch_hashes_match_a_plain_version(spark):
-    import xxhash
-
-    def mixed(n, seed, size=8):  # Spark's hash of a long, or of an int of 4 bytes
-        return xxhash.xxh64_intdigest(int(n).to_bytes(size, "little", signed=True), seed)
-
-    signed = lambda n: n - (1 << 64) if n >> 63 else n
-    text = " ".join(f"t{i}" for i in range(50))
-    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
-    bits = imatch.band_bits(df, "text", (0.0, 1.0))
-    from pyspark.sql import functions as F
-    got = df.select(imatch.fingerprint(F.col("text"), bits).alias("f")).first()["f"]
-    terms = [signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in text.split()]
-    assert got["m"] == 64
-    for i, level in enumerate(got["hashes"]):
-        m = 64 << i
-        place = {h: signed(mixed(7, mixed(h, 42), 4)) & (m - 1) for h in terms}
-        for k in range(imatch.SUBSETS):
-            own, h = sorted(t for t in terms if place[t] == k), 42
-            for t in own:
-                h = mixed(t, h)
-            assert level[k] == (h & 0xFFFFFFFF if own else 0)
-
-
 def test_mix_keeps_to_targets(odd, documents):
     for df in (odd, documents):
         got = mixing.mixed_documents(df).toPandas()
