@@ -15,12 +15,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small_side
-from .common import WORD, offsets, stored, text_or_empty
+from .common import WORD, numbered, offsets, power_of_two, stored, text_or_empty
 
-#: Virtual time is cut into this many ranges for the running total of the global order.
-FINISH_RANGES = 4096
-#: Documents per (source, bucket) that the number of shuffle buckets aims at.
-BUCKET_ROWS = 4096
+#: Documents per (source, bucket) that the number of shuffle buckets aims at, and entries per range of virtual time.
+BUCKET_ROWS, RANGE_ROWS = 4096, 1 << 14
+#: Ranges of virtual time for the running total of the global order; their totals are broadcast, so there is an upper bound.
+FINISH_RANGES = (4096, 1 << 20)
 
 
 def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...] = (3, 1, 2), epochs: int = 2
@@ -52,22 +52,27 @@ def source_targets(sizes: DataFrame, share: float = 1.5, weights: tuple[int, ...
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", share: float = 1.5,
-        weights: tuple[int, ...] = (3, 1, 2), epochs: int = 2) -> DataFrame:
-    """Entries of the mix, one row per document and epoch: doc_id, text_hash, size, source_size, target, epoch,
+        weights: tuple[int, ...] = (3, 1, 2), epochs: int = 2, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Entries of the mix, one row per document and epoch: the columns ``keep``, doc_id, text_hash, size, source_size, target, epoch,
     finish (virtual time), position (words of the mix before it; null if not taken), taken.
 
     Size is the number of words (a null text has none). A document that its source's target cuts gives only
-    the words up to there. The shuffle is the MD5 of the id, so reruns agree; ties go by id and text. Null
+    the words up to there. The shuffle is the MD5 of the id (of the text's hash, if the id is null), so reruns agree; ties go by id
+    and text. Null
     sources are one source, null ids sort first. Repeated rows are documents of their own.
     Empty documents, and every document if all are empty, are taken with 0 words.
     """
     size = F.size(F.regexp_extract_all(text_or_empty(text), F.lit(WORD), F.lit(0))).cast("bigint")
     light = stored(docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), size.alias("size"),
-        F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))).alias("shuffled"),
-        F.xxhash64(text).alias("text_hash"),
+        F.md5(F.coalesce(F.col(doc_id).cast("string"), F.xxhash64(text).cast("string"))).alias("shuffled"),
+        F.xxhash64(text).alias("text_hash"), *keep,
     ), "mix-sizes")
-    digits = 2 if (n := light.count()) <= 256 * BUCKET_ROWS else 3 if n <= 4096 * BUCKET_ROWS else 4
+    n = light.count()
+    digits = 2
+    while n > 16 ** digits * BUCKET_ROWS:
+        digits += 1
+    finishes = power_of_two(n * epochs / RANGE_ROWS, *FINISH_RANGES)
     sizes = light.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(source_targets(sizes, share, weights, epochs), "mix-targets")
     rows = light.join(small_side(targets), light["source"].eqNullSafe(targets["source"])).drop("source").withColumn(
@@ -89,14 +94,14 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: s
     queued = stored(queued, "mix-queued")
 
     served = queued.filter("share > 0").withColumn(
-        "range", F.least(F.floor(F.col("finish") * FINISH_RANGES), F.lit(FINISH_RANGES)).cast("int"))
+        "range", F.least(F.floor(F.col("finish") * finishes), F.lit(finishes)).cast("int"))
     ranges = served.groupBy("range").agg(F.sum("share").alias("words")).withColumn("all", F.lit(0))
     starts = offsets(ranges, ["all"], "range", "words", "base").drop("all")
     order = Window.partitionBy("range").orderBy("finish", "sid", "epoch", "bucket", "rank")
     taken = (
         served.repartitionByRange("range").withColumn("position", F.sum("share").over(
             order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("share"))
-        .join(F.broadcast(starts), "range")  # at most FINISH_RANGES + 1 rows
+        .join(F.broadcast(starts), "range")  # one row a range
         .withColumn("position", F.col("position") + F.col("base"))
         .withColumn("taken", F.greatest(F.lit(0).cast("bigint"), F.least(
             F.col("share"), F.floor("budget") - F.col("position"))))
@@ -117,16 +122,18 @@ def mixed_rows(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     """The mix itself with the columns of ``docs``: a row for each time a document is taken.
 
     Where the mix takes only a part of a document its text is cut after that word (and n_chars, if there, is
-    that of the cut text). Rows that agree in id and text are taken in common.
+    that of the cut text). A text without words is taken once. Each row is a document of its own, also where ids are null or
+    repeat or rows are equal. Other columns go along; an empty table gives no rows.
     """
-    entries = mix(docs, doc_id, source, text, **how).filter("taken > 0 or size = 0").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("size").alias("__size"),
-        F.col("taken").alias("__taken"), F.col("epoch").alias("__epoch")).filter("__size > 0 or __epoch = 0").distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
-    words = F.slice(F.regexp_extract_all(text_or_empty(text), F.lit(WORD), F.lit(0)), F.lit(1), F.col("__taken").cast("int"))
-    partly = F.col("__taken") < F.col("__size")
-    joined = docs.join(entries, same).withColumn(text, F.when(partly, F.array_join(words, " ")).otherwise(F.col(text)))
-    if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(partly, F.length(text)).otherwise(F.col("n_chars")).cast(
-            docs.schema["n_chars"].dataType))
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = numbered(docs)
+    inside = F.col("row")
+    light = held.select("row_no", inside[doc_id].alias("doc_id"), inside[source].alias("source"), inside[text].alias("text"))
+    entries = mix(light, keep=("row_no",), **how).filter("taken > 0 or size = 0 and epoch = 0").select(
+        "row_no", F.col("taken").cast("int").alias("taken"), (F.col("taken") < F.col("size")).alias("partly"))
+    words = F.slice(F.regexp_extract_all(text_or_empty("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("taken"))
+    cut = held.join(entries, "row_no").withColumn("text", inside[text]).withColumn(
+        "text", F.when(F.col("partly"), F.array_join(words, " ")).otherwise(F.col("text")))
+    changed = {text: F.col("text")}
+    if "n_chars" in docs.columns and text != "n_chars":
+        changed["n_chars"] = F.when(F.col("partly"), F.length("text")).otherwise(inside["n_chars"]).cast(docs.schema["n_chars"].dataType)
+    return cut.select(*[changed.get(c, inside[c]).alias(c) for c in docs.columns])

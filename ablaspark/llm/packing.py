@@ -10,6 +10,7 @@ that a third of the documents share is never in one task.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -61,10 +62,28 @@ class WordIds:
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     KEPT_BYTES = (*range(33, 127), *range(161, 173), *range(174, 256))
     PLAIN = re.compile("[!-~\xa1-\xff]+")
+    #: The steps of the tokenizer file that this class does itself.
+    STEPS = {
+        "normalizer": {"type": "Sequence", "normalizers": [
+            {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    }
+
+    @classmethod
+    def check(cls, path: str) -> None:
+        """Refuse a file whose steps differ: its ids would be wrong."""
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
+        for name, expected in cls.STEPS.items():
+            if steps.get(name) != expected:
+                raise ValueError(f"the {name} of {path} is not the one that packing knows: {str(steps.get(name))[:200]}")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        self.check(path)
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.split = regex.compile(self.SPLIT).findall
@@ -131,8 +150,10 @@ def pack(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "t
 
     A null or empty text is the end token alone. Ids may be null or repeat; every row is a document. Ties are
     broken by the row's place, so they only decide which equal-length piece goes where. Other columns are
-    ignored; an empty table gives no rows. ``tokenizer`` is a path that every executor can open.
+    ignored; an empty table gives no rows. ``tokenizer`` is a path that every executor can open; a file
+    with another normaliser or split than WordIds does is refused.
     """
+    WordIds.check(tokenizer)
     rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), text_or_empty(text).alias("text"))
     pieces = stored(rows.mapInArrow(_pieces(tokenizer, capacity, quantum), _PIECE).withColumn(
         "row_no", F.monotonically_increasing_id()), "pieces")

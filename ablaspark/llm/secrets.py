@@ -101,11 +101,14 @@ def scan_versions(versions: DataFrame, ledger: Ledger, rules: tuple[Rule, ...] =
     light = stored(rows.select("path", F.sha2("text", 256).alias("blob")), "blobs")
     seen = ledger.rows().groupBy("blob").agg(F.flatten(F.collect_list("scanned")).alias("seen"))
     unseen = F.array_except(F.array(*[F.lit(r.name) for r in rules]), F.coalesce("seen", F.array().cast("array<string>")))
-    todo = light.groupBy("blob").agg(F.min("path").alias("at")).join(seen, "blob", "left").select(
-        "at", "blob", unseen.alias("missing")).filter(F.size("missing") > 0)
+    places = light.groupBy("blob", "path").agg(F.count(F.lit(1)).alias("rows"))
+    todo = places.groupBy("blob").agg(F.min("path").alias("at"), F.coalesce(F.min_by("rows", "path"), F.max("rows")).alias("rows")).join(
+        seen, "blob", "left").select("at", "blob", "rows", unseen.alias("missing")).filter(F.size("missing") > 0)
     here = F.col("path").eqNullSafe(F.col("at")) & (F.sha2("text", 256) == F.col("blob"))
-    found = rows.join(stored(todo, "unseen"), here).select("blob", "text", "missing").mapInPandas(_scanner(rules), LEDGER)
-    ledger.append(found)
+    fresh = rows.join(stored(todo, "unseen"), here).select("blob", "text", "missing", "rows")
+    # only where rows repeat, path and text, are their texts brought together
+    once = fresh.filter("rows > 1").groupBy("blob", "missing").agg(F.first("text").alias("text")).select("blob", "text", "missing")
+    ledger.append(fresh.filter("rows = 1").drop("rows").unionByName(once).mapInPandas(_scanner(rules), LEDGER))
 
     place = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.name, i)])
     kind = F.create_map(*[F.lit(x) for r in rules for x in (r.name, r.kind)])

@@ -40,3 +40,25 @@ def test_stages(spark, folder, documents):
     words = packing.WordIds(tokenizers.path())
     assert sum(r["length"] for r in got) == sum(len(words.document(r["text"])) // 4 for r in given)
     assert sorted({(r["sequence_id"], r["offset"]) for r in got}) == sorted((r["sequence_id"], r["offset"]) for r in got)
+
+
+def through(spark, docs, folder):
+    rows = {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, folder), "stage")
+        rows[name] = docs.collect()
+    return rows
+
+
+def test_odd_rows_go_through_all_stages(spark, folder, odd):
+    rows = through(spark, odd, folder)
+    for name in ("language ID", "exact dedup", "near-dedup", "mixing"):
+        assert rows[name] and set(odd.columns) == set(rows[name][0].asDict())
+        assert all(r["text"] and any(c.isalpha() for c in r["text"]) and r["key"] == "x" for r in rows[name])
+    for name in ("exact dedup", "near-dedup"):
+        assert len({re.sub(r"\s", "", r["text"]) for r in rows[name]}) == len(rows[name])
+    assert {r["doc_id"] for r in rows["packing"]} == {r["doc_id"] for r in rows["mixing"]}
+
+
+def test_an_empty_table_goes_through_all_stages(spark, folder, nothing):
+    assert not any(through(spark, nothing, folder).values())
