@@ -31,4 +31,5 @@ def test_entry_works_without_the_optional_parts():
 
 
 def test_errors_inside_them_are_not_hidden():
-    assert run("pyarrow").returncode != 0 or not (ROOT / "corpus_pipeline.py").exists()
+    there = all((ROOT / part).exists() for part in ("corpus_pipeline.py", "ablaspark/llm/__init__.py"))
+    assert run("pyarrow").returncode != 0 or not there
