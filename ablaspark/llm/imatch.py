@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .common import BLANK_RUN, power_of_two, stored, text_or_empty
 
 IDF_BAND = (1.5, 8.0)
-LEAST_SUBSETS = 8
+LEAST_BITS = 3
 #: Bits per term of the lexicon's bit map (another term shares a lexicon term's bit once in so many times), and the most bits.
 SPREAD, MOST_BITS = 16, 1 << 25
 _EMPTY = -(1 << 7)  # 8-bit hashes are kept as signed integers; no hash of a subset with terms is this one
@@ -69,31 +69,40 @@ def _in_band(bits: str, hashes: Column) -> Column:
         F.size(kept) > 0, kept).otherwise(every)))
 
 
-def _subset_hashes(found: Column, m: Column) -> Column:
-    """For each of ``m`` lexicon subsets an 8-bit hash of its sorted terms: terms and a mark per subset are sorted, and the runs hashed."""
-    entry = lambda k, real, h: F.struct(k.cast("bigint").alias("k"), F.lit(real).alias("real"), h.cast("bigint").alias("h"))
-    marks = F.transform(F.sequence(F.lit(0).cast("bigint"), m - 1), lambda k: entry(k, 0, F.lit(0)))
-    own = F.transform(found, lambda h: entry(F.xxhash64(h, F.lit(7)).bitwiseAND(m - 1), 1, h))
+def _subsets(found: Column, bits: Column) -> Column:
+    """The sorted terms of each of 2^bits lexicon subsets, in order; a subset is a range of the terms' second hashes.
 
-    def hashed(part: Column) -> Column:
-        short = F.greatest(F.xxhash64(part).bitwiseAND(F.lit(0xFF)), F.lit(1)) + _EMPTY
-        return F.when(F.size(part) > 0, short).otherwise(F.lit(_EMPTY)).cast("tinyint")
+    Terms (odd numbers) and a mark per subset (its lower end) are sorted together, and the marks cut the order.
+    """
+    width = F.lit(63) - bits
+    first = F.lit(1).cast("bigint")
+    shifted = lambda k: F.call_function("shiftleft", k, width)
+    marks = F.transform(F.sequence(F.lit(0).cast("bigint"), F.call_function("shiftleft", first, bits) - 1), shifted)
+    own = F.transform(found, lambda h: F.shiftrightunsigned(F.xxhash64(h, F.lit(7)), 1).bitwiseOR(F.lit(1)))
 
-    def runs(every: Column) -> Column:
-        starts = F.filter(F.transform(every, lambda x, i: F.when(x["real"] == 0, i).otherwise(-1)), lambda i: i >= 0)
-        return _bind(starts, lambda s: F.transform(s, lambda start, j: _bind(F.transform(F.slice(
-            every, start + 2, F.coalesce(F.get(s, j + 1), F.size(every)) - start - 1), lambda x: x["h"]), hashed)))
+    def cut(every: Column) -> Column:
+        starts = F.filter(F.transform(every, lambda x, i: F.when(x.bitwiseAND(F.lit(1)) == 0, i).otherwise(-1)), lambda i: i >= 0)
+        return _bind(starts, lambda s: F.transform(s, lambda start, j: F.slice(
+            every, start + 2, F.coalesce(F.get(s, j + 1), F.size(every)) - start - 1)))
 
-    return _bind(F.array_sort(F.concat(marks, own)), runs)
+    return _bind(F.sort_array(F.concat(marks, own)), cut)
 
 
 def fingerprint(text: Column, bits: str) -> Column:
     """struct(m, whole: hash of all sorted lexicon terms, fine and coarse: hashes of m and of m / 2 subsets)."""
+    def hashed(part: Column) -> Column:
+        short = F.greatest(F.xxhash64(part).bitwiseAND(F.lit(0xFF)), F.lit(1)) + _EMPTY
+        return F.when(F.size(part) > 0, short).otherwise(F.lit(_EMPTY)).cast("tinyint")
+
+    def levels(parts: Column) -> Column:
+        halves = F.sequence(F.lit(0), F.shiftright(F.size(parts), 1) - 1)
+        coarse = F.transform(halves, lambda j: _bind(F.concat(F.get(parts, 2 * j), F.get(parts, 2 * j + 1)), hashed))
+        return F.struct(F.size(parts).alias("m"), F.xxhash64(F.flatten(parts)).alias("whole"),
+                        F.transform(parts, hashed).alias("fine"), coarse.alias("coarse"))
+
     def shape(found: Column) -> Column:
-        power = F.pow(F.lit(2), F.floor(F.log2(F.greatest(F.size(found), F.lit(1)))) + 1)
-        return _bind(F.greatest(F.lit(LEAST_SUBSETS), power).cast("bigint"), lambda m: F.struct(
-            m.alias("m"), F.xxhash64(F.array_sort(found)).alias("whole"), _subset_hashes(found, m).alias("fine"),
-            _subset_hashes(found, F.shiftright(m, 1)).alias("coarse")))
+        power = F.greatest(F.lit(LEAST_BITS), F.floor(F.log2(F.greatest(F.size(found), F.lit(1)))) + 1).cast("int")
+        return _bind(_subsets(found, power), levels)
 
     return _bind(_in_band(bits, terms(text)), shape)
 
@@ -150,21 +159,19 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
                                F.floor(F.length(text_or_empty(text)) / 4).cast("int").alias("quarter")), "quarters")
     steps = next_ids(sizes.select("key"))
     wanted = sizes.groupBy("key").agg(F.max("quarter").alias("quarter")).join(steps, "key")
-    loans = wanted.select(F.col("key").alias("to"), F.col("next_key").alias("key"), "quarter").join(keyed, "key").groupBy(
-        "to", "key").agg(
-        F.min_by(F.substring(F.col("text"), F.lit(1), F.col("quarter")), F.sha2("text", 256)).alias("loan"))
+    # the row of an id that lends its text is the one it is compared with
+    lent = wanted.select(F.col("key").alias("to"), F.col("next_key").alias("key"), "quarter").join(keyed, "key").select(
+        "to", "key", F.sha2("text", 256).alias("lends"), F.substring(F.col("text"), F.lit(1), F.col("quarter")).alias("loan"),
+        fingerprint(F.col("text"), bits).alias("c"))
+    loans = lent.groupBy("to", "key").agg(F.min_by(F.struct("loan", "c"), "lends").alias("x")).select(
+        F.col("to").alias("key"), "x.loan", "x.c")
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.length("text") - quarter),
                       F.substring(F.col("loan"), F.lit(1), quarter))
-    both = keyed.join(loans.select(F.col("to").alias("key"), F.col("key").alias("next_key"), "loan"), "key").select(
-        "key", "next_key", F.length("text").cast("bigint").alias("n_chars"), "text", edited.alias("edited"))
-    pair = both.select("key", "next_key", "n_chars", F.sha2("text", 256).alias("lends"), F.sha2("edited", 256).alias("edited_sha256"),
-                       fingerprint(F.col("text"), bits).alias("a"), fingerprint(F.col("edited"), bits).alias("b"))
-    marked = stored(pair.select("key", "next_key", "n_chars", "lends", "edited_sha256", "a", as_text(F.col("b")).alias("edited_fingerprint"),
-                                likeness(F.col("a"), F.col("b")).alias("near_edited")), "imatch")
-    # the row of an id that lends its text is the one it is compared with
-    lender = marked.groupBy("key").agg(F.min(F.struct("lends", "a")).alias("x"))
-    joined = marked.join(lender.select(F.col("key").alias("next_key"), F.col("x.a").alias("c")), "next_key")
-    return joined.select(
+    marked = keyed.join(loans, "key").select("key", "text", edited.alias("edited"), "c").select(
+        "key", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprint(F.col("text"), bits).alias("a"), fingerprint(F.col("edited"), bits).alias("b"), "c")
+    return marked.select(
         F.when(F.col("key") != _FIRST, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", as_text(F.col("a")).alias("fingerprint"),
-        "edited_fingerprint", "near_edited", likeness(F.col("a"), F.col("c")).alias("near_next"))
+        as_text(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"),
+        likeness(F.col("a"), F.col("c")).alias("near_next"))

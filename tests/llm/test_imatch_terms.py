@@ -42,15 +42,16 @@ def plain_fingerprint(text, lexicon):
     size = max(64, 1 << max(0, imatch.SPREAD * len(lexicon) - 1).bit_length())
     bits = {h % size for h in lexicon}
     found = sorted(h for h in words(text) if h % size in bits) or sorted(words(text))
-    m = max(8, 1 << max(1, len(found).bit_length()))
+    power = max(3, len(found).bit_length())
 
     def hashes(n):
-        parts = [[] for _ in range(n)]
-        for h in found:
-            parts[mixed(7, mixed(h, 42), 4) % n].append(h)
+        parts = [[] for _ in range(1 << n)]
+        for h in sorted(mixed(7, mixed(h, 42), 4) >> 1 | 1 for h in found):
+            parts[h >> 63 - n].append(h)
         return [max(1, chained(p) & 0xFF) if p else 0 for p in parts]
 
-    return m, chained(found), hashes(m), hashes(m // 2)
+    whole = chained(sorted(mixed(7, mixed(h, 42), 4) >> 1 | 1 for h in found))
+    return 1 << power, whole, hashes(power), hashes(power - 1)
 
 
 def plain_text(fp):
