@@ -128,6 +128,35 @@ def normalize_configs(configs: DataFrame) -> DataFrame:
     return described.withColumn("is_full", F.expr(f"active_components = {len(TOGGLES)}"))
 
 
+def read_configs(lines: DataFrame, line: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Configurations from JSON objects, one per row, checked against the schema: (good, rejects).
+
+    ``good`` has the configuration's columns, with the rules of ``normalize_configs`` applied; ``rejects`` has the line and all
+    reasons against it: no JSON object, no name, fields that a configuration does not have, a switch that is neither true nor
+    false, an unknown scaler, an ``extra`` that is no object. Missing fields take their defaults. Other columns go along in both;
+    rows are judged one by one, so the table may be of any size.
+    """
+    fields = [c.split(" ")[0] for c in CONFIG_SCHEMA.split(", ")]
+    known = ", ".join(f"'{f}'" for f in fields)
+    scalers = ", ".join(f"'{s}'" for s in SCALER_TYPES)
+    parsed = lines.withColumn("__m", F.expr(f"from_json({q(line)}, 'map<string,string>')")).withColumn(
+        "__extra", F.expr("from_json(__m['extra'], 'map<string,string>')"))
+    reasons = ["case when __m is null then 'not a JSON object' end", "case when __m is not null and coalesce(trim(__m['name']), '') = '' then 'no name' end"]
+    switches = [f"case when __m['{t}'] is not null and lower(__m['{t}']) not in ('true', 'false') then '{t} is neither true nor false' end"
+                for t in TOGGLES]
+    switches += [f"case when __m['scaler_type'] not in ({scalers}) then concat('unknown scaler_type ', __m['scaler_type']) end",
+                 "case when __m['extra'] is not null and __extra is null then 'extra is not an object' end"]
+    strange = f"transform(array_sort(array_except(coalesce(map_keys(__m), array()), array({known}))), f -> concat('unknown field ', f))"
+    judged = parsed.withColumn("reasons", F.expr(
+        f"filter(concat(array({', '.join(reasons)}), {strange}, array({', '.join(switches)})), r -> r is not null)"))
+    kept = [c for c in lines.columns if c != line]
+    good = judged.where("size(reasons) = 0").selectExpr(
+        *[q(c) for c in kept if c not in fields], "__m['name'] as name", *[f"coalesce(lower(__m['{t}']) = 'true', true) as {t}" for t in TOGGLES],
+        "coalesce(__m['model_type'], 'default') as model_type", "coalesce(__m['scaler_type'], 'standard') as scaler_type",
+        "__m['description'] as description", "coalesce(__extra, map()) as extra")
+    return normalize_configs(good), judged.where("size(reasons) > 0").selectExpr(*map(q, lines.columns), "reasons")
+
+
 def cross_grid(datasets: DataFrame, **axes: Sequence) -> DataFrame:
     """Every dataset row with every combination of the literal axes (configs, seeds, models).
 

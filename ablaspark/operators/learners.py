@@ -8,19 +8,26 @@ count their training rows first. All take ``features`` and ``label`` columns and
 from __future__ import annotations
 
 import itertools
+import math
 import random
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import (
     GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import concurrently
+from . import voting
 from .stages import FittedStage, LearnStage, fourier_features, slice_features
 
 MAX_DEPTH = 30  # Spark's cap; stands for "no limit"
@@ -171,11 +178,47 @@ def select_from_model(train: DataFrame, features: str = "features", label: str =
     return [i for i, s in enumerate(scores) if s >= mean]
 
 
-# --- members of a vote ---------------------------------------------------------------------------
+# --- ensembles -------------------------------------------------------------------------------------
+
+class Ensemble:
+    """A combination of estimators as a pipeline step: ``stage()`` fits it, ``single()`` is what is left without it."""
+
+    def stage(self) -> LearnStage:
+        raise NotImplementedError
+
+    def single(self):
+        raise NotImplementedError
+
+
+def _stage(estimator):
+    return estimator.stage() if isinstance(estimator, Ensemble) else estimator
+
+
+def _columns(models, data: DataFrame, classes: Sequence | None) -> tuple[DataFrame, list[str], list[list[str]]]:
+    """One projection chain over all models: a column per prediction and, with classes, per class probability."""
+    have = set(data.columns)
+    preds, probs = [], []
+    for i, (_, m) in enumerate(models):
+        data = m.transform(data)
+        made = [c for c in data.columns if c not in have and not c.startswith("__m")]
+        soft = classes is not None and "probability" in made
+        data = data.withColumn(f"__m{i}", F.col("prediction"))
+        preds.append(f"__m{i}")
+        probs.append([f"__m{i}_{j}" for j in range(len(classes))] if soft else [])
+        if soft:
+            data = data.withColumns({c: vector_to_array("probability")[j] for j, c in enumerate(probs[-1])})
+        data = data.drop(*made)
+    return data, preds, probs
+
+
+def _classes(models) -> list[float]:
+    fitted = [getattr(m, "bestModel", m) for _, m in models]
+    return [float(c) for c in range(max(getattr(m, "numClasses", 2) for m in fitted))]
+
 
 @dataclass
-class Voting:
-    """Members (name, estimator) of a hard, soft or mean vote, as a pipeline step."""
+class Voting(Ensemble):
+    """Members (name, estimator) of a hard, soft or mean vote; without the vote the first member is left."""
 
     members: Sequence[tuple[str, Estimator]]
     kind: str = "hard"
@@ -183,30 +226,17 @@ class Voting:
     classes: Sequence | None = None
     label: str = "label"
 
-    def stage(self) -> LearnStage:
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-
-        from . import voting
+    def single(self):
+        return self.members[0][1] if self.members else self
 
+    def stage(self) -> LearnStage:
         def learn(df: DataFrame):
-            models = [(n, e.fit(df)) for n, e in self.members]
-            fitted = [getattr(m, "bestModel", m) for _, m in models]
-            classes = list(self.classes) if self.classes else [
-                float(c) for c in range(max(getattr(m, "numClasses", 2) for m in fitted))]
+            fits = concurrently([lambda e=e: _stage(e).fit(df) for _, e in self.members])
+            models = [(n, m) for (n, _), m in zip(self.members, fits)]
+            classes = list(self.classes) if self.classes else _classes(models)
 
             def apply(d: DataFrame) -> DataFrame:
-                # One projection chain with distinct column names: predictions never need a join.
-                have = set(d.columns)
-                preds, probs = [], []
-                for i, (_, m) in enumerate(models):
-                    d = m.transform(d)
-                    made = [c for c in d.columns if c not in have and not c.startswith("__m")]
-                    d = d.withColumn(f"__m{i}", F.col("prediction"))
-                    preds.append(f"__m{i}")
-                    if self.kind == "soft":
-                        d = d.withColumns({f"__m{i}_{j}": vector_to_array("probability")[j] for j in range(len(classes))})
-                        probs.append([f"__m{i}_{j}" for j in range(len(classes))])
-                    d = d.drop(*made)
+                d, preds, probs = _columns(models, d, classes if self.kind == "soft" else None)
                 if self.kind == "hard":
                     d = voting.vote_hard(d, preds, "prediction")
                 elif self.kind == "soft":
@@ -219,3 +249,152 @@ class Voting:
             return FittedStage(apply, models)
 
         return LearnStage(learn, "Voting")
+
+
+def _row_key(df: DataFrame, ids: Sequence[str] | None):
+    """What tells rows apart, whatever their partition: the ids, or else all columns."""
+    return [F.col(f"`{c}`") for c in (ids or df.columns)]
+
+
+@dataclass
+class Stacking(Ensemble):
+    """Members whose out-of-fold outputs train a final learner; without it the final learner is left, or the first member.
+
+    Folds are cut by a hash of the ids (of all columns, if there are none): every member is fitted once without each fold and
+    predicts that fold, so the final learner never sees an output for a row that the member was fitted on. Members are then
+    fitted on all rows. Outputs are the class probabilities (without the first class if there are two), or the prediction.
+    ``final`` is a logistic regression by default, a linear one for a regression.
+    """
+
+    members: Sequence[tuple[str, Estimator]]
+    final: Estimator | None = None
+    task: str = "classification"
+    folds: int = 5
+    ids: Sequence[str] | None = None
+    features: str = "features"
+    label: str = "label"
+    passthrough: bool = False
+    seed: int = 42
+
+    def single(self):
+        return self.final if self.final is not None else self.members[0][1] if self.members else self
+
+    def _meta(self, models, df: DataFrame, classes: Sequence | None) -> DataFrame:
+        """Rows with the members' outputs as the vector ``__stack``."""
+        data, preds, probs = _columns(models, df, classes)
+        outputs = [c for pred, prob in zip(preds, probs) for c in (prob[1:] if len(prob) == 2 else prob or [pred])]
+        inputs = outputs + ([self.features] if self.passthrough else [])
+        made = VectorAssembler(inputCols=inputs, outputCol="__stack").transform(data)
+        return made.drop(*preds, *[c for p in probs for c in p])
+
+    def stage(self) -> LearnStage:
+        def learn(df: DataFrame):
+            number = F.pmod(F.xxhash64(*_row_key(df, self.ids), F.lit(self.seed)), F.lit(self.folds))
+            folded = df.withColumn("__fold", number.cast("int"))
+            parts = [folded.where(f"__fold != {f}").drop("__fold") for f in range(self.folds)] + [df]
+            fits = concurrently([lambda e=e, d=d: _stage(e).fit(d) for d in parts for _, e in self.members])
+            size = len(self.members)
+            models = [[(n, fits[k * size + i]) for i, (n, _) in enumerate(self.members)] for k in range(len(parts))]
+            classes = None if self.task == "regression" else _classes(models[-1])
+            held_out = [self._meta(models[f], folded.where(f"__fold = {f}").drop("__fold"), classes) for f in range(self.folds)]
+            meta = reduce(DataFrame.unionByName, held_out).select(F.col("__stack").alias(self.features), self.label)
+            meta = meta.persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                final = self.final if self.final is not None else (
+                    linear(self.features, self.label) if self.task == "regression" else logistic(1.0, 100, self.features, self.label))
+                last = _stage(final).fit(meta)
+            finally:
+                meta.unpersist()
+
+            def apply(d: DataFrame) -> DataFrame:
+                own = d.withColumn("__own", F.col(self.features))
+                met = self._meta(models[-1], own, classes).withColumn(self.features, F.col("__stack")).drop("__stack")
+                return last.transform(met).withColumn(self.features, F.col("__own")).drop("__own")
+
+            return FittedStage(apply, {"members": models[-1], "final": last, "out_of_fold": models[:-1]})
+
+        return LearnStage(learn, "Stacking")
+
+
+#: Draws of a row beyond this have a probability below 10^-9 and count as this many.
+MOST_DRAWS = 12
+
+
+def poisson_draws(key: Sequence, seed: int):
+    """How often a row is drawn into a bootstrap sample, from a hash of its key: Poisson with mean 1."""
+    share = F.shiftrightunsigned(F.xxhash64(*key, F.lit(seed)), 11) / float(1 << 53)
+    total, term, draws = 0.0, math.exp(-1), F.lit(MOST_DRAWS)
+    edges = []
+    for k in range(MOST_DRAWS):
+        total += term
+        term /= k + 1
+        edges.append((k, total))
+    for k, edge in reversed(edges):
+        draws = F.when(share < edge, F.lit(k)).otherwise(draws)
+    return draws.cast("double")
+
+
+@dataclass
+class Bagging(Ensemble):
+    """Copies of ``base`` on bootstrap samples, averaged; without it the base is left.
+
+    A sample is a weight column: each row's draws come from a hash of its ids (of all columns, if there are none) and the member's
+    number, so no row is copied and samples don't depend on the partitions. The base needs a weight column. The fitted
+    stage's detail has ``oob_score``: accuracy (R2 for a regression) where each row is judged by the members that never drew it.
+    """
+
+    base: Estimator
+    members: int = 10
+    task: str = "classification"
+    ids: Sequence[str] | None = None
+    label: str = "label"
+    seed: int = 42
+    oob: bool = True
+
+    def single(self):
+        return self.base
+
+    def draws(self, df: DataFrame, member: int):
+        return poisson_draws(_row_key(df, self.ids), self.seed * 10_007 + member)
+
+    def stage(self) -> LearnStage:
+        if not self.base.hasParam("weightCol"):
+            raise TypeError(f"{type(self.base).__name__} has no weight column, which bagging needs")
+        base = self.base.copy({self.base.getParam("weightCol"): "__draws"})
+
+        def fit(df: DataFrame, member: int):
+            return base.fit(df.withColumn("__draws", self.draws(df, member)).where("__draws > 0"))
+
+        def learn(df: DataFrame):
+            fits = concurrently([lambda i=i: fit(df, i) for i in range(self.members)])
+            models = [(f"bag_{i}", m) for i, m in enumerate(fits)]
+            classes = None if self.task == "regression" else _classes(models)
+
+            def average(d: DataFrame, uses: Sequence[str]) -> DataFrame:
+                """Adds the mean over the members whose condition holds."""
+                d, preds, probs = _columns(models, d, classes)
+                use = [f"({u})" for u in uses]
+                total = " + ".join(f"if({u}, 1, 0)" for u in use)
+                mean = lambda cols: f"({' + '.join(f'if({u}, {c}, 0D)' for u, c in zip(use, cols))}) / nullif({total}, 0)"
+                if classes is None:
+                    d = d.withColumn("prediction", F.expr(mean(preds)))
+                else:
+                    shares = [mean([p[j] if p else f"if({c} = {k}, 1D, 0D)" for p, c in zip(probs, preds)]) for j, k in enumerate(classes)]
+                    d = d.withColumn("__mean", F.expr(f"array({', '.join(shares)})")).withColumn(
+                        "prediction", F.expr("cast(array_position(__mean, array_max(__mean)) - 1 as double)")).withColumn(
+                        "probability", array_to_vector("__mean")).drop("__mean")
+                return d.drop(*preds, *[c for p in probs for c in p])
+
+            score = None
+            if self.oob:
+                unseen = [f"__u{i}" for i in range(self.members)]
+                marked = df.withColumns({u: self.draws(df, i) == 0 for i, u in enumerate(unseen)})
+                judged = average(marked, unseen).where(" or ".join(unseen))
+                y = F.col(self.label)
+                if self.task == "regression":
+                    score = judged.agg(1 - F.sum((y - F.col("prediction")) ** 2) / F.nullif(F.var_pop(y) * F.count(y), F.lit(0.0))).first()[0]
+                else:
+                    score = judged.agg(F.avg((y == F.col("prediction")).cast("double"))).first()[0]
+            return FittedStage(lambda d: average(d, ["true"] * self.members), {"members": models, "oob_score": score})
+
+        return LearnStage(learn, "Bagging")

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+from .configs import TOGGLES, AblationConfig
 from .ordering import ordered_rank
 
 # Step-name synonyms of the three canonical steps.
@@ -15,12 +17,14 @@ SYNONYMS = {
     "feature_engineering": ["feature_engineering", "fe", "pca", "feature_eng", "feature_engineer"],
     "model": ["model", "estimator", "clf", "regressor", "modeling"],
 }
+# Parts (and a start) of names that hint at a canonical step, tried in this order.
+HINTS = (("feature_engineering", ("pca", "feature"), ""), ("preprocessor", ("scale", "imputer"), "pre"), ("model", ("model", "clf", "reg"), ""))
 SCALER_CLASSES = ["StandardScaler"]
 TUNER_CLASSES = ["GridSearchCV", "RandomizedSearchCV"]
-ENSEMBLE_CLASSES = [
-    "VotingClassifier", "VotingRegressor", "StackingClassifier", "StackingRegressor", "BaggingClassifier",
-    "BaggingRegressor",
-]
+VOTING_CLASSES = ["VotingClassifier", "VotingRegressor"]
+STACKING_CLASSES = ["StackingClassifier", "StackingRegressor"]
+BAGGING_CLASSES = ["BaggingClassifier", "BaggingRegressor"]
+ENSEMBLE_CLASSES = [*VOTING_CLASSES, *STACKING_CLASSES, *BAGGING_CLASSES]
 
 
 def _in(column: str, names: Sequence[str]) -> str:
@@ -38,10 +42,9 @@ def canonical_steps(steps: DataFrame) -> DataFrame:
     nested = "or array_contains(nested, 'PCA')" if "nested" in steps.columns else ""
     rule = (
         f"case {synonyms} when class = 'PCA' {nested} then 'feature_engineering'"
-        f" when contains({low}, 'pca') or contains({low}, 'feature') or {low} = 'fe' then 'feature_engineering'"
-        f" when contains({low}, 'scale') or contains({low}, 'imputer') or startswith({low}, 'pre') then 'preprocessor'"
-        f" when contains({low}, 'model') or contains({low}, 'clf') or contains({low}, 'reg') then 'model'"
-        " else name end"
+        + "".join(f" when {' or '.join([f'contains({low}, {p!r})' for p in parts] + ([f'startswith({low}, {start!r})'] if start else []))}"
+                  f" then '{canonical}'" for canonical, parts, start in HINTS)
+        + " else name end"
     )
     named = steps.withColumn("__canon", F.expr(rule))
     numbered = ordered_rank(named, ["pos"], "__nth", by=["pipeline", "__canon"])
@@ -109,3 +112,56 @@ def simulate_ablation(steps: DataFrame, text: str = "description",
         *[F.expr(f"bool_and(__g{i})").alias(f"__g{i}") for i in range(len(gone))])
     return marked.selectExpr("pipeline", rows("not {g}"), "pos", text).unionByName(
         last.selectExpr("pipeline", rows("{g}"), "pos", text))
+
+
+#: Searches and ensembles may hold each other; a tree that goes deeper than this has a node among its own descendants.
+MOST_NESTING = 64
+
+
+def ablate_pipelines(nodes: DataFrame, configs: Sequence[AblationConfig]) -> DataFrame:
+    """(pipeline, configuration, pos, step, class, inner): the steps of each pipeline that are left under each configuration.
+
+    ``nodes`` are pipelines as trees: pipeline, node, parent (null for a step), pos, role, name, class. Roles below a step are
+    'inner' (a part of a nested pipeline), 'estimator' (what a search tunes), 'member', 'final' and 'base' (of an ensemble).
+    Steps get canonical names first. Without scaling the preprocessor loses the parts whose name has 'scale', or goes; without
+    feature engineering that step goes. Without tuning a search in the model gives way to its estimator; without ensembling a vote
+    gives way to its first member, a stack to its final learner (first member, if there is none), bags to their base - again and
+    again, as searches and ensembles may hold each other. What has no such child stays. ``inner`` has the names of the parts left.
+    """
+    def pick(value: str, role: str) -> str:
+        return f"min_by({value}, pos) filter (where role = '{role}')"
+
+    kids = nodes.where("parent is not null").groupBy("pipeline", F.col("parent").alias("node")).agg(
+        *[F.expr(pick("node", r)).alias(f"__{r}") for r in ("estimator", "member", "final", "base")],
+        F.expr("array_sort(collect_list(struct(pos, name, class)) filter (where role = 'inner'))").alias("__parts"))
+    tree = nodes.join(kids, ["pipeline", "node"], "left").withColumns({
+        "__tuned": F.expr(f"case when {_in('class', TUNER_CLASSES)} then __estimator end"),
+        "__single": F.expr(f"case when {_in('class', VOTING_CLASSES)} then __member when {_in('class', STACKING_CLASSES)}"
+                           f" then coalesce(__final, __member) when {_in('class', BAGGING_CLASSES)} then __base end"),
+        "__parts": F.expr("coalesce(__parts, array())")})
+    tree = cut_lineage(tree.select("pipeline", "node", "parent", "pos", "name", "class", "__tuned", "__single", "__parts"))
+
+    toggles = ", ".join(f"struct('{c.name}' as configuration, " + ", ".join(
+        f"{str(getattr(c, t)).lower()} as {t}" for t in TOGGLES) + ")" for c in configs)
+    steps = canonical_steps(tree.where("parent is null").withColumn("nested", F.expr("transform(__parts, p -> p.class)")))
+    grid = cut_lineage(steps.selectExpr("*", f"inline(array({toggles}))").selectExpr(
+        "pipeline", "configuration", "pos", "step", "node", "class", "use_scaling", "use_feature_engineering", "use_hyperparam_tuning",
+        "use_ensembling", "__tuned", "__single", "__parts",
+        "case when step = 'preprocessor' and not use_scaling then filter(__parts, p -> not contains(lower(p.name), 'scale')) else __parts end as __left"))
+    gone = ("step = 'preprocessor' and not use_scaling and size(__left) = 0"
+            " or step = 'feature_engineering' and not use_feature_engineering")
+    out = ["pipeline", "configuration", "pos", "step", "class", "transform(__left, p -> p.name) as inner"]
+    done = grid.where(f"step != 'model' and not ({gone})").selectExpr(*out)
+
+    # the model goes down its tree while its class is switched off
+    below = "coalesce(if(use_hyperparam_tuning, null, __tuned), if(use_ensembling, null, __single))"
+    inside = tree.selectExpr("pipeline", "node", "class", "__tuned", "__single", "__parts as __left")
+    now = grid.where("step = 'model'").drop("__parts").withColumn("__next", F.expr(below))
+    for _ in range(MOST_NESTING):
+        done = done.unionByName(now.where("__next is null").selectExpr(*out))
+        moving = now.where("__next is not null").selectExpr(
+            "pipeline", "configuration", "pos", "step", "use_hyperparam_tuning", "use_ensembling", "__next as node")
+        now = cut_lineage(moving.join(inside, ["pipeline", "node"]).withColumn("__next", F.expr(below)))
+        if now.isEmpty():
+            return done
+    raise ValueError(f"a model is nested deeper than {MOST_NESTING}")

@@ -10,15 +10,8 @@ from pyspark.ml.feature import PCA
 from pyspark.ml.tuning import CrossValidator
 
 from ..operators.configs import AblationConfig
-from ..operators.learners import Voting
-
-#: Canonical step names, the names that stand for them, and parts of names that hint at them.
-SYNONYMS = {
-    "preprocessor": ("preprocessor", "scaler", "imputer", "preproc", "pre_processing"),
-    "feature_engineering": ("feature_engineering", "fe", "pca", "feature_eng", "feature_engineer"),
-    "model": ("model", "estimator", "clf", "regressor", "modeling"),
-}
-HINTS = (("feature_engineering", ("pca", "feature")), ("preprocessor", ("scale", "imputer")), ("model", ("model", "clf", "reg")))
+from ..operators.learners import Ensemble
+from ..operators.steps import HINTS, SYNONYMS
 
 
 @dataclass(frozen=True)
@@ -59,26 +52,26 @@ def as_steps(built) -> list[Step]:
         if not values:
             raise TypeError("the builder's dict holds no pipeline")
         return as_steps(values[0])
-    if hasattr(built, "fit") or isinstance(built, Voting):
+    if hasattr(built, "fit") or isinstance(built, Ensemble):
         return [Step("model", built)]
     steps = [s if isinstance(s, Step) else Step(s[0], s[1]) for s in built]
     for s in steps:
         for x in [s.stage, *[i for _, i in s.inner]]:
-            if x is not None and not (hasattr(x, "fit") or isinstance(x, (Transformer, Voting))):
+            if x is not None and not (hasattr(x, "fit") or isinstance(x, (Transformer, Ensemble))):
                 raise TypeError(f"step '{s.name}' is neither an estimator nor a transformer")
     return steps
 
 
 def canonical_name(step: Step) -> str:
-    """The canonical name that a step's name, its PCA or a hint in its name stands for; else its own name."""
+    """The canonical name that a step's name stands for, else the one of its PCA, else of a hint in its name; else its own name."""
     low = step.name.lower()
     for canonical, names in SYNONYMS.items():
-        if low in names and not (canonical == "preprocessor" and _reduces(step)):
+        if low in names:
             return canonical
     if _reduces(step):
         return "feature_engineering"
-    for canonical, parts in HINTS:
-        if any(p in low for p in parts) or (canonical == "preprocessor" and low.startswith("pre")):
+    for canonical, parts, start in HINTS:
+        if any(p in low for p in parts) or (start and low.startswith(start)):
             return canonical
     return step.name
 
@@ -107,13 +100,26 @@ def untuned(stage):
 
 
 def single(stage):
-    """A vote gives way to its first member."""
-    return stage.members[0][1] if isinstance(stage, Voting) and stage.members else stage
+    """An ensemble gives way to one estimator: a vote to its first member, a stack to its final learner, bags to their base."""
+    return stage.single() if isinstance(stage, Ensemble) else stage
+
+
+def plain(stage, config: AblationConfig):
+    """The model without what the configuration switches off; searches and ensembles may hold each other."""
+    while True:
+        inner = stage
+        if not config.use_hyperparam_tuning:
+            inner = untuned(inner)
+        if not config.use_ensembling:
+            inner = single(inner)
+        if inner is stage:
+            return stage
+        stage = inner
 
 
 def ablate_stages(steps: Sequence[Step], config: AblationConfig) -> list[Step]:
     """Switch components off: scaling keeps the imputer, feature engineering drops the reducer,
-    tuning unwraps a search, ensembling falls back to one member."""
+    tuning unwraps a search, ensembling falls back to one estimator (see ``single``)."""
     out = []
     for s in steps:
         if s.name == "preprocessor" and not config.use_scaling:
@@ -126,12 +132,7 @@ def ablate_stages(steps: Sequence[Step], config: AblationConfig) -> list[Step]:
             if s.without is not None:
                 out.append(Step(s.name, s.without))
         elif s.name == "model":
-            stage = s.stage
-            if not config.use_hyperparam_tuning:
-                stage = untuned(stage)
-            if not config.use_ensembling:
-                stage = single(stage)
-            out.append(replace(s, stage=stage))
+            out.append(replace(s, stage=plain(s.stage, config)))
         else:
             out.append(s)
     return out
@@ -142,7 +143,7 @@ def to_pipeline(steps: Sequence[Step]) -> Pipeline:
     for s in steps:
         for x in [x for _, x in s.inner] or [s.stage]:
             if x is not None:
-                stages.append(x.stage() if isinstance(x, Voting) else x)
+                stages.append(x.stage() if isinstance(x, Ensemble) else x)
     return Pipeline(stages=stages)
 
 

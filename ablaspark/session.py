@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,6 +61,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def concurrently(tasks: Sequence[Callable], parallelism: int = 4) -> list:
+    """Results of driver-side tasks that each start Spark jobs, in order; the jobs keep the caller's job group.
+
+    Each call has threads of its own, so tasks may call it again. The first error is raised after the running tasks end.
+    """
+    if len(tasks) < 2 or parallelism < 2:
+        return [task() for task in tasks]
+    session = SparkSession.getActiveSession()
+    kept = inheritable_thread_target(session) if session else lambda task: task
+    with ThreadPoolExecutor(min(parallelism, len(tasks))) as pool:
+        return [f.result() for f in [pool.submit(kept(task)) for task in tasks]]
+
+
 def small_side(df: DataFrame, rows: int = 100_000, size: int = 64 << 20) -> DataFrame:
     """Hint a broadcast for a materialised table, only after measuring that it is small.
 

@@ -1,6 +1,6 @@
 """Every operator bound to the driver's tables, next to the SQL that must give the same rows."""
 
-from . import aggregates, features, models, studies, texts, tests_stats  # noqa: F401
+from . import aggregates, features, models, pipelines, studies, texts, tests_stats  # noqa: F401
 from .registry import REGISTRY
 
 
