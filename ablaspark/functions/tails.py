@@ -213,9 +213,10 @@ def t_upper_ppf(tail: float, df: str) -> str:
     first = f"{_num(z)} + {_num(c1)} / tq + {_num(c2)} / (tq * tq)"
     density = "exp(tb - 0.5D * ln(tq) - (tq + 1) / 2 * log1p(ts.t * ts.t / tq))"
     move = f"({_t_tail('ts.t', 'tq', 'tb')} / 2 - {_num(tail)}) / {density}"
-    after = let("mv", move, "named_struct('t', ts.t + mv, 'done', abs(mv) < 1e-13D * (1 + ts.t))")
+    after = let("mv", move, "named_struct('t', ts.t + mv, 'done', abs(mv) < 1e-12D * (1 + ts.t))")
     loop = (f"aggregate(sequence(1, 40), named_struct('t', {first}, 'done', false),"
-            f" (ts, i) -> case when ts.done then ts else {after} end, ts -> ts.t)")
+            f" (ts, i) -> case when ts.done then ts else {after} end,"
+            " ts -> case when ts.done then ts.t else cast(raise_error('the t quantile did not converge') as double) end)")
     solved = let("tb", neg_ln_beta_half("tq / 2"), loop)
     one = _num(1 / math.tan(math.pi * tail))
     two = _num((1 - 2 * tail) * math.sqrt(2 / (4 * tail * (1 - tail))))

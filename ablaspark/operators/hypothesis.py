@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.safe import q, ratio, real
-from ..functions.tails import f_sf, norm_upper_ppf, t_two_sided, t_upper_ppf
+from ..functions.tails import f_sf, norm_upper_ppf, t_two_sided
 from ..session import cut_lineage
+from .summaries import t_quantiles
 
 
 def guarded_ratio(num: str, den: str) -> str:
@@ -50,10 +51,9 @@ def pooled_d(mean_a: str, std_a: str, n_a: str, mean_b: str, std_b: str, n_b: st
 
 
 def with_d_interval(effects: DataFrame, d: str, n1: str, n2: str, alpha: float = 0.05) -> DataFrame:
-    """Add d_ci_lower/upper: d -+ t * sqrt((n1+n2)/(n1*n2) + d^2 / (2(n1+n2))), df = n1 + n2 - 2."""
-    half = (f"{t_upper_ppf(alpha / 2, f'({n1} + {n2} - 2)')}"
-            f" * sqrt(({n1} + {n2}) / cast({n1} * {n2} as double) + {d} * {d} / (2.0D * ({n1} + {n2})))")
-    return effects.withColumn("__half", F.expr(half)).selectExpr(
+    """Add d_ci_lower/upper: d -+ t * sqrt((n1+n2)/(n1*n2) + d^2 / (2(n1+n2))), df = n1 + n2 - 2 (looked up per distinct df)."""
+    half = f"__t * sqrt(({n1} + {n2}) / cast({n1} * {n2} as double) + {d} * {d} / (2.0D * ({n1} + {n2})))"
+    return t_quantiles(effects, f"{n1} + {n2} - 2", alpha / 2).withColumn("__half", F.expr(half)).selectExpr(
         *[q(c) for c in effects.columns], f"{d} - __half as d_ci_lower", f"{d} + __half as d_ci_upper")
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import concurrently
 from . import voting
-from .stages import FittedStage, LearnStage, fourier_features, slice_features
+from .stages import FittedStage, LearnStage, fourier_features, slice_features, stage_key
 
 MAX_DEPTH = 30  # Spark's cap; stands for "no limit"
 
@@ -40,7 +40,7 @@ def logistic(c: float = 1.0, max_iter: int = 1000, features: str = "features", l
         return LogisticRegression(featuresCol=features, labelCol=label, maxIter=max_iter, regParam=1.0 / (c * n),
                                   elasticNetParam=0.0, standardization=False, tol=1e-8).fit(df)
 
-    return LearnStage(learn, "LogisticRegression")
+    return LearnStage(learn, "LogisticRegression", (c, max_iter, features, label))
 
 
 def linear(features: str = "features", label: str = "label") -> LinearRegression:
@@ -54,7 +54,7 @@ def ridge(alpha: float = 1.0, features: str = "features", label: str = "label")
         return LinearRegression(featuresCol=features, labelCol=label, solver="normal", elasticNetParam=0.0,
                                 regParam=alpha * (sd or 1.0) / n, standardization=False).fit(df)
 
-    return LearnStage(learn, "Ridge")
+    return LearnStage(learn, "Ridge", (alpha, features, label))
 
 
 def forest(task: str = "classification", trees: int = 100, depth: int | None = 5, seed: int = 42,
@@ -140,9 +140,13 @@ def _search(estimator, points, scoring, fold, folds, label, parallelism, seed) -
 
 
 # Search grids of the churn study in Spark parameter names.
-FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4]}
+FOREST_GRID = {"numTrees": [100, 200, 300], "maxDepth": [10, 20, 30], "minInstancesPerNode": [1, 2, 4], "bootstrap": [True, False]}
 BOOSTING_GRID = {"maxIter": [100, 200, 300], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 5, 7]}
+STOCHASTIC_GRID = {"maxIter": [100, 200, 500], "stepSize": [0.01, 0.1, 0.2], "maxDepth": [3, 5, 7], "subsamplingRate": [0.7, 0.8, 0.9]}
+DEEP_GRID = {"maxIter": [200, 500], "stepSize": [0.01, 0.1], "maxDepth": [4, 6, 8]}
 LOGISTIC_C = [0.1, 1.0, 10.0]
+#: Grid and number of draws (None: every point) by family.
+GRIDS = {"forest": (FOREST_GRID, 50), "boosting": (BOOSTING_GRID, None), "stochastic": (STOCHASTIC_GRID, 20), "deep": (DEEP_GRID, None)}
 
 
 # --- model-based selection -----------------------------------------------------------------------
@@ -152,7 +156,7 @@ def importances(model) -> list[float]:
 
 
 def recursive_elimination(train: DataFrame, keep: int, features: str = "features", label: str = "label",
-                          trees: int = 20, depth: int = 5, seed: int = 42) -> list[int]:
+                          trees: int = 100, depth: int | None = None, seed: int = 42) -> list[int]:
     """Drop the least important feature per round until ``keep`` are left; indices into the vector.
 
     The loop only carries indices; every round is one distributed forest fit.
@@ -190,6 +194,10 @@ class Ensemble:
         raise NotImplementedError
 
 
+def _member_keys(members) -> tuple:
+    return tuple((n, stage_key(_stage(e))) for n, e in members)
+
+
 def _stage(estimator):
     return estimator.stage() if isinstance(estimator, Ensemble) else estimator
 
@@ -248,7 +256,7 @@ class Voting(Ensemble):
 
             return FittedStage(apply, models)
 
-        return LearnStage(learn, "Voting")
+        return LearnStage(learn, "Voting", (_member_keys(self.members), self.kind, tuple(self.weights or ()), tuple(self.classes or ()), self.label))
 
 
 def _row_key(df: DataFrame, ids: Sequence[str] | None):

@@ -34,11 +34,14 @@ class FittedStage(Model):
 
 
 class LearnStage(Estimator):
-    """An estimator from a function ``train -> FittedStage`` (or anything with ``transform``)."""
+    """An estimator from a function ``train -> FittedStage`` (or anything with ``transform``).
 
-    def __init__(self, learn: Callable[[DataFrame], object], label: str = "stage"):
+    ``key`` tells stages that do the same apart from others (see ``stage_key``); without one a stage is like no other.
+    """
+
+    def __init__(self, learn: Callable[[DataFrame], object], label: str = "stage", key: tuple | None = None):
         super().__init__()
-        self.learn, self.label = learn, label
+        self.learn, self.label, self.key = learn, label, key
 
     def _fit(self, dataset: DataFrame):
         fitted = self.learn(dataset)
@@ -48,20 +51,39 @@ class LearnStage(Estimator):
 class ApplyStage(Transformer):
     """A fixed transformation as a stage."""
 
-    def __init__(self, apply: Callable[[DataFrame], DataFrame], label: str = "stage"):
+    def __init__(self, apply: Callable[[DataFrame], DataFrame], label: str = "stage", key: tuple | None = None):
         super().__init__()
-        self.apply, self.label = apply, label
+        self.apply, self.label, self.key = apply, label, key
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
         return self.apply(dataset)
 
 
+def stage_key(stage) -> tuple:
+    """Equal for stages that do the same: class and parameters, or the key that a function's stage was given."""
+    if isinstance(stage, (LearnStage, ApplyStage)):
+        return (stage.label, stage.key) if stage.key is not None else ("object", id(stage))
+    if isinstance(stage, Pipeline):
+        return ("Pipeline", *map(stage_key, stage.getStages()))
+    if not hasattr(stage, "extractParamMap"):
+        return ("object", id(stage))
+    plain = (str, int, float, bool, type(None))
+    values = []
+    for p, v in stage.extractParamMap().items():
+        if isinstance(v, (list, tuple)) and all(isinstance(x, plain) for x in v):
+            v = tuple(v)
+        elif not isinstance(v, plain):
+            v = stage_key(v)
+        values.append((p.name, v))
+    return (type(stage).__name__, *sorted(values, key=lambda x: x[0]))
+
+
 def impute(columns: Sequence[str], strategy: str = "mean") -> LearnStage:
-    return LearnStage(lambda df: fit_imputer(df, columns, strategy), "imputer")
+    return LearnStage(lambda df: fit_imputer(df, columns, strategy), "imputer", (tuple(columns), strategy))
 
 
 def scale(columns: Sequence[str], kind: str = "standard") -> LearnStage:
-    return LearnStage(lambda df: fit_scaler(df, columns, kind), "scaler")
+    return LearnStage(lambda df: fit_scaler(df, columns, kind), "scaler", (tuple(columns), kind))
 
 
 def assemble(columns: Sequence[str], output: str = "features") -> VectorAssembler:
@@ -75,32 +97,41 @@ def _yeo_johnson(x: str, lam: str) -> str:
     return f"case when {x} >= 0 then {pos} else {neg} end"
 
 
-def fit_power(df: DataFrame, columns: Sequence[str], rounds: int = 7, points: int = 9,
-              span: tuple[float, float] = (-4.0, 6.0)) -> FittedColumns:
+def fit_power(df: DataFrame, columns: Sequence[str], tolerance: float = 1e-6, points: int = 9,
+              span: tuple[float, float] = (-4.0, 6.0), most_rounds: int = 60) -> FittedColumns:
     """Yeo-Johnson with the maximum-likelihood exponent per column, then mean 0 and sd 1.
 
-    Each round scores a grid of exponents for *all* columns in one aggregate and narrows
-    every bracket around its best point; a best point on the rim widens it instead.
+    Each round scores a grid of exponents for all open columns in one aggregate and narrows every bracket to the points beside its
+    best one; a best point on the rim moves the bracket on instead. A column is done when its bracket is narrower than
+    ``tolerance``; a search that does not get there is an error. A column without spread keeps the exponent 1.
     """
     base = df.select(*[F.expr(real(f"cast({q(c)} as double)")).alias(f"x{i}") for i, c in enumerate(columns)])
     slope = base.agg(*[F.expr(f"sum(sign(x{i}) * log1p(abs(x{i})))").alias(f"l{i}") for i in range(len(columns))],
                      *[F.expr(f"count(x{i})").alias(f"n{i}") for i in range(len(columns))]).first()
-    bounds = [span] * len(columns)
+    bounds = dict.fromkeys(range(len(columns)), span)
     best = [1.0] * len(columns)
-    for _ in range(rounds):
-        grids = [np.linspace(lo, hi, points) for lo, hi in bounds]
-        aggs = [F.expr(f"var_pop({_yeo_johnson(f'x{i}', f'{lam!r}D')})").alias(f"v{i}_{j}")
-                for i, grid in enumerate(grids) for j, lam in enumerate(map(float, grid))]
-        row = base.agg(*aggs).first()
-        for i, grid in enumerate(grids):
+    for _ in range(most_rounds):
+        if not bounds:
+            break
+        grids = {i: np.linspace(lo, hi, points) for i, (lo, hi) in bounds.items()}
+        row = base.agg(*[F.expr(f"var_pop({_yeo_johnson(f'x{i}', f'{lam!r}D')})").alias(f"v{i}_{j}")
+                         for i, grid in grids.items() for j, lam in enumerate(map(float, grid))]).first()
+        for i, grid in grids.items():
             n = slope[f"n{i}"]
             like = [-np.inf if not row[f"v{i}_{j}"] or not np.isfinite(row[f"v{i}_{j}"])
                     else -n / 2 * np.log(row[f"v{i}_{j}"]) + (lam - 1) * slope[f"l{i}"] for j, lam in enumerate(grid)]
             if not n or np.max(like) == -np.inf:
+                del bounds[i]
                 continue
             j, step = int(np.argmax(like)), grid[1] - grid[0]
             best[i] = float(grid[j])
-            bounds[i] = (grid[j] - step, grid[j] + step)
+            # on the rim the bracket keeps its width
+            half = step if 0 < j < points - 1 else (points - 1) * step / 2
+            bounds[i] = (grid[j] - half, grid[j] + half)
+            if 2 * half < tolerance:
+                del bounds[i]
+    if bounds:
+        raise ArithmeticError(f"no power exponent within {most_rounds} rounds for {[columns[i] for i in bounds]}")
     lambdas = dict(zip(columns, best))
     shaped = {c: _yeo_johnson(f"cast({q(c)} as double)", f"{lam!r}D") for c, lam in lambdas.items()}
     moments = df.agg(*[F.expr(f"avg({e})").alias(f"m{i}") for i, e in enumerate(shaped.values())],
@@ -113,7 +144,7 @@ def fit_power(df: DataFrame, columns: Sequence[str], rounds: int = 7, points: in
 
 
 def power(columns: Sequence[str]) -> LearnStage:
-    return LearnStage(lambda df: fit_power(df, columns), "power")
+    return LearnStage(lambda df: fit_power(df, columns), "power", tuple(columns))
 
 
 def one_hot(columns: Sequence[str], suffix: str = "_hot") -> Pipeline:
@@ -155,7 +186,7 @@ def variance_pca(inputs: str = "features", output: str = "pca", share: float = 0
 
         return FittedStage(apply, {"ratios": ratios.tolist(), "k": keep})
 
-    return LearnStage(learn, "pca")
+    return LearnStage(learn, "pca", (inputs, output, share))
 
 
 def select_f(k: int, inputs: str = "features", output: str = "selected", label: str = "label"):
@@ -199,4 +230,4 @@ def fourier_features(columns: int = 256, gamma: float | str = "scale", inputs: s
         return FittedStage(
             lambda d: d.withColumn(output, array_to_vector(project(vector_to_array(inputs)))), {"gamma": g})
 
-    return LearnStage(learn, "fourier")
+    return LearnStage(learn, "fourier", (columns, gamma, inputs, output, seed))

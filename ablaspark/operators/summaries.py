@@ -13,11 +13,29 @@ from ..session import cut_lineage, small_side
 from .ordering import exact_quantiles
 
 
+def t_quantiles(df: DataFrame, degrees: str, tail: float, name: str = "__t") -> DataFrame:
+    """Adds the t quantile of each row's degrees of freedom (null below 1), solved once for each distinct number.
+
+    ``df`` is written to the checkpoint folder, so what it aggregates runs once. Groups of k distinct sizes need k * k / 2 rows at
+    least, so the looked-up table stays far smaller than what was counted.
+    """
+    held = cut_lineage(df.withColumn("__nu", F.expr(f"cast({degrees} as bigint)")))
+    solved = held.where("__nu > 0").select("__nu").distinct().withColumn(name, F.expr(t_upper_ppf(tail, "__nu")))
+    return held.join(solved, "__nu", "left").drop("__nu")
+
+
 def with_interval(moments: DataFrame, n: str, confidence: float = 0.95) -> DataFrame:
-    """Add ci_lower and ci_upper to (mean, std, n) rows; NULL for n = 1 or zero spread."""
-    half = (f"case when {n} > 1 and std > 0 then {t_upper_ppf((1.0 - confidence) / 2, f'({n} - 1)')}"
-            f" * std / sqrt({n}) end")
-    return moments.withColumn("__half", F.expr(half)).selectExpr(
+    """Add ci_lower and ci_upper to (mean, std, n) rows; NULL for n = 1 or zero spread.
+
+    The quantile is looked up per distinct n; a stream, which can't be joined with itself, solves it in the row.
+    """
+    tail = (1.0 - confidence) / 2
+    if moments.isStreaming:
+        solved = moments.withColumn("__t", F.expr(f"case when {n} > 1 and std > 0 then {t_upper_ppf(tail, f'({n} - 1)')} end"))
+    else:
+        solved = t_quantiles(moments, f"{n} - 1", tail)
+    half = f"case when {n} > 1 and std > 0 then __t * std / sqrt({n}) end"
+    return solved.withColumn("__half", F.expr(half)).selectExpr(
         *[q(c) for c in moments.columns], "mean - __half as ci_lower", "mean + __half as ci_upper")
 
 

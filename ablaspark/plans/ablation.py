@@ -7,7 +7,7 @@ table, persisted once per seed and shared by every configuration; folds likewise
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException, IllegalArgumentException
@@ -19,6 +19,8 @@ from ..operators import metrics
 from ..operators.configs import TOGGLES, AblationConfig, standard_configs
 from ..operators.features import dummy_class, predict_constant
 from ..operators.splitting import kfold, split_holdout, split_stratified, stratified_kfold
+from ..operators.stages import stage_key
+from ..session import concurrently
 from .pipelines import Builder, build
 
 RUN_SCHEMA = "configuration string, cfg_ord int, run int, random_state int, metric string, value double"
@@ -68,20 +70,90 @@ def baseline_predictions(train: DataFrame, test: DataFrame, task: str, label: st
     return predict_constant(test, dummy_class(train, label)).withColumn("probability", even)
 
 
-#: What a broken configuration raises; anything else (lost executors, missing folders) ends the study.
-CONFIG_ERRORS = (ValueError, TypeError, LookupError, AttributeError, ArithmeticError, NotImplementedError, RuntimeError,
+#: What a broken configuration raises.
+CONFIG_ERRORS = (ValueError, TypeError, LookupError, AttributeError, ArithmeticError, NotImplementedError,
                  IllegalArgumentException, AnalysisException)
 
 
-def _fit_predict(builder, config, train, test, task, label) -> tuple[DataFrame, float]:
-    """Predictions, and the seconds of the fit alone."""
-    start = time.perf_counter()
-    if config is None:
-        predictions = baseline_predictions(train, test, task, label)
-        return predictions, time.perf_counter() - start
-    model = build(builder, config).fit(train)
-    seconds = time.perf_counter() - start
-    return model.transform(test), seconds
+def broken_configuration(error: Exception) -> bool:
+    """Whether the configuration is at fault; lost executors, missing folders or files end a study."""
+    where = (error.getCondition() or "") if isinstance(error, AnalysisException) else ""
+    return isinstance(error, CONFIG_ERRORS) and "PATH" not in where and "FILE" not in where
+
+
+def fit_together(plans: Mapping[str, Sequence], train: DataFrame, test: DataFrame, parallelism: int = 4
+                 ) -> dict[str, tuple[DataFrame | Exception, float]]:
+    """Fit many pipelines (name -> stages) on one train set: (predictions, or what broke it; seconds of its fits).
+
+    The pipelines form a prefix tree: stages that are equal so far (see ``stage_key``) are fitted once, and what comes below a
+    common stage runs concurrently. A train set that several branches continue from is kept while they do. Each
+    pipeline is charged the fits of its whole path, as if it had run alone.
+    """
+    done: dict[str, tuple[DataFrame | Exception, float]] = {}
+
+    def go_on(group: list[str], depth: int, train: DataFrame, test: DataFrame, seconds: float) -> None:
+        branches: dict[tuple, list[str]] = {}
+        for name in group:
+            if len(plans[name]) == depth:
+                done[name] = (test, seconds)
+            else:
+                branches.setdefault(stage_key(plans[name][depth]), []).append(name)
+        kept = train.persist(StorageLevel.MEMORY_AND_DISK) if len(branches) > 1 and depth else None
+        try:
+            concurrently([lambda b=b: branch(b, depth, train, test, seconds) for b in branches.values()], parallelism)
+        finally:
+            if kept is not None:
+                kept.unpersist()
+
+    def branch(group: list[str], depth: int, train: DataFrame, test: DataFrame, seconds: float) -> None:
+        try:
+            stage = plans[group[0]][depth]
+            start = time.perf_counter()
+            model = stage.fit(train) if hasattr(stage, "fit") else stage
+            seconds += time.perf_counter() - start
+            below = model.transform(train) if any(len(plans[n]) > depth + 1 for n in group) else train
+            after = model.transform(test)
+        except Exception as error:
+            if not broken_configuration(error):
+                raise
+            done.update({n: (error, seconds) for n in group})
+            return
+        go_on(group, depth + 1, below, after, seconds)
+
+    go_on(list(plans), 0, train, test, 0.0)
+    return done
+
+
+def _outcomes(builder, plan: Sequence[AblationConfig | None], train: DataFrame, test: DataFrame, task: str, label: str,
+              scores: Callable[[DataFrame], dict]) -> dict[str, tuple[dict | Exception, float]]:
+    """Scores (or the error) and fit seconds of the baseline (None) and of every configuration."""
+    stages_of, out = {}, {}
+    for config in plan:
+        name = config.name if config else "baseline"
+        try:
+            if config is not None:
+                stages_of[name] = build(builder, config).getStages()
+        except Exception as error:
+            if not broken_configuration(error):
+                raise
+            out[name] = (error, 0.0)
+    fitted = fit_together(stages_of, train, test)
+    if any(c is None for c in plan):
+        start = time.perf_counter()
+        fitted["baseline"] = (baseline_predictions(train, test, task, label), time.perf_counter() - start)
+
+    def judge(name: str, predictions: DataFrame | Exception, seconds: float) -> None:
+        if not isinstance(predictions, Exception):
+            try:
+                predictions = scores(predictions)
+            except Exception as error:
+                if not broken_configuration(error):
+                    raise
+                predictions = error
+        out[name] = (predictions, seconds)
+
+    concurrently([lambda n=n, p=p, s=s: judge(n, p, s) for n, (p, s) in fitted.items()])
+    return out
 
 
 def run_holdout(df: DataFrame, ids: Sequence[str], label: str, builder: str | Builder,
@@ -95,15 +167,14 @@ def run_holdout(df: DataFrame, ids: Sequence[str], label: str, builder: str | Bu
         split = (split_holdout(df, ids, test_size, seed + i) if task == "regression"
                  else split_stratified(df, ids, label, test_size, seed + i)).persist(StorageLevel.MEMORY_AND_DISK)
         train, test = (split.where(f"split = '{s}'").drop("split") for s in ("train", "test"))
+        found = _outcomes(builder, plan, train, test, task, label, lambda p: score(p, task, label))
         for order, config in enumerate(plan):
             name = config.name if config else "baseline"
-            try:
-                predictions, seconds = _fit_predict(builder, config, train, test, task, label)
-                values = score(predictions, task, label)
-            except CONFIG_ERRORS as error:  # a broken configuration must not end the study
-                print(f"skipped {name}, run {i + 1}: {type(error).__name__}")
+            values, seconds = found[name]
+            if isinstance(values, Exception):  # a broken configuration must not end the study
+                print(f"skipped {name}, run {i + 1}: {type(values).__name__}")
                 continue
-            values["train_time"] = seconds
+            values = values | {"train_time": seconds}
             rows += [(name, order, i + 1, seed + i, m, None if v is None else float(v)) for m, v in values.items()]
         split.unpersist()
     return spark.createDataFrame(rows, RUN_SCHEMA)
@@ -161,18 +232,21 @@ def run_cv(df: DataFrame, ids: Sequence[str], label: str, builder: str | Builder
     for r in range(repeats):
         folded = (kfold(df, ids, folds, seed + r) if task == "regression"
                   else stratified_kfold(df, ids, label, folds, seed + r)).persist(StorageLevel.MEMORY_AND_DISK)
+        by_fold = []
+        for f in range(folds):
+            train, test = folded.where(f"fold != {f}").drop("fold"), folded.where(f"fold = {f}").drop("fold")
+            start = time.perf_counter()
+            found = _outcomes(builder, plan, train, test, task, label, lambda p: scored(p, task, label, scoring))
+            by_fold.append((found, (time.perf_counter() - start) / len(plan)))
         for config in plan:
             name = config.name if config else "baseline"
             status, message, done = "success", None, []
-            for f in range(folds):
-                start = time.perf_counter()
-                train, test = folded.where(f"fold != {f}").drop("fold"), folded.where(f"fold = {f}").drop("fold")
-                try:
-                    values = scored(_fit_predict(builder, config, train, test, task, label)[0], task, label, scoring)
-                except CONFIG_ERRORS as error:
-                    status, message = "failed", f"{type(error).__name__}: {error}"
+            for f, (found, share) in enumerate(by_fold):
+                values, seconds = found[name]
+                if isinstance(values, Exception):
+                    status, message = "failed", f"{type(values).__name__}: {values}"
                     break
-                done.append((name, r, f, time.perf_counter() - start, values))
+                done.append((name, r, f, max(seconds, share), values))
             switches = [getattr(config, t) if config else False for t in TOGGLES]
             note = config.description if config else "Dummy Baseline (most_frequent/mean)"
             states.append((name, r, seed + r, status, message, folds, *switches, note))

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import learners, metrics, stages, voting
 from ..operators.features import fit_scaler, select_k_best
+from .ablation import broken_configuration
 
 
 def f1_of_one(predictions: DataFrame, label: str = "label") -> float:
@@ -50,6 +51,8 @@ def refine_component(train: DataFrame, test: DataFrame, columns: Sequence[str],
         try:
             value = run()
         except Exception as error:
+            if not broken_configuration(error):
+                raise
             print(f"skipped {component} {name}: {type(error).__name__}")
             continue
         rows.append((component, name, value))
@@ -64,8 +67,7 @@ def candidate_models(train: DataFrame, test: DataFrame, label: str = "label", fo
                      folds: int = 3, searches: dict | None = None):
     """Fit and tune the candidate families; returns ([(name, model)], rows (name, score, seconds)).
 
-    ``searches`` maps a name to an estimator or a search. By default: a sampled forest
-    search, a boosting grid and the logistic C grid. Candidates are scored by F1 of class 1.
+    ``searches`` maps a name to an estimator or a search; by default the five families of ``default_searches``. Candidates are scored by F1 of class 1.
     """
     plan = searches or default_searches(train, label, fold, folds)
     fitted, rows = [], []
@@ -79,16 +81,28 @@ def candidate_models(train: DataFrame, test: DataFrame, label: str = "label", fo
     return fitted, table
 
 
-def default_searches(train: DataFrame, label: str, fold: str | None, folds: int, samples: int = 50) -> dict:
+def default_searches(train: DataFrame, label: str, fold: str | None, folds: int, grids: Mapping | None = None) -> dict:
+    """The five candidate families by name: a sampled forest search, a boosting grid, the logistic C grid, a sampled search of boosting
+    on row samples, and a grid of deeper boosting.
+
+    ``grids`` replaces the grids of learners.GRIDS by family: (grid, number of draws or None for all points).
+    """
     n = train.count() * (folds - 1) / folds
     regs = {"regParam": [1.0 / (c * n) for c in learners.LOGISTIC_C]}
     base = learners.LogisticRegression(labelCol=label, maxIter=1000, elasticNetParam=0.0, standardization=False)
+
+    def search(family: str, estimator):
+        grid, draws = (grids or learners.GRIDS)[family]
+        if draws is None:
+            return learners.grid_search(estimator, grid, "f1", fold, folds, label)
+        return learners.random_search(estimator, grid, draws, "f1", fold, folds, label)
+
     return {
-        "Tuned Random Forest": learners.random_search(
-            learners.forest(label=label), learners.FOREST_GRID, samples, "f1", fold, folds, label),
-        "Tuned Gradient Boosting": learners.grid_search(
-            learners.boosting(label=label), learners.BOOSTING_GRID, "f1", fold, folds, label),
+        "Tuned Random Forest": search("forest", learners.forest(label=label)),
+        "Tuned Gradient Boosting": search("boosting", learners.boosting(label=label)),
         "Tuned Logistic Regression": learners.grid_search(base, regs, "f1", fold, folds, label),
+        "Tuned Stochastic Boosting": search("stochastic", learners.boosting(label=label)),
+        "Tuned Deep Boosting": search("deep", learners.boosting(label=label)),
     }
 
 
@@ -125,7 +139,7 @@ def ensemble_scores(fitted, scores: DataFrame, test: DataFrame, classes: Sequenc
 
 
 def feature_ablation(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str = "label", top: int = 5,
-                     trees: int = 100, depth: int | None = 5, seed: int = 42) -> DataFrame:
+                     trees: int = 100, depth: int | None = None, seed: int = 42) -> DataFrame:
     """(removed, importance, score, drop): refit without each of the most important features."""
     def fit_score(cols):
         parts = stages.assemble(cols)

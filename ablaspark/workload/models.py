@@ -128,7 +128,26 @@ def _power(t):
     return rows.join(long, "column")
 
 
-query("power_transform", "column lambda:f4 mean:f std:f skew:f4")(_power)
+def _power_sql(rounds: int = 13) -> str:
+    """The likelihood on nested grids, one column beside the other."""
+    y = ("(CASE WHEN x >= 0 THEN CASE WHEN abs(lam) < 1e-12 THEN ln(1 + x) ELSE (power(x + 1, lam) - 1) / lam END"
+         " ELSE CASE WHEN abs(lam - 2) < 1e-12 THEN -ln(1 - x) ELSE -(power(1 - x, 2 - lam) - 1) / (2 - lam) END END)")
+    steps = ["d AS MATERIALIZED (SELECT 'l_extendedprice' AS col, CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem"
+             " UNION ALL SELECT 'l_quantity', CAST(l_quantity AS DOUBLE) FROM lineitem)",
+             "s AS MATERIALIZED (SELECT col, count(x) AS n, sum(sign(x) * ln(1 + abs(x))) AS l FROM d GROUP BY col)",
+             "b0 AS MATERIALIZED (SELECT col, -4.0e0 AS lo, 6.0e0 AS hi FROM s)"]
+    for k in range(rounds):
+        steps += [f"g{k} AS MATERIALIZED (SELECT col, lo + j * (hi - lo) / 8 AS lam, (hi - lo) / 8 AS step FROM b{k}, range(9) r(j))",
+                  f"b{k + 1} AS MATERIALIZED (SELECT col, arg_max(lam, ll) - any_value(step) AS lo, arg_max(lam, ll) + any_value(step) AS hi FROM"
+                  f" (SELECT col, lam, step, -any_value(n) / 2 * ln(var_pop({y})) + (lam - 1) * any_value(l) AS ll FROM g{k} JOIN d USING (col)"
+                  " JOIN s USING (col) GROUP BY col, lam, step) GROUP BY col)"]
+    return f"""WITH {', '.join(steps)}, f AS (SELECT col, (lo + hi) / 2 AS lam FROM b{rounds}), t AS (SELECT col, lam, {y} AS y FROM d JOIN f USING (col)),
+m AS (SELECT col, avg(y) AS m, stddev_pop(y) AS s FROM t GROUP BY col)
+SELECT col AS "column", any_value(lam) AS lambda, avg((y - m) / s) AS mean, stddev_pop((y - m) / s) AS std,
+  avg(power((y - m) / s, 3)) AS skew FROM t JOIN m USING (col) GROUP BY col"""
+
+
+query("power_transform", "column lambda:f4 mean:f std:f skew:f4", _power_sql())(_power)
 
 query("one_hot", "c_custkey:i hot:a", """
 WITH s AS (SELECT DISTINCT c_mktsegment AS v FROM customer WHERE c_custkey % 2 = 0)
@@ -160,6 +179,6 @@ def _names(t, indices):
     return t.spark.createDataFrame([(i, DOC_FEATURES[i]) for i in indices], "pos int, column string")
 
 
-query("rfe", "pos:i column")(lambda t: _names(t, learners.recursive_elimination(doc_split(t)[0], 3, trees=10)))
+query("rfe", "pos:i column")(lambda t: _names(t, learners.recursive_elimination(doc_split(t)[0], 3)))
 query("select_from_model", "pos:i column")(
     lambda t: _names(t, learners.select_from_model(doc_split(t)[0], trees=10)))

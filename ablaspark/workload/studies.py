@@ -29,23 +29,19 @@ def doc_builder(config):
         Step("preprocessor", inner=[("imputer", stages.impute(cols)), ("scaler", stages.scale(cols, "standard"))]),
         Step("assembler", stages.assemble(cols, "raw")),
         Step("feature_engineering", stages.variance_pca("raw", "features"),
-             without=stages.ApplyStage(lambda d: d.withColumn("features", F.col("raw")), "keep")),
+             without=stages.ApplyStage(lambda d: d.withColumn("features", F.col("raw")), "keep", ("raw",))),
         Step("model", learners.Voting([("rf", learners.forest(trees=10, depth=4)), ("lr", learners.logistic(1.0, 50))],
                                       kind="soft")),
     ]
 
 
-def _three(names=("full", "no_scaling", "minimal")):
-    return [c for c in standard_configs() if c.name in names]
-
-
 query("run_ablation_holdout", "configuration cfg_ord:i run:i random_state:i metric value:f")(
-    lambda t: ablation.run_holdout(labelled_docs(t).drop("lang", "source"), ["doc_id"], "label", doc_builder, _three(), n_runs=2)
+    lambda t: ablation.run_holdout(labelled_docs(t).drop("lang", "source"), ["doc_id"], "label", doc_builder)
     .where("metric != 'train_time'"))
 
 query("run_ablation_cv",
       "config_name repeat:i random_seed:i status n_folds:i mean_accuracy:f std_accuracy:f mean_f1_macro:f std_f1_macro:f use_scaling")(
-    lambda t: ablation.run_cv(labelled_docs(t).drop("lang", "source"), ["doc_id"], "label", doc_builder, _three(("minimal",)), folds=3))
+    lambda t: ablation.run_cv(labelled_docs(t).drop("lang", "source"), ["doc_id"], "label", doc_builder))
 
 _SINGLE = ["l_quantity", "l_discount", "l_tax"]
 
@@ -68,7 +64,7 @@ SELECT *, sqrt(mse) AS rmse FROM r""")(
         {**{c: [c] for c in _SINGLE}, "none": []}))
 
 query("feature_ablation", "removed importance:f score:f drop:f")(
-    lambda t: refinement.feature_ablation(*doc_parts(t), DOC_FEATURES, trees=10, top=3))
+    lambda t: refinement.feature_ablation(*doc_parts(t), DOC_FEATURES))
 
 
 def doc_parts(t):
@@ -76,18 +72,14 @@ def doc_parts(t):
 
 
 query("refine_component", "component alternative score:f best")(
-    lambda t: refinement.refine_component(*doc_parts(t), DOC_FEATURES, rfe_keep=4))
+    lambda t: refinement.refine_component(*doc_parts(t), DOC_FEATURES))
 
 
 def _searches(train):
-    n = train.count() * 2 / 3
-    return {
-        "forest": learners.random_search(learners.forest(trees=10), {"maxDepth": [2, 4]}, 2, "f1", folds=2),
-        "boosting": learners.boosting(trees=5),
-        "logistic": learners.grid_search(
-            learners.LogisticRegression(maxIter=50, standardization=False),
-            {"regParam": [1.0 / (c * n) for c in learners.LOGISTIC_C]}, "f1", folds=2),
-    }
+    """The five families on small grids; the operator's own grids are those of ``default_searches``."""
+    small = {"forest": ({"numTrees": [5, 10], "maxDepth": [2, 4]}, 3), "boosting": ({"maxIter": [5], "maxDepth": [2, 3]}, None),
+             "stochastic": ({"maxIter": [5], "subsamplingRate": [0.7, 0.9]}, 2), "deep": ({"maxIter": [5], "maxDepth": [4]}, None)}
+    return refinement.default_searches(train, "label", None, 3, small)
 
 
 def _candidates(t):
@@ -112,7 +104,7 @@ def _sanity(t):
     def broken(config):
         raise ValueError("no such builder")
 
-    return ablation.sanity_matrix(t.spark, {"docs": doc_builder, "broken": broken}, train, test, _three(("full", "minimal")))
+    return ablation.sanity_matrix(t.spark, {"docs": doc_builder, "broken": broken}, train, test)
 
 
 query("sanity_matrix", "builder configuration status")(_sanity)
@@ -221,22 +213,23 @@ def _stream(t, table):
     return t.spark.readStream.schema(batch.schema).parquet(f"{t.folder}/{table}*.parquet")
 
 
-def _drain(t, frame, name):
+def _drain(t, frame, keys, name):
     out, check = scratch_path(t.spark, name), scratch_path(t.spark, f"{name}-checkpoint")
-    stream_runs.keep_table(frame, out, check).awaitTermination()
-    return t.spark.read.parquet(out)
+    stream_runs.keep_versions(frame, keys, out, check).awaitTermination()
+    return stream_runs.read_version(t.spark, out)
 
 
 query("stream_runs_summary", "l_returnflag l_linestatus mean:f std:f min:f max:f ci_lower:f ci_upper:f n_runs:i", """
 WITH RECURSIVE m AS (SELECT l_returnflag, l_linestatus, avg(l_quantity) AS mean, stddev_samp(l_quantity) AS std, min(l_quantity) AS min,
   max(l_quantity) AS max, count(*) AS n_runs FROM lineitem GROUP BY 1, 2), """ + S.t_quantiles("SELECT n_runs - 1 AS nu FROM m")
       + " SELECT *, mean - q * std / sqrt(n_runs) AS ci_lower, mean + q * std / sqrt(n_runs) AS ci_upper FROM m JOIN tq ON nu = n_runs - 1")(
-    lambda t: _drain(t, stream_runs.stream_runs_summary(_stream(t, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"]), "summary"))
+    lambda t: _drain(t, stream_runs.stream_runs_summary(_stream(t, "lineitem"), "l_quantity", ["l_returnflag", "l_linestatus"]),
+                     ["l_returnflag", "l_linestatus"], "summary"))
 
 query("stream_largest_file", "dataset path size:i", """
 SELECT source AS dataset, arg_max(CAST(doc_id AS VARCHAR), (n_chars, CAST(doc_id AS VARCHAR))) AS path, max(n_chars) AS size FROM documents GROUP BY 1""")(
     lambda t: _drain(t, stream_files.stream_largest_file(
-        _stream(t, "documents").selectExpr("source as dataset", "cast(doc_id as string) as path", "n_chars as size")), "largest"))
+        _stream(t, "documents").selectExpr("source as dataset", "cast(doc_id as string) as path", "n_chars as size")), ["dataset"], "largest"))
 
 
 def _progress(t):

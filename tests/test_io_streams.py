@@ -94,8 +94,8 @@ def test_stream_summary_equals_batch(spark, tmp_path, folder):
     events.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     frame = runs.stream_runs_summary(stream, "value", ["event_type"])
-    runs.keep_table(frame, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    got = {r["event_type"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    runs.keep_versions(frame, ["event_type"], str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    got = {r["event_type"]: r for r in runs.read_version(spark, str(tmp_path / "out")).collect()}
     want = {r["event_type"]: r for r in summarize_statistics(events, "value", ["event_type"]).collect()}
     assert set(got) == set(want)
     for k, r in want.items():
@@ -109,8 +109,8 @@ def test_watching_files(spark, tmp_path):
         (root / name).write_text(text)
     found = files.with_dataset(files.file_stream(spark, str(root)), ["iris", "wine"])
     frame = files.stream_largest_file(found)
-    runs.keep_table(frame, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
-    rows = {r["dataset"]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    runs.keep_versions(frame, ["dataset"], str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    rows = {r["dataset"]: r for r in runs.read_version(spark, str(tmp_path / "out")).collect()}
     assert set(rows) == {"iris", "wine"} and rows["iris"]["path"].endswith("deep/b.py") and rows["iris"]["size"] == 30
 
 
@@ -177,3 +177,24 @@ def test_state_log_last_write_wins(spark, tmp_path):
     log = spark.read.parquet(str(tmp_path / "log"))
     assert log.count() == 4
     assert {r["dataset"]: r["state"] for r in files.last_states(log).collect()} == {"d": "copy_done", "e": "error"}
+
+
+def test_repeated_and_killed_batches_leave_the_same_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    store = runs.version_writer(path, ["k"], keep=2)
+    batch = lambda *rows: spark.createDataFrame(rows, "k string, v int")
+    table = lambda v=None: sorted(map(tuple, runs.read_version(spark, path, v).collect()), key=str)
+    with pytest.raises(FileNotFoundError):
+        runs.read_version(spark, path)
+    store(batch(("a", 1), (None, 2)), 0)
+    store(batch((None, 3), ("b", 4)), 1)
+    want = [("a", 1), ("b", 4), (None, 3)]
+    assert table() == want and table(0) == [("a", 1), (None, 2)]
+    # batch 2 was killed before its commit: readers don't see it, and the repeated batch replaces it
+    batch(("half", 9)).write.parquet(f"{path}/v2")
+    assert table() == want
+    store(batch(("a", 7)), 2)
+    store(batch(("a", 8)), 2)  # repeated after the commit
+    assert table() == [("a", 7), ("b", 4), (None, 3)] and runs.versions(spark, path) == [1, 2]
+    store(batch(), 3)
+    assert table() == [("a", 7), ("b", 4), (None, 3)] and not (tmp_path / "t" / "v1").exists()
