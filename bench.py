@@ -22,7 +22,7 @@ HEADLINE = [
     "classification_report", "roc_auc", "roc_auc_continuous", "roc_auc_ovr", "regression_metrics", "vote_hard",
     "vote_soft_weighted", "extract_metrics", "extract_metrics_documents", "text_quality", "secret_scan", "token_count",
     "canonical_steps", "inspect_steps", "simulate_ablation", "linear_regression", "pca_variance", "ablate_linear_grid",
-    "stream_runs_summary",
+    "stream_runs_summary", "ablate_pipeline", "config_custom", "feature_ablation", "run_ablation_cv",
 ]
 
 
