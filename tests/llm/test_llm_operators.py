@@ -49,6 +49,28 @@ def test_repeated_words(tables, name):
     assert Counter(map(tuple, got)) == Counter(brute.removed_words(rows))
 
 
+@pytest.mark.parametrize("bits", [12, 20])
+def test_spans_unlike_their_source_are_found(spark, tables, bits):
+    """Windows that share a short hash are told apart at their sources."""
+    docs = tables["documents"].limit(120)
+    want = Counter(brute.removed_words(pairs(docs.collect())))
+    got = debruijn.repeated_words(docs, edge_bits=bits)[0].drop("longest_source").collect()
+    assert Counter(map(tuple, got)) == want
+
+
+def test_branching_nodes_end_paths(spark):
+    """A passage in four contexts, three sharing one word more on the right: the path ends where they part."""
+    passage = [f"p{i}" for i in range(40)]
+    texts = [[f"a{k}_{i}" for i in range(30)] + passage + (["same", "way", "on"] if k < 2 else ["other", "way"])
+             + [f"z{k}_{i}" for i in range(30)] for k in range(4)]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id bigint, text string")
+    documents, paths = debruijn.repeated_words(docs)
+    rows = {r["doc_id"]: r for r in documents.collect()}
+    assert [rows[k]["n_removed"] for k in range(4)] == [0, 43, 40, 42]
+    assert sorted((r["doc_id"], r["edges"]) for r in paths.collect()) == [(0, 3), (0, 21), (2, 2)]
+    assert rows[0]["longest_source"] == 40 and rows[2]["longest_source"] == 21
+
+
 @pytest.mark.parametrize("name", ["documents", "odd"])
 def test_secret_spans(spark, tables, name):
     rows = pairs(tables[name].collect())
