@@ -9,12 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import q, ratio, real
 from ..functions.tails import f_sf, norm_upper_ppf, t_two_sided
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 from .summaries import t_quantiles
 
 
@@ -200,10 +200,14 @@ def pairwise_comparison(runs: DataFrame, by: Sequence[str], config: str = "confi
         return out
     if correction != "bonferroni":
         raise ValueError("correction must be bonferroni or none")
-    # One row per pair of configurations: the window group is one experiment's pair list.
-    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    sized = out.withColumn("corrected_alpha", F.lit(alpha) / F.count(F.lit(1)).over(over))
-    return sized.withColumn("bonferroni_significant", F.expr(significant("p_value", "corrected_alpha")))
+    # Written, since it is read for the counts and for the rows; counts combine map-side, so no experiment is one task.
+    out = cut_lineage(out)
+    if by:
+        sized = out.join(small_side(out.groupBy(*by).agg(F.expr("count(1)").alias("__tests"))), list(by))
+    else:
+        sized = out.withColumn("__tests", F.lit(out.count()).cast("bigint"))
+    return sized.withColumn("corrected_alpha", F.expr(f"{alpha!r}D / __tests")).drop("__tests").withColumn(
+        "bonferroni_significant", F.expr(significant("p_value", "corrected_alpha")))
 
 
 def pairwise_matrix(pairs: DataFrame, metric: str, names: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

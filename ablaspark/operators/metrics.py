@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.safe import q, ratio, ratio0, real
-from ..session import cut_lineage
-from .ordering import prefix_sums
+from ..session import cut_lineage, small_side
+from .ordering import null_safe_join, ordered_rank, prefix_sums
 
 
 def confusion_counts(df: DataFrame, label: str, prediction: str, by: Sequence[str] = ()) -> DataFrame:
@@ -171,14 +171,12 @@ def rank_metrics(metrics: DataFrame, metric: str, by: Sequence[str] = ()) -> Dat
     """Position of each configuration by metric, with best-minus-worst (absolute and %).
 
     A missing metric sorts as 0 and stays missing. ``metrics`` holds one row per
-    configuration, so a window group is one experiment's configuration list.
+    configuration; the ranks come from range partitions, so no experiment is one task.
     """
-    key = f"coalesce({real(q(metric))}, 0.0D)"
-    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    ranked = metrics.withColumns({
-        "rank": F.row_number().over(over.orderBy(F.expr(key).desc(), "configuration")),
-        "__hi": F.max(F.expr(key)).over(over), "__lo": F.min(F.expr(key)).over(over),
-    })
+    rows = metrics.withColumn("__key", F.expr(f"coalesce({real(q(metric))}, 0.0D)"))
+    ranked = cut_lineage(ordered_rank(rows, ["-__key", "configuration"], "rank", by))
+    spread = ranked.groupBy(*by).agg(F.max("__key").alias("__hi"), F.min("__key").alias("__lo"))
+    ranked = null_safe_join(ranked, small_side(spread), by) if by else ranked.join(F.broadcast(spread))
     return ranked.selectExpr(
         *[q(b) for b in by], "configuration", f"{real(q(metric))} as {q(metric)}", "rank",
         "__hi - __lo as best_vs_worst",

@@ -18,7 +18,7 @@ from ..functions.safe import q
 from ..session import cut_lineage, small_side
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where NULL equals NULL; the right copies of the keys go away."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
     cond = None
@@ -89,7 +89,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
         .selectExpr(*[q(b) for b in by], f"array({', '.join(targets)}) as __targets")
     )
     binned = (
-        _null_safe_join(base, small_side(brackets), by)
+        null_safe_join(base, small_side(brackets), by)
         .selectExpr(*[q(b) for b in by], "__v", "inline(__targets)")
         .where("__v <= hi")
         .selectExpr(
@@ -113,7 +113,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     inside = Window.partitionBy(*key, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     marks = ["__before", "__r0", "__r1", "__frac"]
     ranked = (
-        _null_safe_join(binned, wanted, [*key, "__bin"])
+        null_safe_join(binned, wanted, [*key, "__bin"])
         .groupBy(*key, "__bin", *marks, "__v").agg(F.expr("count(1)").alias("__c"))
         .withColumn("__to", F.col("__before") + F.sum("__c").over(inside))
     )

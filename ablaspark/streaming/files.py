@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 import pandas as pd
@@ -9,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.types import TimestampType
 
+from ..functions.safe import q
 from ..session import cut_lineage
 
 
@@ -47,7 +50,7 @@ def stream_new_files(events: DataFrame, seen_at: str = "seen_at", cooldown: floa
     version again ``cooldown`` seconds after it was last processed.
 
     The state holds one version per path for good, so no sighting is ever too late; the sightings of a path
-    within a micro-batch are taken in order of time.
+    within a micro-batch are taken in order of time. ``stream_ordered_files`` answers in order of time throughout.
     """
     seen = events.select("path", "mtime", "hash", seen_at)
 
@@ -62,6 +65,58 @@ def stream_new_files(events: DataFrame, seen_at: str = "seen_at", cooldown: floa
         step, seen.schema, "mtime string, hash string, at bigint", "append", GroupStateTimeout.NoTimeout)
 
 
+def _milliseconds(micros: int) -> int:
+    return micros // 1000
+
+
+def stream_ordered_files(events: DataFrame, lateness: str, seen_at: str = "seen_at", cooldown: float = 60.0) -> DataFrame:
+    """``stream_new_files`` in event time: sightings may come ``lateness`` (an interval) late, in any micro-batch.
+
+    A path's sightings wait in its state until the watermark has passed them and are then judged in order of time
+    (then mtime and hash), so the answer does not depend on how they were dealt to micro-batches. Sightings behind the
+    watermark are dropped; those at or after the last watermark are still waiting when a stream stops.
+    The state of a path goes ``cooldown`` seconds after it was last processed, since from then on every sighting is due.
+    A sighting without time is dropped, one without path belongs to the path NULL.
+    """
+    timed = isinstance(events.schema["mtime"].dataType, TimestampType)
+    kind = events.schema["mtime"].dataType.simpleString()
+    seen = events.where(F.col(q(seen_at)).isNotNull()).withWatermark(seen_at, lateness).selectExpr(
+        "path", "cast(unix_micros(mtime) as string) as mtime" if timed else "cast(mtime as string) as mtime", "hash",
+        f"unix_micros({q(seen_at)}) as at", q(seen_at))
+    pause = int(cooldown * 1_000_000)
+
+    def step(key, batches, state):
+        *last, waiting = state.get if state.exists else (None, None, None, "[]")
+        rows = json.loads(waiting)
+        if not state.hasTimedOut:
+            for batch in batches:
+                versions = batch[["mtime", "hash"]].astype(object)
+                rows += zip(batch["at"].tolist(), *versions.where(versions.notna(), None).to_dict("list").values())
+        rows = sorted(map(list, rows), key=lambda r: (r[0], *((v is not None, v or "") for v in r[1:])))
+        now = state.getCurrentWatermarkMs()
+        ready = [r for r in rows if _milliseconds(r[0]) < now]
+        due = []
+        for at, mtime, digest in ready:
+            if last[2] is None or last[:2] != [mtime, digest] or at - last[2] >= pause:
+                due.append((key[0], mtime, digest, at))
+                last = [mtime, digest, at]
+        rows = rows[len(ready):]
+        wake = _milliseconds(rows[0][0] if rows else last[2] + pause + 999)
+        if rows or wake > now:
+            state.update((*last, json.dumps(rows)))
+            state.setTimeoutTimestamp(max(wake, now + 1))
+        else:
+            state.remove()
+        yield pd.DataFrame(due, columns=["path", "mtime", "hash", "at"])
+
+    judged = seen.groupBy("path").applyInPandasWithState(
+        step, "path string, mtime string, hash string, at bigint", "mtime string, hash string, at bigint, waiting string",
+        "append", GroupStateTimeout.EventTimeTimeout)
+    return judged.selectExpr(
+        "path", "timestamp_micros(cast(mtime as bigint)) as mtime" if timed else f"cast(mtime as {kind}) as mtime", "hash",
+        f"timestamp_micros(at) as {q(seen_at)}")
+
+
 def poll_files(spark: SparkSession, root: str, log: str, at: str, pattern: str = "*.py", cooldown: float = 60.0) -> DataFrame:
     """One look at a folder: files that are new, changed or due again, appended to the log table and returned.
 

@@ -264,3 +264,38 @@ steps AS (
           FROM steps p JOIN seen s ON s.user_id = p.user_id AND s.n = p.n + 1) AS x)
 SELECT CAST(user_id AS VARCHAR) AS path, event_type AS hash, epoch_us(CAST(ts AS TIMESTAMP)) AS seen_us FROM steps WHERE processed
 """)(_new_files)
+
+
+#: Events are dealt to blocks of BLOCK seconds, each up to SHIFT seconds early or in place, and blocks stream one file at a time.
+BLOCK, SHIFT, LATENESS = 4 * 86400, 6 * 3600, 5 * 86400
+
+
+def _ordered_files(t):
+    folder, out, check = (scratch_path(t.spark, n) for n in ("sightings", "ordered", "ordered-checkpoint"))
+    seen = t.events.selectExpr(
+        "cast(user_id as string) as path", "cast(0 as bigint) as mtime", "event_type as hash", "cast(ts as timestamp) as seen_at")
+    dealt = seen.withColumn("block", F.expr(f"(unix_seconds(seen_at) + pmod(xxhash64(path, seen_at), {SHIFT})) div {BLOCK}"))
+    first, last = dealt.agg(F.min("block"), F.max("block")).first()
+    for block in range(first, last + 1) if first is not None else ():
+        dealt.where(F.col("block") == block).drop("block").write.mode("append").parquet(folder)
+    if first is None:
+        seen.limit(0).write.parquet(folder)
+    stream = t.spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    fresh = stream_files.stream_ordered_files(stream, f"{LATENESS} seconds", cooldown=6 * 3600.0)
+    fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(
+        availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(fresh.schema).parquet(out).selectExpr("path", "hash", "cast(unix_micros(seen_at) as bigint) as seen_us")
+
+
+query("stream_ordered_files", "path hash seen_us", f"""
+WITH RECURSIVE seen AS (
+    SELECT user_id, event_type, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_type) AS n FROM events
+    WHERE epoch_ms(CAST(ts AS TIMESTAMP)) < (SELECT epoch_ms(CAST(max(ts) AS TIMESTAMP)) FROM events) - {LATENESS} * 1000),
+steps AS (
+    SELECT user_id, event_type, ts, n, true AS processed, event_type AS last_type, ts AS last_ts FROM seen WHERE n = 1
+    UNION ALL
+    SELECT user_id, event_type, ts, n, due, CASE WHEN due THEN event_type ELSE last_type END, CASE WHEN due THEN ts ELSE last_ts END
+    FROM (SELECT s.*, p.last_type, p.last_ts, s.event_type != p.last_type OR s.ts >= p.last_ts + INTERVAL 6 HOUR AS due
+          FROM steps p JOIN seen s ON s.user_id = p.user_id AND s.n = p.n + 1) AS x)
+SELECT CAST(user_id AS VARCHAR) AS path, event_type AS hash, epoch_us(CAST(ts AS TIMESTAMP)) AS seen_us FROM steps WHERE processed
+""")(_ordered_files)

@@ -1,6 +1,7 @@
 """Sources, sinks, generators and streams."""
 
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,28 @@ def test_one_file_at_a_time_gives_the_same_answer(spark, tmp_path):
     assert got == [[0, 75], [0, 75]]
 
 
+@pytest.mark.parametrize("dealt", [[[0, 1, 2], [3, 4, 5, 6, 7, 8]], [[2, 0, 4], [1, 3], [6, 5], [8, 7]], [[4], [3], [2], [1], [0], [5], [7], [6], [8]]])
+def test_order_of_batches_does_not_matter_in_event_time(spark, tmp_path, dealt):
+    """Sightings every 25 s of a, every 50 s a changed version of b, one of no path; the last one only moves the watermark."""
+    schema = "path string, mtime timestamp, hash string, seen_at timestamp"
+    for n, moments in enumerate(dealt):
+        rows = []
+        for m in moments:
+            when = f"timestamp_seconds({5000 + m * 25 + (1000 if m == 8 else 0)})"
+            rows += [f"select 'a' as path, timestamp_seconds(1) as mtime, 'h' as hash, {when} as seen_at",
+                     f"select 'b', timestamp_seconds(1), 'h{m // 2}', {when}", f"select null, null, null, {when}"]
+        spark.sql(" union all ".join(rows)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.05)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    files.stream_ordered_files(stream, "200 seconds").writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.schema(schema).parquet(str(tmp_path / "out"))
+    assert got.where("path is not null and mtime != timestamp_seconds(1)").isEmpty()
+    found = {p: sorted(r[0] for r in got.where(f"path <=> {p}").selectExpr("unix_seconds(seen_at) - 5000").collect())
+             for p in ("'a'", "'b'", "null")}
+    assert found == {"'a'": [0, 75, 150], "'b'": [0, 50, 100, 150], "null": [0, 75, 150]}
+
+
 def test_polling_finds_rewritten_files(spark, tmp_path):
     root, log = tmp_path / "w", str(tmp_path / "log")
     root.mkdir()
