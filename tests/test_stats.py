@@ -7,7 +7,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from ablaspark.operators import comparing, hypothesis, summaries
+from ablaspark.operators import comparing, hypothesis, metrics, summaries
 from ablaspark.plans.reporting import statistical_report
 from ablaspark.session import cut_lineage
 
@@ -150,3 +150,18 @@ def test_best_vs_full_needs_the_pair(spark):
     assert row["best_config"] == "minimal" and row["cohens_d"] == pytest.approx(-pair["cohen_d"])
     with pytest.raises(Exception, match="no pairwise row"):
         comparing.best_vs_full(summary, pairs.where("config_b != 'minimal'"), ["experiment"]).collect()
+
+
+def test_ranks_and_corrections_without_groups(spark):
+    df = spark.createDataFrame([(None, "x", 1.0), (None, "y", 4.0), ("e", "x", None), ("e", "y", 2.0), ("e", "z", -1.0)],
+                               "experiment string, configuration string, score double")
+    got = {(r["experiment"], r["configuration"]): (r["rank"], r["best_vs_worst"])
+           for r in metrics.rank_metrics(df, "score", ["experiment"]).collect()}
+    assert got == {(None, "y"): (1, 3.0), (None, "x"): (2, 3.0), ("e", "y"): (1, 3.0), ("e", "x"): (2, 3.0), ("e", "z"): (3, 3.0)}
+    whole = metrics.rank_metrics(df.where("experiment is null or configuration = 'z'"), "score").orderBy("rank").collect()
+    assert [r["configuration"] for r in whole] == ["y", "x", "z"]
+    assert metrics.rank_metrics(df.limit(0), "score").count() == 0
+    runs = spark.createDataFrame([(c, r, float(r * k)) for k, c in enumerate("abc") for r in range(4)],
+                                 "configuration string, run int, value double")
+    alphas = [r["corrected_alpha"] for r in hypothesis.pairwise_comparison(runs, []).collect()]
+    assert alphas == pytest.approx([0.05 / 3] * 3)
