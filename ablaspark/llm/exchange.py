@@ -117,10 +117,14 @@ def chunked(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, int]:
 PACKED = "chunk int, part int, data binary"
 
 
+def part_of(hashes: np.ndarray, parts: int) -> np.ndarray:
+    """The range of each hash; ``parts`` is a power of two."""
+    return (hashes >> np.uint64(64 - parts.bit_length() + 1)).astype(np.int64) if parts > 1 else np.zeros(len(hashes), np.int64)
+
+
 def pack(chunk: int, parts: int, hashes: np.ndarray, *more: np.ndarray) -> pd.DataFrame:
     """Rows for ascending hashes, one per part that gets any: count, hashes, then the other columns."""
-    part = (hashes >> np.uint64(64 - parts.bit_length() + 1)).astype(np.int64) if parts > 1 else np.zeros(len(hashes), np.int64)
-    cuts = np.searchsorted(part, np.arange(parts + 1))
+    cuts = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1))
     rows = [(chunk, p, b"".join([np.int64(b - a).tobytes(), hashes[a:b].tobytes(), *(m[a:b].tobytes() for m in more)]))
             for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     return pd.DataFrame(rows, columns=["chunk", "part", "data"])
@@ -135,13 +139,16 @@ def unpack(data: bytes, types: list[str]) -> list[np.ndarray]:
     return out
 
 
-def answered(questions: DataFrame, types: list[str], answer: Callable[..., list[np.ndarray]]) -> DataFrame:
+def answered(questions: DataFrame, types: list[str], answer: Callable[..., list[np.ndarray]],
+             second: tuple[int, list[str], Callable[..., list[np.ndarray]]] | None = None) -> DataFrame:
     """Answer the packed rows of each part. ``answer`` gets the columns of all rows of a part, each concatenated, and
-    gives arrays of booleans; they return as packed bits for each row."""
+    gives arrays of booleans; they return as packed bits for each row. ``second`` (first part, types, answer) is for
+    questions of another kind, in the parts from there on."""
     def of_part(rows: pd.DataFrame) -> pd.DataFrame:
-        columns = [unpack(d, types) for d in rows["data"]]
+        kind = second[1:] if second and rows["part"].iloc[0] >= second[0] else (types, answer)
+        columns = [unpack(d, kind[0]) for d in rows["data"]]
         sizes = [len(c[0]) for c in columns]
-        bits = answer(*[np.concatenate(c) for c in zip(*columns)])
+        bits = kind[1](*[np.concatenate(c) for c in zip(*columns)])
         ends = np.cumsum(sizes)
         data = [np.int64(n).tobytes() + b"".join(np.packbits(b[e - n:e]).tobytes() for b in bits)
                 for n, e in zip(sizes, ends)]

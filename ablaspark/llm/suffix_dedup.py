@@ -4,7 +4,9 @@ Which bytes are covered by a string of ``length`` bytes that starts in an earlie
 strings have equal minimizers (the least hash of their byte grams), so the text is cut into
 regions of strings with one minimizer, and only regions whose minimizer repeats are looked at. Equal
 regions are settled by their hash; every other distinct region goes, once, to the task of its
-minimizer's hash range. There each chunk's regions are a shard with its own transform; the
+minimizer's hash range. Where the regions of one minimizer are too much text for a task (a passage that very many
+documents share, each in a context of its own), their strings go singly to the ranges of their own hashes, so that equal
+strings still meet but no others must. There each chunk's regions are a shard with its own transform; the
 shards are merged by interleave refinement, rows whose common prefix reaches ``length`` form
 repeated intervals, and the least document of an interval keeps its string.
 """
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .bwt import merge, pairs, repeated_intervals, transform
 from .common import stored
-from .exchange import (PACKED, Chunk, Powers, answered, bits_of, chunked, known_repeats, minimizers, mixed, pack, repeated,
+from .exchange import (PACKED, Chunk, Powers, answered, bits_of, chunked, known_repeats, mixed, pack, part_of, repeated, sliding,
                        unique_flagged)
 
 LENGTH = 50
@@ -29,6 +31,9 @@ GRAM = 24
 BLOCK = 1 << 17
 #: Region bytes per shard.
 SHARD_BYTES = 1 << 19
+#: Bytes of regions beyond which a minimizer is hot: its strings go singly, to HOT_SPREAD times as many ranges.
+HOT_BYTES = 4 << 20
+HOT_SPREAD = 8
 _BYTES = Powers(0x5851F42D4C957F2D)
 
 
@@ -37,16 +42,13 @@ class Regions:
 
     def __init__(self, chunk: Chunk, length: int, gram: int):
         self.chunk, self.length = chunk, length
-        anchors, parts = [np.zeros(0, np.uint64)], []
+        parts = []
         first, size = 0, 0
         for i, text in enumerate(chunk.texts):
             size += len(text)
             if size >= BLOCK or i == len(chunk.texts) - 1:
-                found = self._scan(first, i + 1, gram)
-                anchors.append(found[0])
-                parts.append(found[1:])
+                parts.append(self._scan(first, i + 1, gram))
                 first, size = i + 1, 0
-        self.anchors = np.concatenate(anchors)
         # minimizer, content hash, document, start in it, number of strings
         self.least, self.content, self.doc, self.start, self.strings = (
             np.concatenate(c) for c in zip(*parts)) if parts else (
@@ -62,10 +64,9 @@ class Regions:
         valid = np.ones(n, bool)
         for end in ends[:-1].tolist():
             valid[max(0, end - self.length + 1):end] = False
-        least, anchors = minimizers(mixed(_BYTES.windows(sums, gram)), valid, self.length - gram + 1)
         if not n:
-            return anchors, least[:0], least[:0], *[np.zeros(0, np.int64)] * 3
-        least = least[:n]
+            return *[np.zeros(0, np.uint64)] * 2, *[np.zeros(0, np.int64)] * 3
+        least = sliding(mixed(_BYTES.windows(sums, gram)), self.length - gram + 1, np.minimum)
         edge = np.concatenate(([True], (least[1:] != least[:-1]) | (valid[1:] != valid[:-1]), [True]))
         edge[ends[ends < n]] = True  # a document of its own
         cuts = np.flatnonzero(edge)
@@ -75,10 +76,16 @@ class Regions:
         stop = begin + number + self.length - 1
         content = mixed(_BYTES.spans(sums, begin, stop) + mixed(number.astype(np.uint64)))
         doc = np.searchsorted(ends, begin, side="right")
-        return anchors, least[begin], content, doc + a, begin - (ends - sizes)[doc], number
+        # least hashes are small: mixed again, they are even over the hash ranges
+        return mixed(least[begin]), content, doc + a, begin - (ends - sizes)[doc], number
+
+    def asked(self) -> np.ndarray:
+        """The chunk's minimizers, flagged if several of its regions have them. A string of another document lies in
+        another region, so a minimizer with one region anywhere has no repeats."""
+        return unique_flagged(self.least)
 
     def shared(self, bits: np.ndarray) -> "Shared":
-        return Shared(self, np.flatnonzero(known_repeats(unique_flagged(self.anchors), bits, self.least)))
+        return Shared(self, np.flatnonzero(known_repeats(self.asked(), bits, self.least)))
 
 
 class Shared:
@@ -91,8 +98,28 @@ class Shared:
                                | (regions.least[order][1:] != regions.least[order][:-1]))) if len(order) else np.zeros(0, bool)
         self.order, self.group = order, np.cumsum(head) - 1
         self.first = order[head]
-        self.least = regions.least[self.first]
+        self.least, self.content = regions.least[self.first], regions.content[self.first]
         self.keys = regions.chunk.keys[regions.doc[self.first]] if len(order) else np.zeros(0, np.int64)
+        self.by_content = np.argsort(self.content, kind="stable")
+        new = np.concatenate(([True], self.least[1:] != self.least[:-1])) if len(order) else np.zeros(0, bool)
+        self.heads, self.minimizer = np.flatnonzero(new), np.cumsum(new) - 1
+
+    def questions(self, chunk: int, parts: int) -> pd.DataFrame:
+        """By content: is this the first document? By minimizer, in parts of their own: are there several contents, and how
+        many bytes? A chunk asks once for each, so no content and no minimizer is hot here."""
+        size = self.regions.strings[self.first] + self.regions.length - 1
+        kinds = np.diff(np.append(self.heads, len(self.first)))
+        by_content = pack(chunk, parts, self.content[self.by_content], self.keys[self.by_content])
+        by_least = pack(chunk, parts, self.least[self.heads], np.where(kinds > 1, SEVERAL, self.content[self.heads]),
+                        np.add.reduceat(size, self.heads) if len(size) else size)
+        return pd.concat([by_content, by_least.assign(part=by_least["part"] + parts)])
+
+    def answers(self, bits: pd.DataFrame, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each distinct region: is it the first document's, has its minimizer several contents, is it hot?"""
+        owner = np.empty(len(self.first), bool)
+        owner[self.by_content] = bits_of(bits[bits["part"] < parts])[0]
+        several, hot = bits_of(bits[bits["part"] >= parts], 2)
+        return owner, several[self.minimizer], hot[self.minimizer]
 
     def texts(self, chosen: np.ndarray) -> list[bytes]:
         r = self.regions
@@ -100,47 +127,90 @@ class Shared:
             r.doc[self.first[chosen]].tolist(), r.start[self.first[chosen]].tolist(), r.strings[self.first[chosen]].tolist())]
 
 
+class Singles:
+    """The distinct strings of chosen regions, by hash, each with its least document in the chunk."""
+
+    def __init__(self, shared: Shared, chosen: np.ndarray):
+        length = shared.regions.length
+        texts = shared.texts(chosen)
+        number = shared.regions.strings[shared.first[chosen]]
+        data = b"".join(texts)
+        self.offset = np.cumsum(number) - number
+        own = np.repeat(np.arange(len(number)), number)
+        at = np.arange(len(own)) + own * (length - 1)  # a region has length - 1 more bytes than strings
+        sums = _BYTES.sums(np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1))
+        hashes, keys = mixed(_BYTES.spans(sums, at, at + length)), shared.keys[chosen][own]
+        order = np.lexsort((keys, hashes))
+        new = np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])) if len(order) else np.zeros(0, bool)
+        self.which = np.empty(len(order), np.int64)
+        self.which[order] = np.cumsum(new) - 1
+        first = order[new]
+        self.hashes, self.keys = hashes[first], keys[first]
+        self.texts = [data[a:a + length] for a in at[first].tolist()]
+        self.later = keys > self.keys[self.which]
+
+    def hits(self, verdicts: np.ndarray) -> np.ndarray:
+        """For each string of the regions: does it start in an earlier document, of this chunk or of another?"""
+        return verdicts[self.which] | self.later
+
+
 def _ask_minimizers(parts: int, length: int, gram: int):
     def ask(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pack(int(key[0]), parts, unique_flagged(Regions(Chunk.of(rows), length, gram).anchors))
+        return pack(int(key[0]), parts, Regions(Chunk.of(rows), length, gram).asked())
 
     return ask
 
 
 def _ask_regions(parts: int, length: int, gram: int):
     def ask(key: tuple, rows: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
-        shared = Regions(Chunk.of(rows), length, gram).shared(bits_of(bits)[0])
-        return pack(int(key[0]), parts, shared.least, shared.regions.content[shared.first], shared.keys)
+        return Regions(Chunk.of(rows), length, gram).shared(bits_of(bits)[0]).questions(int(key[0]), parts)
 
     return ask
 
 
-def _owners(least: np.ndarray, content: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
-    """Is it the region's first document, and does its minimizer have other regions?"""
-    order = np.lexsort((keys, content, least))
-    a, c = least[order], content[order]
-    new_a = np.concatenate(([True], a[1:] != a[:-1])) if len(a) else np.zeros(0, bool)
-    head = new_a | np.concatenate(([True], c[1:] != c[:-1])) if len(a) else new_a
-    group = np.cumsum(new_a) - 1
-    kinds = np.bincount(group, weights=head) if len(a) else np.zeros(0)
-    owner, mixed_group = np.empty(len(a), bool), np.empty(len(a), bool)
-    owner[order] = head
-    mixed_group[order] = kinds[group] > 1 if len(a) else head
-    return [owner, mixed_group]
+#: In place of a content: a chunk has several contents of a minimizer.
+SEVERAL = np.uint64(0)
+
+
+def _first_documents(content: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+    """Is it the content's first document?"""
+    order = np.lexsort((keys, content))
+    first = np.empty(len(order), bool)
+    first[order] = np.concatenate(([True], content[order][1:] != content[order][:-1]))
+    return [first]
+
+
+def _judged(hot_bytes: int):
+    def judged(least: np.ndarray, content: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
+        """Has the minimizer several contents, and more bytes of them than one task should get?"""
+        order = np.argsort(least, kind="stable")
+        heads = np.flatnonzero(np.concatenate(([True], least[order][1:] != least[order][:-1])))
+        low, high = np.minimum.reduceat(content[order], heads), np.maximum.reduceat(content[order], heads)
+        several = (low == SEVERAL) | (low != high)
+        hot = several & (np.add.reduceat(size[order], heads) > hot_bytes)
+        group = np.empty(len(order), np.int64)
+        group[order] = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(order))))
+        return [several[group], hot[group]]
+
+    return judged
+
+
+def _blobs(chunk: int, parts: int, first_part: int, hashes: np.ndarray, keys: np.ndarray, texts: list[bytes]) -> list[tuple]:
+    """Rows for texts in ascending order of their hashes: number, documents, sizes and texts of a part."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    cuts = np.searchsorted(part_of(hashes, parts), np.arange(parts + 1))
+    return [(chunk, first_part + p, np.int64(b - a).tobytes() + keys[a:b].tobytes() + sizes[a:b].tobytes() + b"".join(texts[a:b]))
+            for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
 
 
 def _send_regions(parts: int, length: int, gram: int):
     def send(key: tuple, rows: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
         shared = Regions(Chunk.of(rows), length, gram).shared(bits_of(bits[bits["step"] == 0])[0])
-        owner, several = bits_of(bits[bits["step"] == 1], 2)
-        chosen = np.flatnonzero(owner & several)
-        texts = shared.texts(chosen)
-        least, keys = shared.least[chosen], shared.keys[chosen]
-        sizes = np.array([len(t) for t in texts], np.int64)
-        part = (least >> np.uint64(64 - parts.bit_length() + 1)).astype(np.int64) if parts > 1 else np.zeros(len(least), int)
-        cuts = np.searchsorted(part, np.arange(parts + 1))
-        out = [(int(key[0]), p, np.int64(b - a).tobytes() + keys[a:b].tobytes() + sizes[a:b].tobytes() + b"".join(texts[a:b]))
-               for p, (a, b) in enumerate(zip(cuts.tolist(), cuts[1:].tolist())) if b > a]
+        owner, several, hot = shared.answers(bits[bits["step"] == 1], parts)
+        chosen = np.flatnonzero(owner & several & ~hot)
+        singles = Singles(shared, np.flatnonzero(owner & several & hot))
+        out = _blobs(int(key[0]), parts, 0, shared.least[chosen], shared.keys[chosen], shared.texts(chosen))
+        out += _blobs(int(key[0]), parts * HOT_SPREAD, parts, singles.hashes, singles.keys, singles.texts)
         return pd.DataFrame(out, columns=["chunk", "part", "data"])
 
     return send
@@ -216,11 +286,11 @@ def _judge_regions(length: int):
 RESULT = ("key bigint, missing boolean, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def _apply(length: int, gram: int):
+def _apply(parts: int, length: int, gram: int):
     def last(key: tuple, rows: pd.DataFrame, bits: pd.DataFrame) -> pd.DataFrame:
         regions = Regions(Chunk.of(rows), length, gram)
         shared = regions.shared(bits_of(bits[bits["step"] == 0])[0])
-        owner, several = bits_of(bits[bits["step"] == 1], 2)
+        owner, several, hot = shared.answers(bits[bits["step"] == 1], parts)
         verdicts = bits_of(bits[bits["step"] == 2])[0]
         # regions that are not their first document's go whole
         doc, start, strings = regions.doc[shared.order], regions.start[shared.order], regions.strings[shared.order]
@@ -228,10 +298,13 @@ def _apply(length: int, gram: int):
         whole = ~(owner[shared.group] & same)
         spans = [np.stack([doc[whole], start[whole], start[whole] + strings[whole] + length - 1])]
         # of the others, the strings that an earlier document has; repeats in one document are judged alike
-        chosen = np.flatnonzero(owner & several)
+        chosen, single = np.flatnonzero(owner & several & ~hot), np.flatnonzero(owner & several & hot)
         number = regions.strings[shared.first[chosen]]
-        offset = np.zeros(len(owner), np.int64)
+        offset, regular = np.zeros(len(owner), np.int64), int(number.sum())
         offset[chosen] = np.cumsum(number) - number
+        singles = Singles(shared, single)
+        offset[single] = regular + singles.offset
+        verdicts = np.concatenate((verdicts[:regular], singles.hits(verdicts[regular:])))
         part = np.flatnonzero(~whole & (owner & several)[shared.group])
         size = strings[part]
         own = np.repeat(part, size)
@@ -261,12 +334,13 @@ def _apply(length: int, gram: int):
 
 
 def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
-                   gram: int = GRAM) -> DataFrame:
+                   gram: int = GRAM, hot_bytes: int = HOT_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (of the bytes that stay).
 
     A byte goes if a string of ``length`` bytes that covers it also starts in a document of smaller id. A null text is
     empty, a null id the smallest. Rows that share an id count as one document, so none of them removes
-    from another. Shorter texts lose nothing. Other columns are ignored; an empty table gives no rows.
+    from another. Shorter texts lose nothing. Other columns are ignored; an empty table gives no rows. ``hot_bytes``
+    changes where strings are compared, not the result.
     """
     texts, parts = chunked(docs, doc_id, text)
     by_chunk = texts.groupBy("chunk")
@@ -277,9 +351,10 @@ def repeated_bytes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     first = step(stored(answered(by_chunk.applyInPandas(_ask_minimizers(parts, length, gram), PACKED), ["u8"], repeated),
                         "minimizer-bits"), 0)
     second = step(stored(answered(by_chunk.cogroup(first.groupBy("chunk")).applyInPandas(
-        _ask_regions(parts, length, gram), PACKED), ["u8", "u8", "i8"], _owners), "region-bits"), 1)
+        _ask_regions(parts, length, gram), PACKED), ["u8", "i8"], _first_documents,
+        (parts, ["u8", "u8", "i8"], _judged(hot_bytes))), "region-bits"), 1)
     both = first.unionByName(second)
     sent = by_chunk.cogroup(both.groupBy("chunk")).applyInPandas(_send_regions(parts, length, gram), PACKED)
     third = step(stored(sent.groupBy("part").applyInPandas(_judge_regions(length), PACKED), "interval-bits"), 2)
-    return by_chunk.cogroup(both.unionByName(third).groupBy("chunk")).applyInPandas(_apply(length, gram), RESULT).select(
+    return by_chunk.cogroup(both.unionByName(third).groupBy("chunk")).applyInPandas(_apply(parts, length, gram), RESULT).select(
         F.when(~F.col("missing"), F.col("key")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")

@@ -8,6 +8,7 @@ import pytest
 
 from ablaspark.llm import (components, cutting_stock, debruijn, exact_dedup, imatch, langid, mixing, packing, queries, secrets,
                            simhash, suffix_dedup, tokenizers, trie_join, warc)
+from ablaspark.llm.exchange import Chunk, part_of
 
 SQL = queries.oracle_sql()
 
@@ -42,6 +43,32 @@ def test_repeated_bytes(tables, name):
     assert Counter(map(tuple, suffix_dedup.repeated_bytes(tables[name]).collect())) == Counter(brute.removed_bytes(rows))
 
 
+@pytest.mark.parametrize("hot_bytes", [0, 600])
+@pytest.mark.parametrize("name", ["documents", "odd"])
+def test_strings_of_hot_minimizers_go_singly(tables, name, hot_bytes):
+    rows = pairs(tables[name].collect())
+    got = suffix_dedup.repeated_bytes(tables[name], hot_bytes=hot_bytes).collect()
+    assert Counter(map(tuple, got)) == Counter(brute.removed_bytes(rows))
+
+
+def test_a_hot_passage_fills_no_range(spark):
+    """A passage in unlike contexts: its edges are one group by minimizer, but many small ones by string."""
+    passage = "".join(chr(97 + (i * i + 7 * i) % 26) for i in range(300))
+    texts = [" ".join(f"{k}x{k * 31 + j}" for j in range(12)) + passage + " ".join(f"{k}y{k * 17 + j}" for j in range(12))
+             for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    chunk = Chunk.of(docs.selectExpr("doc_id as key", "false as missing", "text").toPandas())
+    regions = suffix_dedup.Regions(chunk, 50, 24)
+    shared = regions.shared(regions.asked() % 2 == 1)
+    size = shared.regions.strings[shared.first] + 49
+    by_minimizer = np.bincount(shared.minimizer, weights=size)
+    singles = suffix_dedup.Singles(shared, np.flatnonzero(shared.minimizer == by_minimizer.argmax()))
+    by_string = np.bincount(part_of(singles.hashes, 64)) * 50
+    assert by_minimizer.max() > 400 * 50 and by_string.max() < len(singles.texts) * 50 / 16
+    got = suffix_dedup.repeated_bytes(docs, hot_bytes=4000).collect()
+    assert Counter(map(tuple, got)) == Counter(brute.removed_bytes(list(enumerate(texts))))
+
+
 @pytest.mark.parametrize("name", ["documents", "odd"])
 def test_repeated_words(tables, name):
     rows = pairs(tables[name].collect())
