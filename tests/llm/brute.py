@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 
 import xxhash
@@ -99,3 +100,52 @@ def edited(rows):
         n = len(t) // 4
         out[i] = (t, t[:len(t) - n] + other[:n], nxt)
     return out
+
+
+class KneserNey:
+    """Interpolated Kneser-Ney over characters, with dictionaries of strings."""
+
+    def __init__(self, texts, order, alphabet):
+        self.order, self.alphabet = order, alphabet
+        counts, kinds = {}, [set() for _ in range(order + 1)]
+        for text in texts:
+            line = self.line(text)
+            for i in range(order - 1, len(line)):
+                gram = line[i - order + 1:i + 1]
+                counts[gram] = counts.get(gram, 0) + 1
+                for n in range(1, order + 1):
+                    kinds[n].add(gram[order - n:])
+        self.counts = [None] * order + [counts]
+        for n in range(1, order):
+            lower = self.counts[n] = {}
+            for gram in kinds[n + 1]:
+                lower[gram[1:]] = lower.get(gram[1:], 0) + 1
+        self.discount, self.mass, self.followers = [None], [None], [None]
+        for n in range(1, order + 1):
+            values = list(self.counts[n].values())
+            ones, twos = values.count(1), values.count(2)
+            self.discount.append(ones / (ones + 2 * twos) if ones and twos else 0.5)
+            mass, followers = {}, {}
+            for gram, c in self.counts[n].items():
+                mass[gram[:-1]] = mass.get(gram[:-1], 0) + c
+                followers[gram[:-1]] = followers.get(gram[:-1], 0) + 1
+            self.mass.append(mass)
+            self.followers.append(followers)
+
+    def line(self, text):
+        """Letters in lower case, runs of anything else as one blank, padded before the first character."""
+        clean = re.sub(r"\s+", " ", "".join(c if c.isalpha() else " " for c in text.lower())).strip(" ")
+        return " " * (self.order - 1) + clean + " " if clean else ""
+
+    def p(self, gram):
+        n, context = len(gram), gram[:-1]
+        lower = self.p(gram[1:]) if n > 1 else 1 / self.alphabet
+        if context not in self.mass[n]:
+            return lower
+        d, mass = self.discount[n], self.mass[n][context]
+        return max(self.counts[n].get(gram, 0) - d, 0) / mass + d * self.followers[n][context] / mass * lower
+
+    def cross_entropy(self, text):
+        line = self.line(text)
+        return -sum(math.log(self.p(line[i - self.order + 1:i + 1])) for i in range(self.order - 1, len(line))) / (
+            len(line) - self.order + 1)

@@ -310,6 +310,25 @@ def test_kneser_ney_sums_to_one():
             assert total <= 1 + 1e-5 and abs(total + (langid.ALPHABET - len(seen)) * unknown[k] - 1) < 0.02
 
 
+def test_cross_entropies_are_those_of_plain_kneser_ney(documents):
+    import pandas as pd
+
+    rows = documents.where("length(text) between 20 and 4000").select("lang", "text").toPandas().dropna()
+    learned = rows.groupby("lang").head(12)
+    judged = rows.drop(learned.index).groupby("lang").head(6)["text"].tolist() + ["Ünseen wörds, 12 of ΣΑΣ", "x", "日本 q"]
+    counts = pd.concat(langid._counter(4)(iter([learned.rename(columns={"lang": "language"})])))
+    counts = counts.groupby(["language", "n", "gram", "context", "suffix"], as_index=False)["count"].sum()
+    for c in ("gram", "context", "suffix"):
+        counts[c] = counts[c].to_numpy().view(np.uint64)
+    languages = sorted(learned["lang"].unique())
+    got, size = langid.build(counts, languages, 4).entropies(judged)
+    plain = [brute.KneserNey(learned.loc[learned["lang"] == k, "text"], 4, langid.ALPHABET) for k in languages]
+    want = np.array([[m.cross_entropy(t) for m in plain] for t in judged])
+    assert len(languages) > 2 and (size > 0).all()
+    assert np.abs(got - want).max() < 1e-4
+    assert (got.argmin(axis=1) == want.argmin(axis=1)).all()
+
+
 OPERATORS = {
     "simhash": simhash.near_duplicates, "bytes": suffix_dedup.repeated_bytes, "words": lambda d: debruijn.repeated_words(d)[0],
     "exact": exact_dedup.exact_dedup, "mix": mixing.mixed_documents, "imatch": imatch.edited_fingerprints,
