@@ -75,11 +75,11 @@ def boosting(task: str = "classification", trees: int = 100, rate: float = 0.1,
 
 
 def svc_rbf(c: float = 10.0, gamma: float | str = "scale", components: int = 256, classes: int = 2,
-            features: str = "features", label: str = "label", seed: int = 42) -> Pipeline:
+            features: str = "features", label: str = "label", seed: int = 42, max_iter: int = 100) -> Pipeline:
     """RBF-kernel SVM: random Fourier features under a linear SVM (one-vs-rest beyond two classes)."""
     def learn(df: DataFrame):
         n = df.count()
-        svm = LinearSVC(featuresCol="__rbf", labelCol=label, regParam=1.0 / (c * n), maxIter=100)
+        svm = LinearSVC(featuresCol="__rbf", labelCol=label, regParam=1.0 / (c * n), maxIter=max_iter)
         if classes > 2:
             svm = OneVsRest(classifier=svm, featuresCol="__rbf", labelCol=label)
         model = svm.fit(df)
@@ -88,6 +88,48 @@ def svc_rbf(c: float = 10.0, gamma: float | str = "scale", components: int = 256
     return Pipeline(stages=[fourier_features(components, gamma, features, "__rbf", seed), LearnStage(learn, "SVC")])
 
 
+def svc_rbf_converged(c: float = 10.0, gamma: float | str = "scale", start: int = 64, most: int = 4096, tolerance: float = 0.01,
+                      classes: int = 2, features: str = "features", label: str = "label", seed: int = 42,
+                      max_iter: int = 100) -> LearnStage:
+    """``svc_rbf`` with as many random features as its decisions need.
+
+    The number is doubled, each time with features of their own, until at most a share ``tolerance`` of held-out rows changes its
+    decision; the last machine is then fitted on all rows. A fifth of the rows, by a hash of vector and label, is held out. Two
+    machines with unlike features differ by both errors, so the change also bounds what the approximation does to a decision.
+    The fitted stage's detail has ``components``, ``changes`` (features, twice as many, share changed) and ``converged``, which is
+    False where ``most`` features are not enough.
+    """
+    def learn(df: DataFrame):
+        data = df.select(features, label).withColumn(
+            "__held", F.pmod(F.xxhash64(vector_to_array(features), label, F.lit(seed)), F.lit(5)) == 0).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            width = fourier_features(1, gamma, features, "__rbf", seed).fit(data).detail["gamma"]
+            fitted, held = data.where("not __held"), data.where("__held").drop("__held")
+
+            def machine(rows: DataFrame, number: int):
+                return svc_rbf(c, width, number, classes, features, label, seed + number, max_iter).fit(rows)
+
+            def decided(rows: DataFrame, model, name: str) -> DataFrame:
+                return model.transform(rows).withColumn(name, F.col("prediction")).drop("prediction", "rawPrediction")
+
+            number, small, changes = start, machine(fitted, start), []
+            while 2 * number <= most:
+                large = machine(fitted, 2 * number)
+                both = decided(decided(held, small, "__small"), large, "__large")
+                change = both.agg(F.avg((F.col("__small") != F.col("__large")).cast("double"))).first()[0]
+                changes.append((number, 2 * number, 0.0 if change is None else change))
+                number, small = 2 * number, large
+                if changes[-1][2] <= tolerance:
+                    break
+            whole = machine(data, number)
+        finally:
+            data.unpersist()
+        detail = {"components": number, "gamma": width, "changes": changes, "converged": bool(changes) and changes[-1][2] <= tolerance}
+        return FittedStage(whole.transform, detail)
+
+    return LearnStage(learn, "SVC", (c, gamma, start, most, tolerance, classes, features, label, seed, max_iter))
+
+
 def perceptron(hidden: Sequence[int], inputs: int, classes: int, features: str = "features", label: str = "label",
                max_iter: int = 100, seed: int = 42) -> MultilayerPerceptronClassifier:
     return MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=[inputs, *hidden, classes],

@@ -78,9 +78,17 @@ query("logistic_regression", _AVG)(lambda t: _fit_score(learners.logistic(1.0),
 query("random_forest", _AVG)(lambda t: _fit_score(learners.forest(trees=20, depth=5), vector_split(t)))
 query("gradient_boosting", _AVG)(lambda t: _fit_score(learners.boosting(trees=10), doc_split(t)))
 query("svc_rbf", _AVG)(lambda t: _fit_score(learners.svc_rbf(10.0, "scale", 128, classes=2), doc_split_scaled(t)))
+query("svc_rbf_converged", "components:i doubled:i change:f enough")(lambda t: _changes(t, learners.svc_rbf_converged(
+    10.0, "scale", start=64, most=1024, tolerance=0.02).fit(doc_split_scaled(t)[0])))
 query("mlp", _AVG)(lambda t: _fit_score(learners.perceptron([16], 64, 10, max_iter=60), vector_split(t)))
 
 
+def _changes(t, model):
+    """How many held-out decisions change when the random features double, and whether that ends the search."""
+    rows = [(a, b, float(share), share <= 0.02) for a, b, share in model.detail["changes"]]
+    return t.spark.createDataFrame(rows, "components int, doubled int, change double, enough boolean")
+
+
 def doc_split_scaled(t):
     split = split_stratified(labelled_docs(t), ["doc_id"], "label", 0.25, 7).persist()
     train, test = (split.where(f"split = '{s}'").drop("split") for s in ("train", "test"))

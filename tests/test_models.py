@@ -98,6 +98,22 @@ def test_pca_keeps_share_and_centres(table, numbers):
     assert means == pytest.approx(0, abs=1e-9)
 
 
+def test_random_features_double_until_decisions_stay(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 2))
+    y = (np.hypot(*x.T) > 1.1).astype(float)
+    rows = [(float(a), float(b), float(k)) for (a, b), k in zip(x, y)]
+    data = stages.assemble(["a", "b"]).transform(spark.createDataFrame(rows, "a double, b double, label double").coalesce(2))
+    model = learners.svc_rbf_converged(10.0, 1.0, start=16, most=512, tolerance=0.08, max_iter=20).fit(data)
+    seen = model.detail["changes"]
+    assert [(a, b) for a, b, _ in seen] == [(16 << i, 32 << i) for i in range(len(seen))]
+    assert model.detail["converged"] and seen[-1][2] <= 0.08 and all(share > 0.08 for *_, share in seen[:-1])
+    assert model.detail["components"] == seen[-1][1]
+    out = model.transform(data).select("label", "prediction").toPandas()
+    assert (out["label"] == out["prediction"]).mean() > 0.93
+    assert not learners.svc_rbf_converged(10.0, 1.0, start=4, most=4, max_iter=2).fit(data).detail["converged"]
+
+
 def test_fourier_features_approach_the_kernel(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(20, 4))
