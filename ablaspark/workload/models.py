@@ -69,6 +69,26 @@ SELECT n * c / (n * vx + 1000) AS slope, my - mx * n * c / (n * vx + 1000) AS in
         stages.assemble(["p_size"]).transform(t.part.selectExpr("p_size", "p_retailprice as label")))))
 
 
+def _newton_sql(steps: int = 12) -> str:
+    """Newton steps of the penalised likelihood (C = 1, free intercept), one after another."""
+    chain = ["d AS MATERIALIZED (SELECT CAST(l_quantity AS DOUBLE) / 10 - 2.5e0 AS x,"
+             " CASE WHEN l_extendedprice + 1000 * l_quantity > 75000 THEN 1.0e0 ELSE 0.0e0 END AS y FROM lineitem)",
+             "b0 AS MATERIALIZED (SELECT 0.0e0 AS w, 0.0e0 AS b)"]
+    for k in range(steps):
+        chain += [
+            f"p{k} AS (SELECT w, b, x, y, 1 / (1 + exp(-(w * x + b))) AS p FROM d, b{k})",
+            f"s{k} AS (SELECT any_value(w) AS w, any_value(b) AS b, sum((p - y) * x) + any_value(w) AS gw, sum(p - y) AS gb,"
+            f" sum(p * (1 - p) * x * x) + 1 AS ww, sum(p * (1 - p) * x) AS wb, sum(p * (1 - p)) AS bb FROM p{k})",
+            f"b{k + 1} AS MATERIALIZED (SELECT w - (bb * gw - wb * gb) / (ww * bb - wb * wb) AS w,"
+            f" b - (ww * gb - wb * gw) / (ww * bb - wb * wb) AS b FROM s{k})"]
+    return f"WITH {', '.join(chain)} SELECT w AS slope, b AS intercept FROM b{steps}"
+
+
+query("logistic_coefficients", "slope:f4 intercept:f4", _newton_sql())(
+    lambda t: _coefficients(t, learners.logistic(1.0).fit(stages.assemble(["x"]).transform(t.lineitem.selectExpr(
+        "cast(l_quantity as double) / 10 - 2.5D as x", "if(l_extendedprice + 1000 * l_quantity > 75000, 1D, 0D) as label")))))
+
+
 def _fit_score(estimator, parts):
     train, test = parts
     return _scores(estimator.fit(train).transform(test))
