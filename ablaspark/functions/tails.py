@@ -204,13 +204,17 @@ def _norm_upper(tail: float) -> float:
 def t_upper_ppf(tail: float, df: str) -> str:
     """t with P(T > t) = tail for a constant 0 < tail < 0.5 and a column of df >= 1.
 
-    Starts from the Cornish-Fisher expansion and takes Newton steps on the tail.
+    Starts from the Cornish-Fisher expansion and takes Newton steps on the tail. For many degrees of freedom the expansion itself
+    is exact to rounding, whereas the tail loses a digit for each digit of df, so that steps would never get small.
     """
     if not 0.0 < tail < 0.5:
         raise ValueError("tail must lie in (0, 0.5)")
     z = _norm_upper(tail)
-    c1, c2 = (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96
-    first = f"{_num(z)} + {_num(c1)} / tq + {_num(c2)} / (tq * tq)"
+    terms = [z, (z**3 + z) / 4, (5 * z**5 + 16 * z**3 + 3 * z) / 96, (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / 384,
+             (79 * z**9 + 776 * z**7 + 1482 * z**5 - 1920 * z**3 - 945 * z) / 92160]
+    first = _poly(terms, "(1.0D / tq)")
+    left_out = abs(27 * z**11 + 339 * z**9 + 930 * z**7 - 1782 * z**5 - 765 * z**3 + 17955 * z) / 368640
+    many = max(10_000.0, (left_out / (1e-15 * z)) ** 0.2)  # from here on the next term is below rounding
     density = "exp(tb - 0.5D * ln(tq) - (tq + 1) / 2 * log1p(ts.t * ts.t / tq))"
     move = f"({_t_tail('ts.t', 'tq', 'tb')} / 2 - {_num(tail)}) / {density}"
     after = let("mv", move, "named_struct('t', ts.t + mv, 'done', abs(mv) < 1e-12D * (1 + ts.t))")
@@ -220,5 +224,5 @@ def t_upper_ppf(tail: float, df: str) -> str:
     solved = let("tb", neg_ln_beta_half("tq / 2"), loop)
     one = _num(1 / math.tan(math.pi * tail))
     two = _num((1 - 2 * tail) * math.sqrt(2 / (4 * tail * (1 - tail))))
-    body = f"case when tq = 1 then {one} when tq = 2 then {two} else {solved} end"
+    body = f"case when tq = 1 then {one} when tq = 2 then {two} when tq >= {_num(many)} then {first} else {solved} end"
     return f"case when {df} > 0 then {let('tq', f'cast({df} as double)', body)} end"

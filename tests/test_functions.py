@@ -80,3 +80,15 @@ def test_pearson_undefined_is_null(spark):
                                "x double, y double, c double, g double")
     row = df.agg(F.expr(safe.pearson("x", "y")), F.expr(safe.pearson("x", "c")), F.expr(safe.pearson("x", "g"))).first()
     assert row[0] == pytest.approx(1.0) and row[1] is None and row[2] is None
+
+
+def test_t_quantile_of_many_degrees_of_freedom(spark):
+    """Newton steps on the tail never got small here: the query ended with an error."""
+    degrees = [9_999, 10_000, 148_000, 888_300, 2_222_222, 55_000_000, 10**9]
+    df = spark.createDataFrame([(n,) for n in degrees], "n bigint")
+    for tail in (0.05, 0.025, 0.0005):
+        got = df.selectExpr("n", f"{tails.t_upper_ppf(tail, 'n')} as t").selectExpr("n", "t", f"{tails.t_two_sided('t', 'n')} / 2 as p").collect()
+        ordered = [r["t"] for r in sorted(got, key=lambda r: r["n"])]
+        assert len(ordered) == len(degrees) and ordered == sorted(ordered, reverse=True)
+        assert all(r["p"] == pytest.approx(tail, rel=1e-6) for r in got)
+        assert all(r["p"] == pytest.approx(tail, rel=1e-10) for r in got if r["n"] <= 10_000)
