@@ -69,48 +69,56 @@ def _milliseconds(micros: int) -> int:
     return micros // 1000
 
 
-def stream_ordered_files(events: DataFrame, lateness: str, seen_at: str = "seen_at", cooldown: float = 60.0) -> DataFrame:
+def stream_ordered_files(events: DataFrame, lateness: str, seen_at: str = "seen_at", cooldown: float = 60.0, buckets: int = 1024) -> DataFrame:
     """``stream_new_files`` in event time: sightings may come ``lateness`` (an interval) late, in any micro-batch.
 
-    A path's sightings wait in its state until the watermark has passed them and are then judged in order of time
+    A path's sightings wait in the state until the watermark has passed them and are then judged in order of time
     (then mtime and hash), so the answer does not depend on how they were dealt to micro-batches. Sightings behind the
     watermark are dropped; those at or after the last watermark are still waiting when a stream stops.
-    The state of a path goes ``cooldown`` seconds after it was last processed, since from then on every sighting is due.
+    What is known of a path goes ``cooldown`` seconds after it was last processed, since from then on every sighting is due.
     A sighting without time is dropped, one without path belongs to the path NULL.
+
+    Paths share a state by the ``buckets`` of their hash: a call of the state function costs milliseconds, a sighting in it
+    microseconds. The number is part of the state and can't change under a checkpoint.
     """
     timed = isinstance(events.schema["mtime"].dataType, TimestampType)
     kind = events.schema["mtime"].dataType.simpleString()
     seen = events.where(F.col(q(seen_at)).isNotNull()).withWatermark(seen_at, lateness).selectExpr(
-        "path", "cast(unix_micros(mtime) as string) as mtime" if timed else "cast(mtime as string) as mtime", "hash",
+        f"pmod(xxhash64(path), {int(buckets)}) as bucket", "path",
+        "cast(unix_micros(mtime) as string) as mtime" if timed else "cast(mtime as string) as mtime", "hash",
         f"unix_micros({q(seen_at)}) as at", q(seen_at))
     pause = int(cooldown * 1_000_000)
+    columns = ["path", "mtime", "hash", "at"]
+
+    def in_time(row):
+        return (row[3], *((v is not None, v or "") for v in row[1:3]))
 
     def step(key, batches, state):
-        *last, waiting = state.get if state.exists else (None, None, None, "[]")
-        rows = json.loads(waiting)
+        processed, rows = map(json.loads, state.get) if state.exists else ([], [])
+        last = {path: (mtime, digest, at) for path, mtime, digest, at in processed}
         if not state.hasTimedOut:
             for batch in batches:
-                versions = batch[["mtime", "hash"]].astype(object)
-                rows += zip(batch["at"].tolist(), *versions.where(versions.notna(), None).to_dict("list").values())
-        rows = sorted(map(list, rows), key=lambda r: (r[0], *((v is not None, v or "") for v in r[1:])))
+                texts = (batch[c].astype(object).where(batch[c].notna(), None).tolist() for c in columns[:3])
+                rows += map(list, zip(*texts, batch["at"].tolist()))
         now = state.getCurrentWatermarkMs()
-        ready = [r for r in rows if _milliseconds(r[0]) < now]
         due = []
-        for at, mtime, digest in ready:
-            if last[2] is None or last[:2] != [mtime, digest] or at - last[2] >= pause:
-                due.append((key[0], mtime, digest, at))
-                last = [mtime, digest, at]
-        rows = rows[len(ready):]
-        wake = _milliseconds(rows[0][0] if rows else last[2] + pause + 999)
-        if rows or wake > now:
-            state.update((*last, json.dumps(rows)))
+        for path, mtime, digest, at in sorted((r for r in rows if _milliseconds(r[3]) < now), key=in_time):
+            before = last.get(path)
+            if before is None or before[:2] != (mtime, digest) or at - before[2] >= pause:
+                due.append((path, mtime, digest, at))
+                last[path] = (mtime, digest, at)
+        rows = [r for r in rows if _milliseconds(r[3]) >= now]
+        processed = [(path, *v) for path, v in last.items() if _milliseconds(v[2] + pause + 999) > now]
+        if rows or processed:
+            state.update((json.dumps(processed), json.dumps(rows)))
+            wake = min([_milliseconds(r[3]) for r in rows] + [_milliseconds(v[3] + pause + 999) for v in processed])
             state.setTimeoutTimestamp(max(wake, now + 1))
-        else:
+        elif state.exists:
             state.remove()
-        yield pd.DataFrame(due, columns=["path", "mtime", "hash", "at"])
+        yield pd.DataFrame(due, columns=columns)
 
-    judged = seen.groupBy("path").applyInPandasWithState(
-        step, "path string, mtime string, hash string, at bigint", "mtime string, hash string, at bigint, waiting string",
+    judged = seen.groupBy("bucket").applyInPandasWithState(
+        step, "path string, mtime string, hash string, at bigint", "processed string, waiting string",
         "append", GroupStateTimeout.EventTimeTimeout)
     return judged.selectExpr(
         "path", "timestamp_micros(cast(mtime as bigint)) as mtime" if timed else f"cast(mtime as {kind}) as mtime", "hash",

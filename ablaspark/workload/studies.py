@@ -266,21 +266,34 @@ SELECT CAST(user_id AS VARCHAR) AS path, event_type AS hash, epoch_us(CAST(ts AS
 """)(_new_files)
 
 
-#: Events are dealt to blocks of BLOCK seconds, each up to SHIFT seconds early or in place, and blocks stream one file at a time.
-BLOCK, SHIFT, LATENESS = 4 * 86400, 6 * 3600, 5 * 86400
+#: Events are dealt to blocks of BLOCK seconds, each up to SHIFT seconds early or in place. A block is a micro-batch of as many files
+#: as the largest block has parts of FILE_ROWS rows, so that larger tables make larger micro-batches and not more of them.
+BLOCK, SHIFT, LATENESS, FILE_ROWS = 4 * 86400, 6 * 3600, 5 * 86400, 500_000
+
+
+def _deal(spark, dealt, folder):
+    """Write the blocks in order, each in the same number of files, and return that number."""
+    if dealt.isEmpty():
+        dealt.drop("block").write.parquet(folder)
+        return 1
+    staged = scratch_path(spark, "blocks")
+    dealt.write.partitionBy("block").parquet(staged)
+    blocks = spark.read.schema(dealt.schema).parquet(staged)
+    sizes = {r["block"]: r["count"] for r in blocks.groupBy("block").count().collect()}
+    files = -(-max(sizes.values()) // FILE_ROWS)
+    for block in sorted(sizes):
+        blocks.where(F.col("block") == block).drop("block").repartition(files).write.mode("append").parquet(folder)
+    return files
 
 
 def _ordered_files(t):
     folder, out, check = (scratch_path(t.spark, n) for n in ("sightings", "ordered", "ordered-checkpoint"))
     seen = t.events.selectExpr(
         "cast(user_id as string) as path", "cast(0 as bigint) as mtime", "event_type as hash", "cast(ts as timestamp) as seen_at")
-    dealt = seen.withColumn("block", F.expr(f"(unix_seconds(seen_at) + pmod(xxhash64(path, seen_at), {SHIFT})) div {BLOCK}"))
-    first, last = dealt.agg(F.min("block"), F.max("block")).first()
-    for block in range(first, last + 1) if first is not None else ():
-        dealt.where(F.col("block") == block).drop("block").write.mode("append").parquet(folder)
-    if first is None:
-        seen.limit(0).write.parquet(folder)
-    stream = t.spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    dealt = seen.withColumn("block", F.expr(f"(unix_seconds(seen_at) + pmod(xxhash64(path, seen_at), {SHIFT})) div {BLOCK}")).where(
+        "block is not null")
+    files = _deal(t.spark, dealt, folder)
+    stream = t.spark.readStream.schema(seen.schema).option("maxFilesPerTrigger", files).parquet(folder)
     fresh = stream_files.stream_ordered_files(stream, f"{LATENESS} seconds", cooldown=6 * 3600.0)
     fresh.writeStream.format("parquet").option("path", out).option("checkpointLocation", check).trigger(
         availableNow=True).start().awaitTermination()

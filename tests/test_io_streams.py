@@ -221,3 +221,33 @@ def test_repeated_and_killed_batches_leave_the_same_table(spark, tmp_path):
     assert table() == [("a", 7), ("b", 4), (None, 3)] and runs.versions(spark, path) == [1, 2]
     store(batch(), 3)
     assert table() == [("a", 7), ("b", 4), (None, 3)] and not (tmp_path / "t" / "v1").exists()
+
+
+def test_larger_tables_make_larger_micro_batches_and_not_more(spark, tmp_path, monkeypatch):
+    """A block was a micro-batch for each file that its tasks wrote, and every path had a state call of its own."""
+    from ablaspark.workload import studies
+
+    rows = [(f"p{n % 300}", 1, f"h{n % 3}", 3 * studies.BLOCK + n * 600) for n in range(3000)]
+    table = spark.createDataFrame(rows, "path string, mtime bigint, hash string, s bigint").repartition(6).selectExpr(
+        "path", "mtime", "hash", "timestamp_seconds(s) as seen_at")
+    monkeypatch.setattr(studies, "FILE_ROWS", 200)
+    found = []
+    for name, some in (("all", table), ("none", table.where("false"))):
+        folder = str(tmp_path / name)
+        files_of_block = studies._deal(spark, some.withColumn("block", F.expr(f"unix_seconds(seen_at) div {studies.BLOCK}")), folder)
+        stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", files_of_block).parquet(folder)
+        query = files.stream_ordered_files(stream, f"{studies.LATENESS} seconds", cooldown=86400.0, buckets=8).writeStream.format("parquet").option(
+            "path", str(tmp_path / f"{name}-out")).option("checkpointLocation", str(tmp_path / f"{name}-check")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        found.append((files_of_block, query.recentProgress))
+    (number, progress), (empty, _) = found
+    assert empty == 1 and number == 3  # 576 rows at most in parts of 200
+    assert sum(p["numInputRows"] > 0 for p in progress) == 6  # six blocks of four days
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in progress) <= 8
+    kept = spark.read.schema(table.schema).parquet(str(tmp_path / "all-out")).selectExpr("path", "hash", "unix_seconds(seen_at) as s")
+    want, last = set(), {}
+    for path, _, digest, at in rows:
+        if at < rows[-1][3] - studies.LATENESS and (path not in last or last[path][0] != digest or at - last[path][1] >= 86400):
+            want.add((path, digest, at))
+            last[path] = (digest, at)
+    assert set(map(tuple, kept.collect())) == want and kept.count() == len(want)
