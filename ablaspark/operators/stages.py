@@ -97,11 +97,48 @@ def _yeo_johnson(x: str, lam: str) -> str:
     return f"case when {x} >= 0 then {pos} else {neg} end"
 
 
+def _stretched(logs: np.ndarray, lam: float) -> np.ndarray:
+    return logs if abs(lam) < 1e-12 else np.expm1(lam * logs) / lam
+
+
+def _power_variances(base: DataFrame, grids: dict[int, np.ndarray]) -> dict[tuple[int, int], float]:
+    """Population variance of column x<i> under the j-th exponent of its grid, by (i, j); without values there is none.
+
+    Tasks send count, mean and squared deviations of their rows, which are then put together. A logarithm serves all exponents.
+    """
+    def joined(a: tuple, b: tuple) -> tuple:
+        n, gap = a[0] + b[0], b[1] - a[1]
+        return n, a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n
+
+    def moments(batches):
+        held = {}
+        with np.errstate(all="ignore"):  # what overflows is no likely exponent
+            for batch in batches:
+                for i, grid in grids.items():
+                    x = batch[f"x{i}"].to_numpy(dtype=float)
+                    x = x[~np.isnan(x)]
+                    if not len(x):
+                        continue
+                    above, below = np.log1p(x[x >= 0]), np.log1p(-x[x < 0])
+                    for j, lam in enumerate(grid):
+                        y = np.concatenate([_stretched(above, lam), -_stretched(below, 2 - lam)])
+                        mean = y.mean()
+                        found = (len(y), float(mean), float(np.square(y - mean).sum()))
+                        held[i, j] = joined(held[i, j], found) if (i, j) in held else found
+        yield pd.DataFrame([(*k, *v) for k, v in held.items()], columns=["i", "j", "n", "mean", "squares"])
+
+    whole = {}
+    for r in base.mapInPandas(moments, "i int, j int, n bigint, mean double, squares double").collect():
+        found = (r["n"], *(np.nan if v is None else v for v in (r["mean"], r["squares"])))  # Arrow sends NaN as NULL
+        whole[r["i"], r["j"]] = joined(whole[r["i"], r["j"]], found) if (r["i"], r["j"]) in whole else found
+    return {k: squares / n for k, (n, _, squares) in whole.items()}
+
+
 def fit_power(df: DataFrame, columns: Sequence[str], tolerance: float = 1e-6, points: int = 9,
               span: tuple[float, float] = (-4.0, 6.0), most_rounds: int = 60) -> FittedColumns:
     """Yeo-Johnson with the maximum-likelihood exponent per column, then mean 0 and sd 1.
 
-    Each round scores a grid of exponents for all open columns in one aggregate and narrows every bracket to the points beside its
+    Each round scores a grid of exponents for all open columns in one pass and narrows every bracket to the points beside its
     best one; a best point on the rim moves the bracket on instead. A column is done when its bracket is narrower than
     ``tolerance``; a search that does not get there is an error. A column without spread keeps the exponent 1.
     """
@@ -114,12 +151,11 @@ def fit_power(df: DataFrame, columns: Sequence[str], tolerance: float = 1e-6, po
         if not bounds:
             break
         grids = {i: np.linspace(lo, hi, points) for i, (lo, hi) in bounds.items()}
-        row = base.agg(*[F.expr(f"var_pop({_yeo_johnson(f'x{i}', f'{lam!r}D')})").alias(f"v{i}_{j}")
-                         for i, grid in grids.items() for j, lam in enumerate(map(float, grid))]).first()
+        spread = _power_variances(base, grids)
         for i, grid in grids.items():
             n = slope[f"n{i}"]
-            like = [-np.inf if not row[f"v{i}_{j}"] or not np.isfinite(row[f"v{i}_{j}"])
-                    else -n / 2 * np.log(row[f"v{i}_{j}"]) + (lam - 1) * slope[f"l{i}"] for j, lam in enumerate(grid)]
+            like = [-np.inf if not spread.get((i, j)) or not np.isfinite(spread[i, j])
+                    else -n / 2 * np.log(spread[i, j]) + (lam - 1) * slope[f"l{i}"] for j, lam in enumerate(grid)]
             if not n or np.max(like) == -np.inf:
                 del bounds[i]
                 continue

@@ -72,6 +72,22 @@ def test_power_transform_maximises_likelihood(spark):
     assert row[0] == pytest.approx(0, abs=1e-9) and row[1] == pytest.approx(1)
 
 
+def test_power_spread_is_put_together_from_tasks(spark):
+    """One pass for all exponents; before, every exponent was an aggregate of its own in code too large to compile."""
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(0, 3, 5000), np.exp(rng.normal(8, 1, 5000))
+    rows = [(float(a), None if i % 7 == 0 else float(b)) for i, (a, b) in enumerate(zip(x, y))]
+    base = spark.createDataFrame(rows, "x0 double, x1 double").repartition(5).union(spark.sql("select 'NaN'::double, null::double"))
+    grids = {0: np.array([-1.0, 0.0, 0.5, 2.0, 3.0]), 1: np.array([0.0, 0.7, 1e4])}
+    got = stages._power_variances(base, grids)
+    for i, grid in grids.items():
+        v = base.selectExpr(f"nanvl(x{i}, null) as v")
+        for j, lam in enumerate(grid[:2] if i else grid):
+            want = v.agg(F.expr(f"var_pop({stages._yeo_johnson('v', f'{float(lam)!r}D')})")).first()[0]
+            assert got[i, j] == pytest.approx(want, rel=1e-9)
+    assert not np.isfinite(got[1, 2]) and stages._power_variances(base.where("false"), grids) == {}
+
+
 def test_one_hot_unknown_is_zero(spark):
     train = spark.createDataFrame([("b",), ("a",), ("c",)], "s string")
     test = spark.createDataFrame([("a",), ("zzz",), (None,)], "s string")
