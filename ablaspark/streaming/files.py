@@ -65,10 +65,6 @@ def stream_new_files(events: DataFrame, seen_at: str = "seen_at", cooldown: floa
         step, seen.schema, "mtime string, hash string, at bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def _milliseconds(micros: int) -> int:
-    return micros // 1000
-
-
 def stream_ordered_files(events: DataFrame, lateness: str, seen_at: str = "seen_at", cooldown: float = 60.0, buckets: int = 1024) -> DataFrame:
     """``stream_new_files`` in event time: sightings may come ``lateness`` (an interval) late, in any micro-batch.
 
@@ -90,6 +86,9 @@ def stream_ordered_files(events: DataFrame, lateness: str, seen_at: str = "seen_
     pause = int(cooldown * 1_000_000)
     columns = ["path", "mtime", "hash", "at"]
 
+    def milliseconds(micros):
+        return micros // 1000
+
     def in_time(row):
         return (row[3], *((v is not None, v or "") for v in row[1:3]))
 
@@ -102,16 +101,16 @@ def stream_ordered_files(events: DataFrame, lateness: str, seen_at: str = "seen_
                 rows += map(list, zip(*texts, batch["at"].tolist()))
         now = state.getCurrentWatermarkMs()
         due = []
-        for path, mtime, digest, at in sorted((r for r in rows if _milliseconds(r[3]) < now), key=in_time):
+        for path, mtime, digest, at in sorted((r for r in rows if milliseconds(r[3]) < now), key=in_time):
             before = last.get(path)
             if before is None or before[:2] != (mtime, digest) or at - before[2] >= pause:
                 due.append((path, mtime, digest, at))
                 last[path] = (mtime, digest, at)
-        rows = [r for r in rows if _milliseconds(r[3]) >= now]
-        processed = [(path, *v) for path, v in last.items() if _milliseconds(v[2] + pause + 999) > now]
+        rows = [r for r in rows if milliseconds(r[3]) >= now]
+        processed = [(path, *v) for path, v in last.items() if milliseconds(v[2] + pause + 999) > now]
         if rows or processed:
             state.update((json.dumps(processed), json.dumps(rows)))
-            wake = min([_milliseconds(r[3]) for r in rows] + [_milliseconds(v[3] + pause + 999) for v in processed])
+            wake = min([milliseconds(r[3]) for r in rows] + [milliseconds(v[3] + pause + 999) for v in processed])
             state.setTimeoutTimestamp(max(wake, now + 1))
         elif state.exists:
             state.remove()
