@@ -97,15 +97,14 @@ def _yeo_johnson(x: str, lam: str) -> str:
     return f"case when {x} >= 0 then {pos} else {neg} end"
 
 
-def _stretched(logs: np.ndarray, lam: float) -> np.ndarray:
-    return logs if abs(lam) < 1e-12 else np.expm1(lam * logs) / lam
-
-
 def _power_variances(base: DataFrame, grids: dict[int, np.ndarray]) -> dict[tuple[int, int], float]:
     """Population variance of column x<i> under the j-th exponent of its grid, by (i, j); without values there is none.
 
     Tasks send count, mean and squared deviations of their rows, which are then put together. A logarithm serves all exponents.
     """
+    def stretched(logs: np.ndarray, lam: float) -> np.ndarray:
+        return logs if abs(lam) < 1e-12 else np.expm1(lam * logs) / lam
+
     def joined(a: tuple, b: tuple) -> tuple:
         n, gap = a[0] + b[0], b[1] - a[1]
         return n, a[1] + gap * b[0] / n, a[2] + b[2] + gap * gap * a[0] * b[0] / n
@@ -121,7 +120,7 @@ def _power_variances(base: DataFrame, grids: dict[int, np.ndarray]) -> dict[tupl
                         continue
                     above, below = np.log1p(x[x >= 0]), np.log1p(-x[x < 0])
                     for j, lam in enumerate(grid):
-                        y = np.concatenate([_stretched(above, lam), -_stretched(below, 2 - lam)])
+                        y = np.concatenate([stretched(above, lam), -stretched(below, 2 - lam)])
                         mean = y.mean()
                         found = (len(y), float(mean), float(np.square(y - mean).sum()))
                         held[i, j] = joined(held[i, j], found) if (i, j) in held else found
@@ -140,13 +139,14 @@ def fit_power(df: DataFrame, columns: Sequence[str], tolerance: float = 1e-6, po
 
     Each round scores a grid of exponents for all open columns in one pass and narrows every bracket to the points beside its
     best one; a best point on the rim moves the bracket on instead. A column is done when its bracket is narrower than
-    ``tolerance``; a search that does not get there is an error. A column without spread keeps the exponent 1.
+    ``tolerance``; a search that does not get there is an error. In the last rounds neighbours differ by rounding only, so the peak of the
+    parabola in the last round with a step above 1e-4 is taken where it agrees. A column without spread keeps the exponent 1.
     """
     base = df.select(*[F.expr(real(f"cast({q(c)} as double)")).alias(f"x{i}") for i, c in enumerate(columns)])
     slope = base.agg(*[F.expr(f"sum(sign(x{i}) * log1p(abs(x{i})))").alias(f"l{i}") for i in range(len(columns))],
                      *[F.expr(f"count(x{i})").alias(f"n{i}") for i in range(len(columns))]).first()
     bounds = dict.fromkeys(range(len(columns)), span)
-    best = [1.0] * len(columns)
+    best, peaks = [1.0] * len(columns), {}
     for _ in range(most_rounds):
         if not bounds:
             break
@@ -161,6 +161,9 @@ def fit_power(df: DataFrame, columns: Sequence[str], tolerance: float = 1e-6, po
                 continue
             j, step = int(np.argmax(like)), grid[1] - grid[0]
             best[i] = float(grid[j])
+            if 0 < j < points - 1 and step > 1e-4 and np.isfinite(like[j - 1:j + 2]).all():
+                bend = like[j - 1] - 2 * like[j] + like[j + 1]
+                peaks[i] = float(grid[j] + step / 2 * (like[j - 1] - like[j + 1]) / bend) if bend < 0 else best[i]
             # on the rim the bracket keeps its width
             half = step if 0 < j < points - 1 else (points - 1) * step / 2
             bounds[i] = (grid[j] - half, grid[j] + half)
@@ -168,6 +171,7 @@ def fit_power(df: DataFrame, columns: Sequence[str], tolerance: float = 1e-6, po
                 del bounds[i]
     if bounds:
         raise ArithmeticError(f"no power exponent within {most_rounds} rounds for {[columns[i] for i in bounds]}")
+    best = [peaks[i] if i in peaks and abs(peaks[i] - lam) <= tolerance else lam for i, lam in enumerate(best)]
     lambdas = dict(zip(columns, best))
     shaped = {c: _yeo_johnson(f"cast({q(c)} as double)", f"{lam!r}D") for c, lam in lambdas.items()}
     moments = df.agg(*[F.expr(f"avg({e})").alias(f"m{i}") for i, e in enumerate(shaped.values())],
