@@ -59,6 +59,9 @@ def ridge(alpha: float = 1.0, features: str = "features", label: str = "label")
 
 def forest(task: str = "classification", trees: int = 100, depth: int | None = 5, seed: int = 42,
            features: str = "features", label: str = "label", **options):
+    """``depth`` None grows trees as deep as Spark allows. Rows of deep trees remember their nodes: otherwise every round sends all
+    trees so far to all tasks and routes each row from the root again. The trees are the same."""
+    options = {"cacheNodeIds": (depth or MAX_DEPTH) > 10} | options
     cls = RandomForestClassifier if task == "classification" else RandomForestRegressor
     return cls(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=min(depth or MAX_DEPTH, MAX_DEPTH),
                seed=seed, **options)
