@@ -162,6 +162,17 @@ def run_holdout(df: DataFrame, ids: Sequence[str], label: str, builder: str | Bu
     """Runs table in long form. Run i splits with seed + i; a failing fit leaves no row."""
     spark = df.sparkSession
     plan: list[AblationConfig | None] = ([None] if baseline else []) + list(configs or standard_configs())
+    own = df.storageLevel == StorageLevel.NONE
+    if own:
+        df.persist(StorageLevel.MEMORY_AND_DISK)  # its features are computed once, not once a run
+    try:
+        return spark.createDataFrame(_runs_of(df, ids, label, builder, plan, n_runs, seed, task, test_size), RUN_SCHEMA)
+    finally:
+        if own:
+            df.unpersist()
+
+
+def _runs_of(df, ids, label, builder, plan, n_runs, seed, task, test_size) -> list[tuple]:
     rows = []
     for i in range(n_runs):
         split = (split_holdout(df, ids, test_size, seed + i) if task == "regression"
@@ -177,7 +188,7 @@ def run_holdout(df: DataFrame, ids: Sequence[str], label: str, builder: str | Bu
             values = values | {"train_time": seconds}
             rows += [(name, order, i + 1, seed + i, m, None if v is None else float(v)) for m, v in values.items()]
         split.unpersist()
-    return spark.createDataFrame(rows, RUN_SCHEMA)
+    return rows
 
 
 def primary_metric(runs: DataFrame) -> str:

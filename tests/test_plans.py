@@ -163,3 +163,29 @@ def test_three_classes_vote_and_auc(spark):
         assert values["accuracy"] > 0.95
         assert (values["roc_auc"] > 0.99) if kind == "soft" else (values["roc_auc"] is None)
     assert ablation.score(ablation.baseline_predictions(df, df, "classification", "label"), "classification")["roc_auc"] == 0.5
+
+
+def test_a_holdout_study_computes_its_features_once(spark):
+    """They were computed once for the split of every run."""
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def feature(x):
+        calls.add(1)
+        return float(x)
+
+    rows = [(i, float(i % 2), float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, label double, x double").withColumn("x", feature("x"))
+    got = ablation.run_holdout(df, ["id"], "label", lambda config: [], configs=[], n_runs=3)
+    assert {r["run"] for r in got.collect()} == {1, 2, 3} and calls.value == 200
+    assert not df.is_cached
+
+
+def test_rows_of_deep_forests_remember_their_nodes(spark):
+    """Without it each round of a deep forest sent all trees to all tasks; the trees are the same."""
+    rows = [(float(hash((i, 1)) % 97), float(hash((i, 2)) % 89), float(hash((i, 3)) % 5 > 2)) for i in range(600)]
+    train = stages.assemble(["a", "b"]).transform(spark.createDataFrame(rows, "a double, b double, label double"))
+    deep = learners.forest(trees=4, depth=None)
+    assert deep.getCacheNodeIds() and not learners.forest().getCacheNodeIds()
+    plain = learners.forest(trees=4, depth=None, cacheNodeIds=False)
+    assert deep.fit(train).toDebugString.split("\n")[1:] == plain.fit(train).toDebugString.split("\n")[1:]
