@@ -15,8 +15,22 @@ import numpy as np
 DEEP = 255
 
 
-def circular_ranks(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Order of all rotations of the strings, which lie one after another in ``symbols``, by doubling."""
+def stable_order(key: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Stable order of numbers of ``width`` bits, and the numbers in it. Where number and place fit one word, words are sorted."""
+    place = max(1, (len(key) - 1).bit_length())
+    if width + place > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    words = (key << np.uint64(place)) | np.arange(len(key), dtype=np.uint64)
+    words.sort()
+    return (words & np.uint64((1 << place) - 1)).astype(np.int64), words >> np.uint64(place)
+
+
+def circular_ranks(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: int | None = None) -> np.ndarray:
+    """Order of all rotations of the strings, which lie one after another in ``symbols``, by doubling.
+
+    Rotations that share their first ``depth`` symbols may stay in the order of their places.
+    """
     n = len(symbols)
     own = np.repeat(np.arange(len(size)), size)
     base, length = begin[own], size[own]
@@ -25,27 +39,36 @@ def circular_ranks(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray) ->
     def ahead(k: int) -> np.ndarray:
         return base + (place + k) % length
 
+    # symbols that occur, by number, need fewer bits
+    found = np.bincount(symbols, minlength=256) > 0
+    dense = (np.cumsum(found) - 1).astype(np.uint64)[symbols]
+    bits, index = max(1, (int(found.sum()) - 1).bit_length()), max(1, (n - 1).bit_length())
+    reach = max(1, min(8, (64 - index) // bits))
     step = ahead(1)
     key, at = np.zeros(n, np.uint64), np.arange(n)
-    for _ in range(8):
-        key = (key << np.uint64(8)) | symbols[at]
+    for _ in range(reach):
+        key = (key << np.uint64(bits)) | dense[at]
         at = step[at]
-    reach, longest = 8, int(size.max())
+    width, longest = bits * reach, int(size.max())
+    far = longest if depth is None else min(longest, depth)
     while True:
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
+        order, sorted_key = stable_order(key, width)
         new = np.cumsum(np.concatenate(([0], sorted_key[1:] != sorted_key[:-1])))
-        rank[order] = new
-        if reach >= longest or new[-1] == n - 1:
+        if reach >= far or new[-1] == n - 1:
             return order
-        key = (rank.astype(np.uint64) << np.uint64(32)) | rank[ahead(reach)].astype(np.uint64)
+        rank = np.empty(n, np.uint64)
+        rank[order] = new
+        key, width = (rank << np.uint64(index)) | rank[ahead(reach)], 2 * index
         reach *= 2
 
 
-def transform(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (positions in sorted order) and the symbol before each row."""
-    rows = circular_ranks(symbols, begin, size)
+def transform(symbols: np.ndarray, begin: np.ndarray, size: np.ndarray, depth: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (positions in sorted order) and the symbol before each row.
+
+    Without a ``depth`` rows are sorted to their ends. A merge to some depth needs no more than that many symbols: rows that
+    share them all may change places, which moves no other row.
+    """
+    rows = circular_ranks(symbols, begin, size, depth)
     before = np.arange(len(symbols)) - 1
     before[begin] = begin + size - 1
     return rows, symbols[before[rows]]
@@ -61,7 +84,8 @@ def pairs(symbols: np.ndarray) -> np.ndarray:
 def merge(transforms: list[np.ndarray], depth: int, step: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Interleave (shard of each merged row) and common prefix of each row with the one before (DEEP from depth on).
 
-    With ``step`` 2 the transforms are those of ``pairs``, and common prefixes are rounded down to even numbers.
+    With ``step`` 2 the transforms are those of ``pairs``, and common prefixes are rounded down to even numbers. The rows of a
+    single transform are sorted already, so the order of its symbols is the same in every round.
     """
     kind = np.uint8 if len(transforms) <= 256 else np.uint16
     shard = np.repeat(np.arange(len(transforms), dtype=kind), [len(t) for t in transforms])
@@ -73,10 +97,13 @@ def merge(transforms: list[np.ndarray], depth: int, step: int = 1) -> tuple[np.n
     symbol = np.empty(n, joined.dtype)
     apart = np.ones(n, bool)
     for h in range(0, depth, step):
-        symbol[np.argsort(shard, kind="stable")] = joined  # each shard's rows keep their order
-        order = np.argsort(symbol, kind="stable")
-        shard, sorted_, block = shard[order], symbol[order], block[order]
-        apart[1:] = (sorted_[1:] != sorted_[:-1]) | (block[1:] != block[:-1])
+        if h == 0 or len(transforms) > 1:
+            symbol[np.argsort(shard, kind="stable")] = joined  # each shard's rows keep their order
+            order = np.argsort(symbol, kind="stable")
+            shard, sorted_ = shard[order], symbol[order]
+            differ = sorted_[1:] != sorted_[:-1]
+        block = block[order]
+        apart[1:] = differ | (block[1:] != block[:-1])
         common[apart & (common == DEEP)] = h
         np.cumsum(apart, out=block)
     return shard, common
