@@ -57,16 +57,38 @@ def ridge(alpha: float = 1.0, features: str = "features", label: str = "label")
     return LearnStage(learn, "Ridge", (alpha, features, label))
 
 
+def deep(depth: int | None) -> bool:
+    """Whether trees of this depth may have nearly as many nodes as rows."""
+    return (depth or MAX_DEPTH) > 10
+
+
 def forest(task: str = "classification", trees: int = 100, depth: int | None = 5, seed: int = 42,
            features: str = "features", label: str = "label", **options):
     """``depth`` None grows trees as deep as Spark allows. Rows of deep trees remember their nodes: otherwise every round sends all
     trees so far to all tasks and routes each row from the root again. The trees are the same."""
-    options = {"cacheNodeIds": (depth or MAX_DEPTH) > 10} | options
+    options = {"cacheNodeIds": deep(depth)} | options
     cls = RandomForestClassifier if task == "classification" else RandomForestRegressor
     return cls(featuresCol=features, labelCol=label, numTrees=trees, maxDepth=min(depth or MAX_DEPTH, MAX_DEPTH),
                seed=seed, **options)
 
 
+#: Tasks of a forest: as many as its rows fill with FEWEST rows each, but no more than FOREST_TASKS unless these had more than MOST.
+FOREST_TASKS, FEWEST, MOST = 3, 5_000, 300_000
+
+
+def in_few_tasks(train: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows in few partitions, as a forest likes them.
+
+    In every round of a forest each task makes and sends statistics of all the round's nodes, even if it has no row of most of them. Deep
+    trees have nearly as many nodes as rows, so with more tasks the statistics are most of the work. Rows are dealt
+    evenly and sorted, so that a forest's draws don't depend on the order in which they arrive.
+    """
+    parts = max(-(-n // MOST), min(FOREST_TASKS, -(-n // FEWEST)), 1)
+    if train.rdd.getNumPartitions() <= parts:
+        return train
+    return train.repartition(parts).sortWithinPartitions(*[F.col(f"`{c}`") for c in train.columns])
+
+
 def boosting(task: str = "classification", trees: int = 100, rate: float = 0.1, depth: int = 3, seed: int = 42,
              classes: int = 2, features: str = "features", label: str = "label", **options):
     """One family for all boosted-tree libraries; more than two classes go one-vs-rest."""

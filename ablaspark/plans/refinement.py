@@ -5,11 +5,13 @@ from __future__ import annotations
 import time
 from collections.abc import Mapping, Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import learners, metrics, stages, voting
 from ..operators.features import fit_scaler, select_k_best
+from ..session import concurrently
 from .ablation import broken_configuration
 
 
@@ -138,19 +140,34 @@ def ensemble_scores(fitted, scores: DataFrame, test: DataFrame, classes: Sequenc
     return voting.best_ensemble(row)
 
 
+#: Rows times trees of the forests that are fitted side by side: each keeps some 12 bytes for every one of them.
+ROW_TREES = 200_000_000
+
+
 def feature_ablation(train: DataFrame, test: DataFrame, columns: Sequence[str], label: str = "label", top: int = 5,
                      trees: int = 100, depth: int | None = None, seed: int = 42) -> DataFrame:
-    """(removed, importance, score, drop): refit without each of the most important features."""
-    def fit_score(cols):
-        parts = stages.assemble(cols)
-        model = learners.forest(trees=trees, depth=depth, seed=seed, label=label).fit(parts.transform(train))
-        return model, float(f1_of_one(model.transform(parts.transform(test)), label))
-
-    model, base = fit_score(columns)
-    weight = learners.importances(model)
-    order = sorted(range(len(columns)), key=lambda i: (-weight[i], i))[:top]
-    rows = [("(none)", None, base, 0.0)]
-    for i in order:
-        _, value = fit_score([c for c in columns if c != columns[i]])
-        rows.append((columns[i], weight[i], value, base - value))
+    """(removed, importance, score, drop): refit without each of the most important features.
+
+    The columns are computed once. The refits don't wait for each other, as far as ``ROW_TREES`` allows.
+    """
+    used = list(dict.fromkeys([*columns, label]))
+    train, test = (d.select(*[F.col(f"`{c}`") for c in used]).persist(StorageLevel.MEMORY_AND_DISK) for d in (train, test))
+    try:
+        n = train.count()
+        fitted = learners.in_few_tasks(train, n) if learners.deep(depth) else train
+
+        def fit_score(cols):
+            parts = stages.assemble(cols)
+            model = learners.forest(trees=trees, depth=depth, seed=seed, label=label).fit(parts.transform(fitted))
+            return model, float(f1_of_one(model.transform(parts.transform(test)), label))
+
+        model, base = fit_score(columns)
+        weight = learners.importances(model)
+        order = sorted(range(len(columns)), key=lambda i: (-weight[i], i))[:top]
+        scores = concurrently([lambda i=i: fit_score([c for c in columns if c != columns[i]])[1] for i in order],
+                              max(1, min(len(order), ROW_TREES // max(1, n * trees))))
+    finally:
+        train.unpersist()
+        test.unpersist()
+    rows = [("(none)", None, base, 0.0)] + [(columns[i], weight[i], value, base - value) for i, value in zip(order, scores)]
     return train.sparkSession.createDataFrame(rows, "removed string, importance double, score double, drop double")
